@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_metrics",)
+MODULES = ("q_metrics", "q_steplog")
 
 
 def load_all() -> None:

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixtab.functions.scan import running
+from pixtab.functions.lineage import materialize
 from pixtab.functions.offsets import disk, spread
+from pixtab.functions.scan import running
 
 SIDE = 192
 
@@ -55,8 +56,8 @@ _SQL = {
          CASE WHEN v > 0.1 THEN 1 ELSE 0 END AS gt FROM raster"""),
     "fov": (("raster",), "SELECT image_id, y, x FROM raster WHERE (y-32)*(y-32) + (x-32)*(x-32) <= 900"),
     "rollout": (("steps",), """
-  SELECT episode, step, event_id, (value - 100.0::DOUBLE) / 200.0::DOUBLE AS reward,
-         (event_id % 100) / 100.0::DOUBLE AS value, CASE WHEN step % 20 = 19 THEN 1 ELSE 0 END AS done
+  SELECT episode, step, event_id, (value - 100.0::DOUBLE) / 193.7::DOUBLE AS reward,
+         (event_id % 100) / 97.0::DOUBLE AS value, CASE WHEN step % 20 = 19 THEN 1 ELSE 0 END AS done
   FROM steps"""),
     "traces": (("steps",), """
   SELECT episode AS image_id, CAST(floor(step / 20) AS INT) AS trace_id, CAST(step % 20 AS INT) AS seq, y, x
@@ -98,7 +99,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_STEPS: dict[tuple[str, str], DataFrame] = {}
+
+
 def steps(spark: SparkSession, sf: str) -> DataFrame:
+    """The step log, derived from all of ``events`` once per session and shared by the queries."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STEPS:
+        _STEPS[key] = materialize(derive_steps(spark, sf))
+    return _STEPS[key]
+
+
+def derive_steps(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "events").select(F.col("user_id").alias("episode"), "event_id", "event_type", "value")
     turn = F.when(F.col("event_type") == "error", -1).when(F.col("event_type") == "signup", 1).otherwise(0)
     ev = running(ev, ["episode"], "event_id", {"n": ("sum", F.lit(1)), "turns": ("sum", turn)})
@@ -161,7 +173,7 @@ def fov(spark, sf):
 
 def rollout(spark, sf):
     return steps(spark, sf).selectExpr(
-        "episode", "step", "event_id", "(value - 100.0D) / 200.0D AS reward", "(event_id % 100) / 100.0D AS value",
+        "episode", "step", "event_id", "(value - 100.0D) / 193.7D AS reward", "(event_id % 100) / 97.0D AS value",
         "CASE WHEN step % 20 = 19 THEN 1 ELSE 0 END AS done")
 
 

@@ -98,12 +98,13 @@ def h6(spark, sf):
 @query("e2_clipped_distance", fx.with_views("points_gt", """
 , near AS (SELECT g.image_id, g.y + a.k AS y, g.x + b.k AS x, min(sqrt((a.k*a.k + b.k*b.k)::DOUBLE)) AS d
    FROM points_gt g, (SELECT unnest(range(-3, 4)) AS k) a, (SELECT unnest(range(-3, 4)) AS k) b GROUP BY ALL)
-SELECT c.image_id, CAST(yy.k AS INT) AS y, CAST(xx.k AS INT) AS x, round(least(coalesce(d, 3.0), 3.0), 6)::DOUBLE AS v
+SELECT c.image_id, CAST(yy.k AS INT) AS y, count(*) AS n, round(sum(least(coalesce(d, 3.0), 3.0)::DOUBLE), 6) AS total
 FROM (SELECT DISTINCT user_id AS image_id FROM events) c, (SELECT unnest(range(0, 192)) AS k) yy,
      (SELECT unnest(range(0, 192)) AS k) xx
-LEFT JOIN near n ON n.image_id = c.image_id AND n.y = yy.k AND n.x = xx.k"""))
+LEFT JOIN near n ON n.image_id = c.image_id AND n.y = yy.k AND n.x = xx.k GROUP BY ALL"""))
 def e2(spark, sf):
-    return fx.rounded(distance.clipped_distance(fx.points_gt(spark, sf), fx.curve_canvas(spark, sf), 3.0))
+    d = distance.clipped_distance(fx.points_gt(spark, sf), fx.curve_canvas(spark, sf), 3.0)
+    return fx.rounded(d.groupBy("image_id", "y").agg(F.count("v").alias("n"), F.sum("v").alias("total")))
 
 
 @query("h13_overlay_classes", fx.with_views("points_gt points_pred", """
