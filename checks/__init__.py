@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_metrics", "q_steplog")
+MODULES = ("q_metrics", "q_steplog", "q_samples")
 
 
 def load_all() -> None:
