@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_metrics", "q_steplog", "q_samples", "q_shapes")
+MODULES = ("q_metrics", "q_steplog", "q_samples", "q_shapes", "q_grids")
 
 
 def load_all() -> None:

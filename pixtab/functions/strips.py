@@ -37,6 +37,10 @@ def at_home(edge: int = EDGE) -> Column:
     return (F.floor(F.col("y") / edge) == F.col("ty")) & (F.floor(F.col("x") / edge) == F.col("tx"))
 
 
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda s: s[name]
+
+
 def canvas_of(grid: DataFrame) -> DataFrame:
     """Height and width of dense grids: one row per image, aggregated map-side first."""
     return grid.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
@@ -49,7 +53,7 @@ def to_strips(grid: DataFrame, halo: int, values: Sequence[str] = ("v",), edge:
     strips = (halo_tiles(grid.select("image_id", "y", "x", *values), halo, edge)
               .groupBy(*TILE, "y").agg(packed.alias("_p"))
               .select(*TILE, "y", F.col("_p")[0]["x"].alias("x0"),
-                      *[F.transform("_p", lambda s, n=n: s[n]).alias(n) for n in values]))
+                      *[F.transform("_p", _field(n)).alias(n) for n in values]))
     if canvas is not None:
         strips = salted_join(strips, canvas, ["image_id"], by=("ty", "tx"))
     return strips
