@@ -105,8 +105,10 @@ def d4(spark, sf):
 
 
 ADAPT = DIMS.replace("raster", "gray8") + """
-, mean AS (SELECT g.image_id, g.y, g.x, any_value(g.v) AS v, round_even(sum(s.v) / 121, 0) AS m FROM gray8 g JOIN d USING (image_id) CROSS JOIN (SELECT unnest(range(-5, 6)) AS k) a CROSS JOIN (SELECT unnest(range(-5, 6)) AS k) b
-   JOIN gray8 s ON s.image_id = g.image_id AND s.y = least(greatest(g.y + a.k, 0), h - 1) AND s.x = least(greatest(g.x + b.k, 0), w - 1) GROUP BY g.image_id, g.y, g.x)"""
+, taps AS (SELECT g.image_id, g.y, g.x, g.v, least(greatest(g.y + a.k, 0), h - 1) AS ny, least(greatest(g.x + b.k, 0), w - 1) AS nx FROM gray8 g JOIN d USING (image_id),
+   (SELECT unnest(range(-5, 6)) AS k) a, (SELECT unnest(range(-5, 6)) AS k) b)
+, mean AS (SELECT t.image_id, t.y, t.x, any_value(t.v) AS v, round_even(sum(s.v) / 121, 0) AS m FROM taps t JOIN gray8 s ON s.image_id = t.image_id AND s.y = ny AND s.x = nx
+   GROUP BY t.image_id, t.y, t.x)"""
 
 
 @query("d5_adaptive_mean", fx.with_views("gray8", ADAPT + "SELECT image_id, y, x FROM mean WHERE v > m + 10"))
@@ -118,8 +120,6 @@ MASK = """
 , m AS (SELECT image_id, y, x FROM gray8 WHERE v > 90)
 , disk AS (SELECT a.k AS dy, b.k AS dx FROM (SELECT unnest(range(-2, 3)) AS k) a, (SELECT unnest(range(-2, 3)) AS k) b WHERE a.k*a.k + b.k*b.k <= 4)"""
 DIL = ", {o} AS (SELECT DISTINCT p.image_id, p.y + dy AS y, p.x + dx AS x FROM {i} p JOIN d USING (image_id), disk WHERE p.y + dy >= 0 AND p.x + dx >= 0 AND p.y + dy < h AND p.x + dx < w)"
-ERO = """, {o} AS (SELECT r.image_id, r.y, r.x FROM raster r JOIN d USING (image_id), disk LEFT JOIN {i} p ON p.image_id = r.image_id AND p.y = r.y + dy AND p.x = r.x + dx
-   GROUP BY ALL HAVING count(*) FILTER (p.image_id IS NULL AND r.y + dy >= 0 AND r.x + dx >= 0 AND r.y + dy < any_value(h) AND r.x + dx < any_value(w)) = 0)"""
 ERO = """, {o} AS (SELECT image_id, y, x FROM (SELECT r.image_id, r.y, r.x, r.y + dy AS ny, r.x + dx AS nx, h, w FROM raster r JOIN d USING (image_id) CROSS JOIN disk) c
    LEFT JOIN (SELECT image_id AS pi, y AS py, x AS px FROM {i}) p ON pi = image_id AND py = ny AND px = nx
    GROUP BY image_id, y, x HAVING count(*) FILTER (pi IS NULL AND ny >= 0 AND nx >= 0 AND ny < h AND nx < w) = 0)"""

@@ -46,13 +46,10 @@ def ellipse(size: int) -> Offsets:
 
 def offset_array(offsets: Sequence[tuple[int, int]], extra: Sequence[int] | None = None) -> Column:
     """Literal array of ``struct(dy, dx[, k])`` - a constant of the plan, not a table."""
-    items = []
-    for i, (dy, dx) in enumerate(offsets):
-        fields = [F.lit(dy).alias("dy"), F.lit(dx).alias("dx")]
-        if extra is not None:
-            fields.append(F.lit(extra[i]).alias("k"))
-        items.append(F.struct(*fields))
-    return F.array(*items)
+    rows = [(dy, dx) if extra is None else (dy, dx, extra[i]) for i, (dy, dx) in enumerate(offsets)]
+    names = ("dy", "dx", "k")
+    return F.expr("array(" + ", ".join(
+        "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in zip(names, row)) + ")" for row in rows) + ")")
 
 
 def spread(points: DataFrame, offsets: Sequence[tuple[int, int]], extra: Sequence[int] | None = None) -> DataFrame:

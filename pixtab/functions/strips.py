@@ -9,8 +9,10 @@ is many tiles, and no task holds more than a tile.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,42 +94,45 @@ def pool(strips: DataFrame, name: str, radius: int, least: bool = False) -> Data
     return pool_columns(strips.withColumn(name, pool_rows(F.col(name), radius, reduce)), name, radius, least)
 
 
-def _weight(kernel: Sequence[float], radius: int, at: Column, src: Column, size: Column) -> Column:
-    """Total weight of source index ``src`` at ``at`` when the border repeats in mirror order."""
-    k = F.array(*[F.lit(float(v)) for v in kernel])
+def _padding(start: int, size: int, radius: int, total: int) -> np.ndarray:
+    """Block indices of positions ``start - radius`` onwards when the raster repeats in mirror order.
 
-    def tap(d: Column) -> Column:
-        return F.when(F.abs(d) <= radius, F.get(k, d + radius)).otherwise(F.lit(0.0))
+    Positions beyond the block are clipped; they only feed halo pixels.
+    """
+    i = np.arange(start - radius, start + size + radius) % (2 * total)
+    return np.clip(np.where(i < total, i, 2 * total - 1 - i) - start, 0, size - 1)
 
-    return tap(src - at) + tap(-1 - src - at) + tap(2 * size - 1 - src - at)
 
-
-def convolve_rows(values: Column, kernel: Sequence[float], x0: Column, width: Column) -> Column:
-    """Correlate along x with a mirrored border; needs ``len(kernel) // 2`` halo pixels."""
-    r = len(kernel) // 2
-
-    def at(_: Column, i: Column) -> Column:
-        first = F.greatest(i - r, F.lit(0))
-        part = F.slice(values, first + 1, F.least(i, F.lit(r)) + r + 1)
-        taps = F.transform(part, lambda v, j: v * _weight(kernel, r, x0 + i, x0 + first + j, width))
-        return F.aggregate(taps, F.lit(0.0), lambda a, b: a + b)
-
-    return F.transform(values, at)
-
-
-def convolve_columns(rows: Column, kernel: Sequence[float], y: Column, height: Column, first: Column) -> Column:
-    """Correlate along y: ``rows`` holds the arrays of rows ``first``, ``first + 1``, …"""
-    r = len(kernel) // 2
-    weighted = F.transform(rows, lambda row, j: F.struct(
-        row.alias("row"), _weight(kernel, r, y, first + j, height).alias("w")))
-    zero = F.transform(rows[0], lambda _: F.lit(0.0))
-    return F.aggregate(weighted, zero, lambda acc, s: F.zip_with(acc, s["row"], lambda a, b: a + b * s["w"]))
+def _slide(block: np.ndarray, kernel: Sequence[float], start: int, total: int) -> np.ndarray:
+    """Correlate the rows of ``block`` with ``kernel``."""
+    n = block.shape[1]
+    padded = block[:, _padding(start, n, len(kernel) // 2, total)]
+    out = np.zeros(block.shape)
+    for j, weight in enumerate(kernel):
+        out += weight * padded[:, j:j + n]
+    return out
 
 
-def gather(strips: DataFrame, names: Sequence[str], radius: int) -> DataFrame:
-    """Add ``_<name>_rows`` (arrays of the rows around) and ``_first`` (index of the first of them)."""
-    w = rows_around(radius)
-    out = strips.withColumn("_first", F.min("y").over(w))
-    for n in names:
-        out = out.withColumn(f"_{n}_rows", F.collect_list(n).over(w))
-    return out
+def convolve(strips: DataFrame, passes: Mapping[str, tuple[Sequence[float], Sequence[float]]], value: str = "v") -> DataFrame:
+    """Separable correlations with a mirrored border: ``{output: (kernel along x, kernel along y)}``.
+
+    Needs ``h, w`` and a halo of the longest kernel's radius. Each tile is one bounded numpy block, in
+    the partition where the strips already are: weighted sums of a few dozen taps run over ten
+    times faster there than as array expressions.
+    """
+    key = strips.schema["image_id"].dataType.simpleString()
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("y")
+        y0, x0, h, w = (int(pdf[c].iloc[0]) for c in ("y", "x0", "h", "w"))
+        block = np.stack(pdf[value].to_numpy())
+        rows: dict[int, np.ndarray] = {}
+        out = pdf[[*TILE, "y", "x0"]].copy()
+        for name, (along_x, along_y) in passes.items():
+            if id(along_x) not in rows:
+                rows[id(along_x)] = _slide(block, along_x, x0, w)
+            out[name] = list(_slide(rows[id(along_x)].T, along_y, y0, h).T)
+        return out
+
+    schema = f"image_id {key}, ty int, tx int, y int, x0 int, " + ", ".join(f"`{n}` array<double>" for n in passes)
+    return strips.select(*TILE, "y", "x0", value, "h", "w").groupBy(*TILE).applyInPandas(tile, schema)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pixtab.functions import strips as st
 from pixtab.functions.keys import salted_join
+from pixtab.functions.lineage import materialize
 
 PIXEL = ["image_id", "y", "x"]
 
@@ -79,45 +80,23 @@ def gaussian_kernel(sigma: float, order: int = 0, truncate: float = 4.0) -> list
     return g
 
 
-def _mirrored(strips: DataFrame, name: str, kernel: Sequence[float], out: str) -> DataFrame:
-    return strips.withColumn(out, st.convolve_rows(F.col(name), kernel, F.col("x0"), F.col("w")))
-
-
-def _down(strips: DataFrame, name: str, kernel: Sequence[float], out: str, radius: int) -> DataFrame:
-    """Column pass; rows gathered with ``radius`` may reach further than the kernel."""
-    r = len(kernel) // 2
-    first = F.greatest(F.col("_first"), F.col("y") - r)
-    rows = F.slice(f"_{name}_rows", (first - F.col("_first") + 1).cast("int"), 2 * r + 1)
-    return strips.withColumn(out, st.convolve_columns(rows, kernel, F.col("y"), F.col("h"), first))
-
-
 def gaussian(grid: DataFrame, sigma: float, edge: int = st.EDGE) -> DataFrame:
     """Separable Gaussian with a mirrored border, cut at four sigmas."""
     k = gaussian_kernel(sigma)
-    r = len(k) // 2
-    s = st.to_strips(grid.select(*PIXEL, F.col("v").cast("double").alias("v")), r, edge=edge, canvas=st.canvas_of(grid))
-    s = st.gather(_mirrored(s, "v", k, "a"), ["a"], r)
-    return st.to_pixels(_down(s, "a", k, "v", r).select(*st.TILE, "y", "x0", "v"), edge=edge)
+    s = st.to_strips(grid.select(*PIXEL, F.col("v").cast("double").alias("v")), len(k) // 2, edge=edge, canvas=st.canvas_of(grid))
+    return st.to_pixels(st.convolve(s, {"v": (k, k)}), edge=edge)
 
 
 def hessians(grid: DataFrame, sigmas: Sequence[float], edge: int = st.EDGE) -> DataFrame:
     """Scale-normalised second derivatives ``(yy<i>, xy<i>, xx<i>)`` for every sigma, in one tiling."""
-    r = max(len(gaussian_kernel(s)) // 2 for s in sigmas)
-    s = st.to_strips(grid.select(*PIXEL, F.col("v").cast("double").alias("v")), r, edge=edge, canvas=st.canvas_of(grid))
-    names = []
-    for i, sigma in enumerate(sigmas):
-        for o in range(3):
-            s = _mirrored(s, "v", gaussian_kernel(sigma, o), f"r{i}_{o}")
-            names.append(f"r{i}_{o}")
-    s = st.gather(s, names, r)
-    out = []
-    for i, sigma in enumerate(sigmas):
-        scale = sigma ** 2
+    kernels = [[gaussian_kernel(s, o) for o in range(3)] for s in sigmas]
+    passes = {}
+    for i, (sigma, k) in enumerate(zip(sigmas, kernels)):
         for name, along_x, along_y in (("yy", 0, 2), ("xy", 1, 1), ("xx", 2, 0)):
-            k = [v * scale for v in gaussian_kernel(sigma, along_y)]
-            s = _down(s, f"r{i}_{along_x}", k, f"{name}{i}", r)
-            out.append(f"{name}{i}")
-    return st.to_pixels(s.select(*st.TILE, "y", "x0", *out), out, edge=edge)
+            passes[f"{name}{i}"] = (k[along_x], [v * sigma ** 2 for v in k[along_y]])
+    r = max(len(k[0]) // 2 for k in kernels)
+    s = st.to_strips(grid.select(*PIXEL, F.col("v").cast("double").alias("v")), r, edge=edge, canvas=st.canvas_of(grid))
+    return st.to_pixels(st.convolve(s, passes), list(passes), edge=edge)
 
 
 def ridges(grid: DataFrame, sigmas: Sequence[float], beta: float = 0.5, edge: int = st.EDGE) -> DataFrame:
@@ -136,7 +115,7 @@ def ridges(grid: DataFrame, sigmas: Sequence[float], beta: float = 0.5, edge: in
         small, large = F.when(swap, a).otherwise(b), F.when(swap, b).otherwise(a)
         cols += [small.alias(f"s{i}"), large.alias(f"l{i}"), F.sqrt(a * a + b * b).alias(f"n{i}")]
         tops.append((F.max(f"n{i}") / 2).alias(f"c{i}"))
-    e = h.select(*PIXEL, *cols)
+    e = materialize(h.select(*PIXEL, *cols))  # used for the thresholds and for the response
     e = salted_join(e, e.groupBy("image_id").agg(*tops), ["image_id"])
     best = []
     for i in range(len(sigmas)):

@@ -16,6 +16,7 @@ import duckdb
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 TOL = 2e-6
+SPENT: dict[str, float] = {}
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -57,6 +58,7 @@ def compare(df, con, sql: str) -> str | None:
     cols = sorted(df.columns)
     got = sorted((tuple(r[c] for c in cols) for r in df.select(*cols).toLocalIterator()),
                  key=lambda r: [_key(v) for v in r])
+    SPENT["spark"] = time.time()
     rel = con.sql(sql)
     names = rel.columns
     if sorted(names) != cols:
@@ -98,7 +100,7 @@ def main() -> None:
             df = queries[n](spark, sf)
             if n in oracles:
                 diff = compare(df, con, oracles[n])
-                rows = ""
+                rows = f" (spark {SPENT.get('spark', t) - t:.1f}s)"
             else:
                 diff, rows = None, f" rows={df.count()} (no SQL)"
         except Exception as ex:  # report and go on
