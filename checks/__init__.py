@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_metrics", "q_steplog", "q_samples", "q_shapes", "q_grids")
+MODULES = ("q_metrics", "q_steplog", "q_samples", "q_shapes", "q_grids", "q_fields")
 
 
 def load_all() -> None:

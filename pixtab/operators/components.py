@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixtab.functions.keys import pixel_id, salted_join
+from pixtab.functions.keys import id_x, id_y, pixel_id, salted_join
 from pixtab.functions.lineage import materialize
 from pixtab.functions.strips import EDGE
 
@@ -42,8 +42,13 @@ def _label_tile(pdf: pd.DataFrame, forward: Sequence[tuple[int, int]]) -> pd.Dat
         hit = np.flatnonzero(code[np.minimum(at, len(code) - 1)] == code + (dy << 32) + dx)
         a.append(hit)
         b.append(at[hit])
-    a, b = np.concatenate(a), np.concatenate(b)
-    parent = np.arange(len(code))
+    root = _roots(len(code), np.concatenate(a), np.concatenate(b))
+    return pd.DataFrame({"image_id": pdf["image_id"].to_numpy(), "y": y, "x": x, "piece": code[root]})
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index connected to each of ``n`` nodes by the pairs ``a[i], b[i]``."""
+    parent = np.arange(n)
     while True:
         low = np.minimum(parent[a], parent[b])
         new = parent.copy()
@@ -52,9 +57,40 @@ def _label_tile(pdf: pd.DataFrame, forward: Sequence[tuple[int, int]]) -> pd.Dat
         while not np.array_equal(new, new[new]):
             new = new[new]
         if np.array_equal(new, parent):
-            break
+            return new
         parent = new
-    return pd.DataFrame({"image_id": pdf["image_id"].to_numpy(), "y": y, "x": x, "piece": code[parent]})
+
+
+def _link_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Label one tile by explicit links ``to`` (pixel ids, null when there is none)."""
+    pdf = pdf.sort_values(["y", "x"])
+    code = (pdf["y"].to_numpy("int64") << 32) + pdf["x"].to_numpy("int64")
+    has = pdf["to"].notna().to_numpy()
+    to = pdf["to"].fillna(-1).astype("int64").to_numpy()
+    at = np.minimum(np.searchsorted(code, to), len(code) - 1)
+    inside = np.flatnonzero(has & (code[at] == to))
+    return pdf.assign(piece=code[_roots(len(code), inside, at[inside])])
+
+
+def label_links(links: DataFrame, edge: int = EDGE) -> Labelled:
+    """Components of pixels that name at most one other pixel each: ``(image_id, y, x, to)``."""
+    key = links.schema["image_id"].dataType.simpleString()
+    tile = [F.floor(F.col(c) / edge).cast("int").alias(t) for c, t in (("y", "ty"), ("x", "tx"))]
+    px = materialize(links.select(*PIXEL, "to").groupBy("image_id", *tile).applyInPandas(
+        lambda pdf: _link_tile(pdf)[["image_id", "y", "x", "to", "piece"]], f"image_id {key}, y int, x int, to bigint, piece bigint"))
+    ends = px.select("image_id", pixel_id().alias("to"), F.col("piece").alias("b"))
+    over = (px.where("to IS NOT NULL").where(
+        (F.floor(id_y(F.col("to")) / edge) != F.floor(F.col("y") / edge)) | (F.floor(id_x(F.col("to")) / edge) != F.floor(F.col("x") / edge)))
+        .select("image_id", "to", F.col("piece").alias("a")).join(ends, ["image_id", "to"]).select("image_id", "a", "b").distinct())
+    return _join_pieces(px.drop("to"), materialize(over))
+
+
+def _join_pieces(px: DataFrame, links: DataFrame) -> Labelled:
+    pieces = px.groupBy("image_id", "piece").agg(F.count(F.lit(1)).alias("n"))
+    if links.isEmpty():
+        return Labelled(px, pieces.withColumn("label", F.col("piece")))
+    labels = min_labels(links).withColumnRenamed("node", "piece")
+    return Labelled(px, pieces.join(labels, ["image_id", "piece"], "left").withColumn("label", F.coalesce("label", "piece")))
 
 
 def min_labels(edges: DataFrame) -> DataFrame:
@@ -99,13 +135,7 @@ def label_components(points: DataFrame, diagonal: bool = True, edge: int = EDGE)
         F.floor(F.col("y") / edge).alias("_ty"), F.floor(F.col("x") / edge).alias("_tx"))
     over = over.where((F.floor(F.col("y") / edge) != F.col("_ty")) | (F.floor(F.col("x") / edge) != F.col("_tx")))
     links = over.join(rim.withColumnRenamed("piece", "b"), PIXEL).select("image_id", "a", "b").distinct()
-    links = materialize(links)
-    pieces = px.groupBy("image_id", "piece").agg(F.count(F.lit(1)).alias("n"))
-    if links.isEmpty():
-        return Labelled(px, pieces.withColumn("label", F.col("piece")))
-    labels = min_labels(links).withColumnRenamed("node", "piece")
-    return Labelled(px, pieces.join(labels, ["image_id", "piece"], "left")
-                    .withColumn("label", F.coalesce("label", "piece")))
+    return _join_pieces(px, materialize(links))
 
 
 def labels_of(found: Labelled) -> DataFrame:
