@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixtab.functions.keys import salted_join
+from pixtab.functions.offsets import offset_array
 
 EDGE = 256
 TILE = ["image_id", "ty", "tx"]
@@ -25,7 +26,7 @@ TILE = ["image_id", "ty", "tx"]
 def _cover(c: str, halo: int, edge: int) -> Column:
     lo = F.floor((F.col(c) - halo) / edge)
     hi = F.floor((F.col(c) + halo) / edge)
-    return F.sequence(F.greatest(lo, F.lit(0)), hi).cast("array<int>")
+    return F.sequence(lo, hi).cast("array<int>")
 
 
 def halo_tiles(px: DataFrame, halo: int, edge: int = EDGE) -> DataFrame:
@@ -39,6 +40,23 @@ def at_home(edge: int = EDGE) -> Column:
     return (F.floor(F.col("y") / edge) == F.col("ty")) & (F.floor(F.col("x") / edge) == F.col("tx"))
 
 
+def tile_votes(points: DataFrame, offsets: Sequence[tuple[int, int]], extra: Sequence[int] | None = None,
+               keep: Sequence[Column | str] = (), edge: int = EDGE) -> DataFrame:
+    """Every point at every offset, inside halo tiles: ``(image_id, ty, tx, y, x[, k], <keep>)``.
+
+    Only the points and their halo copies are shuffled (a few percent more rows than points); the
+    many votes are made and can be aggregated by ``[*TILE, "y", "x"]`` inside the tile. ``keep`` are
+    expressions over the source pixel.
+    """
+    radius = max(max(abs(dy), abs(dx)) for dy, dx in offsets)
+    tiled = halo_tiles(points, radius, edge)
+    out = tiled.select(*TILE, "y", "x", *keep, F.explode(offset_array(offsets, extra)).alias("_o"))
+    names = [c for c in out.columns if c not in (*TILE, "y", "x", "_o")]
+    out = out.select(*TILE, (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"),
+                     *([F.col("_o.k").alias("k")] if extra is not None else []), *names)
+    return out.where(at_home(edge))
+
+
 def _field(name: str) -> Callable[[Column], Column]:
     return lambda s: s[name]
 

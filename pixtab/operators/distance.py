@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixtab.functions.keys import salted_join
-from pixtab.functions.offsets import disk, spread
+from pixtab.functions.offsets import disk
+from pixtab.functions.strips import TILE, tile_votes
 
-BAND = 64       # raster rows handled together in the second pass
+BAND = 64       # raster rows handled together in the second pass, fewer when rows are very long
+_BAND_PIXELS = 1 << 22
 _CHUNK = 1 << 20  # candidate distances evaluated at once
 
 
 def near_d2(points: DataFrame, radius: float) -> DataFrame:
     """``(image_id, y, x, d2)`` for every pixel within ``radius`` of a point (bounded variant)."""
     offs = disk(radius)
-    votes = spread(points, offs, [dy * dy + dx * dx for dy, dx in offs])
-    return votes.groupBy("image_id", "y", "x").agg(F.min("k").alias("d2"))
+    votes = tile_votes(points, offs, [dy * dy + dx * dx for dy, dx in offs])
+    return votes.groupBy(*TILE, "y", "x").agg(F.min("k").alias("d2")).select("image_id", "y", "x", "d2")
 
 
 def pixels_of(canvas: DataFrame) -> DataFrame:
@@ -81,6 +83,9 @@ def nearest_d2(queries: DataFrame, targets: DataFrame) -> DataFrame:
     """
     key = queries.schema["image_id"].dataType.simpleString()
     box = queries.groupBy("image_id").agg(F.min("y").alias("y0"), F.max("y").alias("y1"))
+    wide = (queries.select("image_id", "x").unionByName(targets.select("image_id", "x")).groupBy("image_id")
+            .agg((F.max("x") - F.min("x") + 1).alias("_w"))
+            .select("image_id", F.least(F.lit(BAND), F.greatest(F.lit(1), F.floor(F.lit(_BAND_PIXELS) / F.col("_w")))).alias("_rows")))
     cols = salted_join(targets.select("image_id", "x").distinct(), box, ["image_id"], by=("x",))
     blank = cols.select("image_id", "x", F.explode(F.expr("sequence(y0, y1)")).alias("y"),
                         F.lit(None).cast("int").alias("t"))
@@ -95,7 +100,8 @@ def nearest_d2(queries: DataFrame, targets: DataFrame) -> DataFrame:
     sides = (seen.join(wanted, ["image_id", "y"], "left_semi")
              .select("image_id", "y", "x", (g * g).alias("g2"))
              .unionByName(queries.select("image_id", "y", "x", F.lit(None).cast("long").alias("g2"))))
-    return (sides.groupBy("image_id", F.floor(F.col("y") / BAND).alias("_band"))
+    sides = salted_join(sides, wide, ["image_id"])
+    return (sides.groupBy("image_id", F.floor(F.col("y") / F.col("_rows")).alias("_band"))
             .applyInPandas(lambda pdf: _row_minima(pdf), f"image_id {key}, y int, x int, d2 bigint"))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pixtab.functions.keys import pixel_id, salted_join
 from pixtab.functions.lineage import materialize
-from pixtab.functions.offsets import NEIGHBOURS8, offset_array
+from pixtab.functions.offsets import NEIGHBOURS8
+from pixtab.functions.strips import TILE, tile_votes
 from pixtab.operators.components import label_links
 
 PIXEL = ["image_id", "y", "x"]
@@ -16,13 +17,10 @@ PIXEL = ["image_id", "y", "x"]
 def best_links(grid: DataFrame, step_thresh: float) -> DataFrame:
     """``(image_id, y, x, v, to, top)``: best 8-neighbour above the threshold (ties: smallest y, x)."""
     live = grid.where(F.col("v") > step_thresh)
-    reach = offset_array([*NEIGHBOURS8, (0, 0)])
-    votes = live.select("image_id", "v", "y", "x", F.explode(reach).alias("o"))
-    own = (F.col("o.dy") == 0) & (F.col("o.dx") == 0)
-    votes = votes.select("image_id", (F.col("y") + F.col("o.dy")).alias("ny"), (F.col("x") + F.col("o.dx")).alias("nx"),
-                         F.when(own, F.col("v")).alias("own"),
-                         F.when(~own, F.struct("v", (-pixel_id()).alias("neg"))).alias("nb"))
-    met = votes.groupBy("image_id", F.col("ny").alias("y"), F.col("nx").alias("x")).agg(F.max("own").alias("v"), F.max("nb").alias("nb"))
+    votes = tile_votes(live, [*NEIGHBOURS8, (0, 0)], [0] * 8 + [1], keep=["v", (-pixel_id()).alias("neg")])
+    own = F.col("k") == 1
+    met = votes.groupBy(*TILE, "y", "x").agg(F.max(F.when(own, F.col("v"))).alias("v"),
+                                             F.max(F.when(~own, F.struct("v", "neg"))).alias("nb"))
     return met.where("v IS NOT NULL").select(*PIXEL, "v", (-F.col("nb.neg")).alias("to"), F.col("nb.v").alias("top"))
 
 

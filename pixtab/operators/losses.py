@@ -43,7 +43,9 @@ def combined(grid: DataFrame, fov: DataFrame | None = None, bce_weight: float =
     seen = grid if fov is None else grid.join(fov.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi")
     a = bce(seen, (), pos_weight)
     b = soft_cl_dice(grid, iterations).agg(F.avg("cl_dice").alias("cl_dice"))
-    return a.crossJoin(b).withColumn("total", bce_weight * F.col("bce") + cl_weight * (1 - F.col("cl_dice")))
+    none = F.lit(None).cast("double")
+    both = a.withColumn("cl_dice", none).unionByName(b.withColumn("bce", none))
+    return both.agg(F.max("bce").alias("bce"), F.max("cl_dice").alias("cl_dice")).withColumn("total", bce_weight * F.col("bce") + cl_weight * (1 - F.col("cl_dice")))
 
 
 def focal(grid: DataFrame, by: Sequence[str] = ("image_id",), mask: DataFrame | None = None,

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixtab.functions.offsets import disk, offset_array
+from pixtab.functions.keys import salted_join
+from pixtab.functions.offsets import disk
+from pixtab.functions.strips import TILE, tile_votes
 from pixtab.operators.distance import nearest_d2
 
 PIXEL = ["image_id", "y", "x"]
@@ -28,22 +30,15 @@ def match_counts(pred: DataFrame, gt: DataFrame, taus: Sequence[int] = (1, 2, 3)
                  images: DataFrame | None = None) -> DataFrame:
     """Pixel counts and hits within each tolerance, both directions in one pass.
 
-    Both sets are spread over the largest disk and met in one aggregation by pixel: no pair is
-    formed, the shuffle is map-side combined, and the per-image sums are partial aggregates.
+    Both sets are tiled in one shuffle, spread over the largest disk inside their tiles and met in a
+    local aggregation by pixel: no pair is formed, and the per-image sums are partial aggregates.
     """
-    r = max(taus)
-    offs = disk(r)
-    reach = offset_array(offs, [dy * dy + dx * dx for dy, dx in offs])
-    none = F.lit(None).cast("int")
-
-    def votes(points: DataFrame, is_pred: bool) -> DataFrame:
-        out = points.select(*PIXEL, F.explode(reach).alias("o"))
-        k = F.col("o.k")
-        return out.select("image_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"),
-                          (k if is_pred else none).alias("dp"), (none if is_pred else k).alias("dg"))
-
-    met = (votes(pred, True).unionByName(votes(gt, False)).groupBy(*PIXEL)
-           .agg(F.min("dp").alias("dp"), F.min("dg").alias("dg")).where("dp = 0 OR dg = 0"))
+    offs = disk(max(taus))
+    both = pred.select(*PIXEL, F.lit(True).alias("is_pred")).unionByName(gt.select(*PIXEL, F.lit(False).alias("is_pred")))
+    votes = tile_votes(both, offs, [dy * dy + dx * dx for dy, dx in offs], keep=["is_pred"])
+    met = (votes.groupBy(*TILE, "y", "x").agg(F.min(F.when(F.col("is_pred"), F.col("k"))).alias("dp"),
+                                              F.min(F.when(~F.col("is_pred"), F.col("k"))).alias("dg"))
+           .where("dp = 0 OR dg = 0"))
     counts = met.groupBy("image_id").agg(
         F.count_if(F.col("dp") == 0).alias("n_pred"), F.count_if(F.col("dg") == 0).alias("n_gt"),
         *[F.count_if((F.col("dp") == 0) & (F.col("dg") <= t * t)).alias(f"hit_pred_{t}") for t in taus],
@@ -122,6 +117,6 @@ def box_coverage(trajectory: DataFrame, gt: DataFrame, canvas: DataFrame, radius
     merged = (box.unionByName(gt.select(*PIXEL, F.lit(2).alias("k")))
               .groupBy(*PIXEL).agg(F.bit_or("k").alias("k")))
     kind = F.when(F.col("k") == 3, "hit").when(F.col("k") == 2, "missed").otherwise("extra")
-    counts = (merged.join(F.broadcast(canvas) if canvas.isLocal() else canvas, "image_id")
+    counts = (salted_join(merged, canvas, ["image_id"])
               .where("y >= 0 AND x >= 0 AND y < h AND x < w"))
     return counts.groupBy("image_id", kind.alias("class")).agg(F.count(F.lit(1)).alias("pixels"))

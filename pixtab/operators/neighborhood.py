@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixtab.functions.offsets import NEIGHBOURS4, NEIGHBOURS8, spread
+from pixtab.functions.offsets import NEIGHBOURS4, NEIGHBOURS8
+from pixtab.functions.strips import TILE, tile_votes
 
 _SELF = 16  # larger than any neighbour count
 
 
 def neighbour_counts(points: DataFrame, diagonal: bool = True) -> DataFrame:
-    """``(image_id, y, x, n)``: points next to each point, 0 when isolated. One shuffle, no join."""
+    """``(image_id, y, x, n)``: points next to each point, 0 when isolated. One shuffle of the points, no join."""
     ring = NEIGHBOURS8 if diagonal else NEIGHBOURS4
-    votes = spread(points, [*ring, (0, 0)], [1] * len(ring) + [_SELF])
-    total = votes.groupBy("image_id", "y", "x").agg(F.sum("k").alias("s"))
+    votes = tile_votes(points, [*ring, (0, 0)], [1] * len(ring) + [_SELF])
+    total = votes.groupBy(*TILE, "y", "x").agg(F.sum("k").alias("s"))
     return total.where(F.col("s") >= _SELF).select("image_id", "y", "x", (F.col("s") - _SELF).cast("int").alias("n"))
 
 

@@ -10,9 +10,9 @@ from pixtab.functions.keys import salted_join
 PIXEL = ["image_id", "y", "x"]
 
 
-def _window(anchors: DataFrame, half: int) -> DataFrame:
+def _window(anchors: DataFrame, half: int, keep: tuple[str, ...] = ()) -> DataFrame:
     reach = F.sequence(F.lit(-half), F.lit(half))
-    w = anchors.select("anchor_id", "image_id", F.col("y").alias("ay"), F.col("x").alias("ax"), F.explode(reach).alias("dy"))
+    w = anchors.select("anchor_id", "image_id", F.col("y").alias("ay"), F.col("x").alias("ax"), *keep, F.explode(reach).alias("dy"))
     w = w.select("*", F.explode(reach).alias("dx"))
     return w.withColumn("y", F.col("ay") + F.col("dy")).withColumn("x", F.col("ax") + F.col("dx")).drop("ay", "ax")
 
@@ -57,9 +57,8 @@ def observations(anchors: DataFrame, px: DataFrame, distance: DataFrame, visits:
         table = table.join(vesselness.select(*PIXEL, F.col("v").alias("vesselness")), PIXEL, "left")
         names.append("vesselness")
     table = table.join(visits.groupBy(*PIXEL).agg(F.min("first").alias("first")), PIXEL, "left")
-    out = _window(anchors, half).join(table, PIXEL, "left").na.fill(0, names)
-    out = out.join(anchors.select("anchor_id", F.col("order").alias("_order")), "anchor_id")
-    seen = F.coalesce((F.col("first") < F.col("_order")).cast("double"), F.lit(0.0))
+    out = _window(anchors, half, ("order",)).join(table, PIXEL, "left").na.fill(0, names)
+    seen = F.coalesce((F.col("first") < F.col("order")).cast("double"), F.lit(0.0))
     dt = F.least(F.greatest(F.col("d") / max(tolerance, 1e-6), F.lit(0.0)), F.lit(1.0))
     extra = [] if vesselness is None else ["vesselness"]
     return toward(out, "d").select("anchor_id", "dy", "dx", "r", "g", "b", seen.alias("visited"), dt.alias("dt"), "gy", "gx", *extra)

@@ -122,7 +122,7 @@ def frontier_seed(gt: DataFrame, covered: DataFrame, canvas: DataFrame, half: in
     far = (nearest_d2(left, covered).groupBy("image_id")
            .agg(F.max(F.struct("d2", (-F.col("y")).alias("ny"), (-F.col("x")).alias("nx"))).alias("b"))
            .select("image_id", (-F.col("b.ny")).alias("y"), (-F.col("b.nx")).alias("x")))
-    fresh = salted_join(left.join(covered.select("image_id").distinct(), "image_id", "left_anti"), canvas, ["image_id"])
+    fresh = salted_join(salted_join(left, covered.select("image_id").distinct(), ["image_id"], "left_anti"), canvas, ["image_id"])
     dy, dx = F.col("y") - F.floor(F.col("h") / 2), F.col("x") - F.floor(F.col("w") / 2)
     start = (fresh.groupBy("image_id").agg(F.min(F.struct((dy * dy + dx * dx).alias("d2"), "y", "x")).alias("b"))
              .select("image_id", F.col("b.y").alias("y"), F.col("b.x").alias("x")))

@@ -40,7 +40,7 @@ def official_test(samples: DataFrame, ratios: tuple[float, float, float] = (0.7,
     tests = samples.where("part = 'test'")
     have = tests.select("dataset").distinct()
     slice_ = three_way(samples.where("part <> 'test'"), ratios).where("split = 'test'").drop("split")
-    return tests.unionByName(slice_.join(F.broadcast(have) if have.isLocal() else have, "dataset", "left_anti"))
+    return tests.unionByName(salted_join(slice_, have, ["dataset"], "left_anti", by=("image_id",)))
 
 
 def by_ranges(manifest: DataFrame, ranges: Mapping[str, tuple[int, int]], number: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pixtab.functions.keys import id_x, id_y, pixel_id
 from pixtab.functions.lineage import materialize
 from pixtab.functions.offsets import NEIGHBOURS8, ellipse, offset_array, spread
-from pixtab.functions.strips import EDGE, TILE, at_home, halo_tiles
+from pixtab.functions.strips import EDGE, TILE, at_home, halo_tiles, tile_votes
 from pixtab.operators.components import remove_small
 from pixtab.operators.neighborhood import endpoints
 
@@ -57,10 +57,9 @@ def thin(points: DataFrame, per_round: int = 2, edge: int = EDGE) -> DataFrame:
 
 def adjacency(points: DataFrame) -> DataFrame:
     """``(image_id, pid, nbrs)``: each pixel's at most eight neighbours as pixel ids."""
-    back = offset_array([(-dy, -dx) for dy, dx in NEIGHBOURS8] + [(0, 0)])
-    votes = points.select("image_id", "y", "x", F.explode(back).alias("o")).select(
-        "image_id", pixel_id(F.col("y") + F.col("o.dy"), F.col("x") + F.col("o.dx")).alias("pid"), pixel_id().alias("q"))
-    around = votes.groupBy("image_id", "pid").agg(F.collect_list("q").alias("q")).where(F.array_contains("q", F.col("pid")))
+    votes = tile_votes(points, [(-dy, -dx) for dy, dx in NEIGHBOURS8] + [(0, 0)], keep=[pixel_id().alias("q")])
+    around = votes.groupBy(*TILE, "y", "x").agg(F.collect_list("q").alias("q")).select(
+        "image_id", pixel_id().alias("pid"), "q").where(F.array_contains("q", F.col("pid")))
     return around.select("image_id", "pid", F.array_sort(F.filter("q", lambda v: v != F.col("pid"))).alias("nbrs"))
 
 

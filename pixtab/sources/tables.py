@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixtab.functions.keys import salted_join
+
 KEY = ["dataset", "image_id", "params_hash"]
 
 # fixed values: columns of the per-image report, in order
@@ -72,6 +74,6 @@ def rl_agent_tables(px: DataFrame, centerline: DataFrame, vessel: DataFrame, fov
 def choose_fov(images: DataFrame, given: DataFrame, derived: DataFrame) -> DataFrame:
     """The loaded mask of an image where there is one, else the derived mask."""
     have = given.select("image_id").distinct()
-    return (given.join(images.select("image_id").distinct(), "image_id", "left_semi")
-            .unionByName(derived.join(images.select("image_id").distinct(), "image_id", "left_semi")
-                         .join(have, "image_id", "left_anti")))
+    wanted = images.select("image_id").distinct()
+    return (salted_join(given, wanted, ["image_id"], "left_semi")
+            .unionByName(salted_join(derived, wanted.join(have, "image_id", "left_anti"), ["image_id"], "left_semi")))
