@@ -8,43 +8,53 @@ span of every row, so a radius-40 ellipse costs 81 rows per point instead of 5,0
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixtab.functions.keys import salted_join
 from pixtab.functions.offsets import ellipse_rows
+from pixtab.functions.strips import TILE, at_home, halo_tiles
 
 PIXEL = ["image_id", "y", "x"]
 REFERENCE_DIAGONAL = 812.0
 
 
-def spans(rows: Sequence[tuple[int, int, int]]) -> Column:
-    return F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for dy, lo, hi in rows])
+class Element(NamedTuple):
+    """Row spans and how far they reach, when that is the same for all images."""
 
+    spans: Column
+    reach: int | None
 
-def ellipse_spans(size: int) -> Column:
-    return spans(ellipse_rows(size))
 
+def element(rows: Sequence[tuple[int, int, int]]) -> Element:
+    text = ", ".join(f"named_struct('dy', {dy}, 'lo', {lo}, 'hi', {hi})" for dy, lo, hi in rows)
+    return Element(F.expr(f"array({text})"), max(max(abs(v) for v in row) for row in rows))
 
-def disk_spans(radius: int) -> Column:
+
+def ellipse_spans(size: int) -> Element:
+    return element(ellipse_rows(size))
+
+
+def disk_spans(radius: int) -> Element:
     out = []
     for dy in range(-radius, radius + 1):
         half = max(d for d in range(radius + 1) if d * d + dy * dy <= radius * radius)
         out.append((dy, -half, half))
-    return spans(out)
+    return element(out)
 
 
-def square_spans(radius: int) -> Column:
-    return spans([(dy, -radius, radius) for dy in range(-radius, radius + 1)])
+def square_spans(radius: int) -> Element:
+    return element([(dy, -radius, radius) for dy in range(-radius, radius + 1)])
 
 
-def diamond_spans(radius: int) -> Column:
+def diamond_spans(radius: int) -> Element:
     """The cross element applied ``radius`` times."""
-    return spans([(dy, abs(dy) - radius, radius - abs(dy)) for dy in range(-radius, radius + 1)])
+    return element([(dy, abs(dy) - radius, radius - abs(dy)) for dy in range(-radius, radius + 1)])
 
 
-def ellipse_spans_of(size: Column) -> Column:
+def ellipse_spans_of(size: Column) -> Element:
     """Ellipse of a size given by a column (one size per image)."""
     r = F.floor(size / 2).cast("int")
     last = (size - 1 - r).cast("int")
@@ -54,7 +64,7 @@ def ellipse_spans_of(size: Column) -> Column:
             F.rint(r * F.sqrt((r * r - dy * dy) / F.greatest(r * r, F.lit(1))))).cast("int")
         return F.struct(dy.alias("dy"), (-half).alias("lo"), F.least(half, last).alias("hi"))
 
-    return F.transform(F.sequence(-r, last), row)
+    return Element(F.transform(F.sequence(-r, last), row), None)
 
 
 def kernel_size(h: Column, w: Column, base: int = 5) -> Column:
@@ -63,45 +73,55 @@ def kernel_size(h: Column, w: Column, base: int = 5) -> Column:
     return F.greatest(F.lit(1), F.rint(base * (diagonal / REFERENCE_DIAGONAL)).cast("int"))
 
 
-def dilate(points: DataFrame, element: Column, canvas: DataFrame | None = None) -> DataFrame:
+def _home(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.where(at_home()) if keys == TILE else df
+
+
+def dilate(points: DataFrame, shape: Element, canvas: DataFrame | None = None) -> DataFrame:
     """Pixels whose element meets the points; clipped to ``canvas`` when given.
 
-    ``element`` may use columns of ``canvas``.
+    The element may use columns of ``canvas``.
     """
-    pts = points.select(*PIXEL)
-    if canvas is not None:
+    pts, keys = points.select(*PIXEL), ["image_id"]
+    if shape.reach is not None:  # one shuffle; spreading and removing duplicates stay inside the tile
+        pts, keys = halo_tiles(pts, shape.reach), TILE
+    elif canvas is not None:
         pts = salted_join(pts, canvas, ["image_id"])
-    out = pts.withColumn("_e", F.explode(element))
+    out = pts.withColumn("_e", F.explode(shape.spans))
     out = out.withColumn("_x", F.explode(F.sequence(F.col("_e.lo"), F.col("_e.hi"))))
     out = out.withColumn("y", F.col("y") - F.col("_e.dy")).withColumn("x", F.col("x") - F.col("_x"))
-    if canvas is not None:
-        out = out.where("y >= 0 AND x >= 0 AND y < h AND x < w")
-    return out.select(*PIXEL).distinct()
+    out = _home(out, keys).select(*keys, "y", "x").distinct()
+    if canvas is None:
+        return out.select(*PIXEL)
+    return salted_join(out, canvas, ["image_id"]).where("y >= 0 AND x >= 0 AND y < h AND x < w").select(*PIXEL)
 
 
-def erode(points: DataFrame, element: Column, canvas: DataFrame | None = None) -> DataFrame:
+def erode(points: DataFrame, shape: Element, canvas: DataFrame | None = None) -> DataFrame:
     """Pixels whose whole element lies in the points.
 
     With ``canvas`` the outside does not count against a pixel; without it the outside is background.
     """
-    row = Window.partitionBy("image_id", "y")
-    pts = points.select(*PIXEL).distinct()
-    run = pts.withColumn("_g", F.col("x") - F.row_number().over(row.orderBy("x")))
-    span = Window.partitionBy("image_id", "y", "_g")
-    run = run.withColumn("_a", F.min("x").over(span)).withColumn("_b", F.max("x").over(span)).drop("_g")
+    sized = points.select(*PIXEL).distinct() if shape.reach is None else points.select(*PIXEL)
     if canvas is not None:
-        run = salted_join(run, canvas, ["image_id"])
-    run = run.withColumn("_s", element)
-    keep = [F.element_at("_s", 1)["dy"].alias("_first"), F.element_at("_s", -1)["dy"].alias("_last")]
+        sized = salted_join(sized, canvas, ["image_id"])
+    keys = ["image_id"]
+    if shape.reach is not None:
+        sized, keys = halo_tiles(sized, shape.reach).dropDuplicates([*TILE, "y", "x"]), TILE
+    row = Window.partitionBy(*keys, "y")
+    run = sized.withColumn("_g", F.col("x") - F.row_number().over(row.orderBy("x")))
+    span = Window.partitionBy(*keys, "y", "_g")
+    run = run.withColumn("_a", F.min("x").over(span)).withColumn("_b", F.max("x").over(span)).drop("_g")
+    run = run.withColumn("_s", shape.spans)
+    run = run.withColumn("_first", F.element_at("_s", 1)["dy"]).withColumn("_last", F.element_at("_s", -1)["dy"])
     extra = ["h"] if canvas is not None else []
-    run = run.select("*", *keep).withColumn("_e", F.explode("_s"))
+    run = run.withColumn("_e", F.explode("_s"))
     lo, hi = F.col("x") + F.col("_e.lo"), F.col("x") + F.col("_e.hi")
     if canvas is not None:
         lo, hi = F.greatest(lo, F.lit(0)), F.least(hi, F.col("w") - 1)
     ok = run.where((F.col("_a") <= lo) & (F.col("_b") >= hi))
-    votes = ok.select("image_id", (F.col("y") - F.col("_e.dy")).alias("y"), "x", "_first", "_last", *extra)
-    got = votes.groupBy(*PIXEL).agg(F.count(F.lit(1)).alias("_n"), F.first("_first").alias("_first"),
-                                    F.first("_last").alias("_last"), *[F.first(c).alias(c) for c in extra])
+    votes = _home(ok.withColumn("y", F.col("y") - F.col("_e.dy")), keys)
+    got = votes.groupBy(*keys, "y", "x").agg(F.count(F.lit(1)).alias("_n"), F.first("_first").alias("_first"),
+                                            F.first("_last").alias("_last"), *[F.first(c).alias(c) for c in extra])
     need = F.col("_last") - F.col("_first") + 1
     if canvas is not None:
         need = F.least(F.col("_last"), F.col("h") - 1 - F.col("y")) - F.greatest(F.col("_first"), -F.col("y")) + 1
@@ -109,14 +129,14 @@ def erode(points: DataFrame, element: Column, canvas: DataFrame | None = None) -
     return got.where(F.col("_n") == need).select(*PIXEL)
 
 
-def close(points: DataFrame, element: Column, canvas: DataFrame) -> DataFrame:
+def close(points: DataFrame, shape: Element, canvas: DataFrame) -> DataFrame:
     """Dilate, then erode."""
-    return erode(dilate(points, element, canvas), element, canvas)
+    return erode(dilate(points, shape, canvas), shape, canvas)
 
 
-def open_(points: DataFrame, element: Column, canvas: DataFrame) -> DataFrame:
+def open_(points: DataFrame, shape: Element, canvas: DataFrame) -> DataFrame:
     """Erode, then dilate."""
-    return dilate(erode(points, element, canvas), element, canvas)
+    return dilate(erode(points, shape, canvas), shape, canvas)
 
 
 def external_fov(gray: DataFrame, canvas: DataFrame, erosion: int | None = None, threshold: int = 128) -> DataFrame:

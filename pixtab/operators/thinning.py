@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from pixtab.functions.keys import id_x, id_y, pixel_id
 from pixtab.functions.lineage import materialize
-from pixtab.functions.offsets import NEIGHBOURS8, ellipse, offset_array, spread
+from pixtab.functions.offsets import NEIGHBOURS8, offset_array
 from pixtab.functions.strips import EDGE, TILE, at_home, halo_tiles, tile_votes
 from pixtab.operators.components import remove_small
+from pixtab.operators.morphology import dilate, ellipse_spans
 from pixtab.operators.neighborhood import endpoints
 
 PIXEL = ["image_id", "y", "x"]
@@ -125,7 +126,7 @@ def extract_centerline(mask: DataFrame, min_size: int = 50, min_length: int = 10
 
 def bridge_gaps(points: DataFrame, radius: int = 3) -> DataFrame:
     """Dilate by an ellipse to close small gaps, then thin again."""
-    return thin(spread(points, ellipse(2 * radius + 1)))
+    return thin(dilate(points, ellipse_spans(2 * radius + 1)))
 
 
 def cl_dice(pred_mask: DataFrame, gt_mask: DataFrame, images: DataFrame) -> DataFrame:
