@@ -27,6 +27,15 @@ def id_x(pid: Column) -> Column:
     return pid.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
 
 
+def spread_out(df: DataFrame, *cols: str | Column) -> DataFrame:
+    """Hash-partition into ``spark.sql.shuffle.partitions`` parts.
+
+    The count is explicit so that compact rows which stand for much work (tiles, bands) are not
+    merged into a few tasks because their bytes are small.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
                 by: Sequence[str] = ("y", "x"), salts: int = SALTS) -> DataFrame:
     """Join per-key statistics to many rows per key.

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixtab.functions.keys import salted_join
+from pixtab.functions.keys import salted_join, spread_out
 from pixtab.functions.offsets import offset_array
 
 EDGE = 256
@@ -31,9 +31,9 @@ def _cover(c: str, halo: int, edge: int) -> Column:
 
 def halo_tiles(px: DataFrame, halo: int, edge: int = EDGE) -> DataFrame:
     """Copy each pixel to its own tile and to tiles it is a halo pixel of; one shuffle by tile."""
-    return (px.withColumn("ty", F.explode(_cover("y", halo, edge)))
-            .withColumn("tx", F.explode(_cover("x", halo, edge)))
-            .repartition(*TILE))
+    copies = (px.withColumn("ty", F.explode(_cover("y", halo, edge)))
+              .withColumn("tx", F.explode(_cover("x", halo, edge))))
+    return spread_out(copies, *TILE)
 
 
 def at_home(edge: int = EDGE) -> Column:

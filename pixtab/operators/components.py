@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixtab.functions.keys import id_x, id_y, pixel_id, salted_join
+from pixtab.functions.keys import id_x, id_y, pixel_id, salted_join, spread_out
 from pixtab.functions.lineage import materialize
 from pixtab.functions.strips import EDGE
 
@@ -72,11 +72,15 @@ def _link_tile(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(piece=code[_roots(len(code), inside, at[inside])])
 
 
+def _tiled(px: DataFrame, edge: int) -> DataFrame:
+    out = px.withColumn("ty", F.floor(F.col("y") / edge).cast("int")).withColumn("tx", F.floor(F.col("x") / edge).cast("int"))
+    return spread_out(out, "image_id", "ty", "tx")
+
+
 def label_links(links: DataFrame, edge: int = EDGE) -> Labelled:
     """Components of pixels that name at most one other pixel each: ``(image_id, y, x, to)``."""
     key = links.schema["image_id"].dataType.simpleString()
-    tile = [F.floor(F.col(c) / edge).cast("int").alias(t) for c, t in (("y", "ty"), ("x", "tx"))]
-    px = materialize(links.select(*PIXEL, "to").groupBy("image_id", *tile).applyInPandas(
+    px = materialize(_tiled(links.select(*PIXEL, "to"), edge).groupBy("image_id", "ty", "tx").applyInPandas(
         lambda pdf: _link_tile(pdf)[["image_id", "y", "x", "to", "piece"]], f"image_id {key}, y int, x int, to bigint, piece bigint"))
     ends = px.select("image_id", pixel_id().alias("to"), F.col("piece").alias("b"))
     over = (px.where("to IS NOT NULL").where(
@@ -125,8 +129,7 @@ def label_components(points: DataFrame, diagonal: bool = True, edge: int = EDGE)
     """Label an arbitrary point set; 8-connected when ``diagonal``, else 4-connected."""
     forward = _FORWARD8 if diagonal else _FORWARD4
     key = points.schema["image_id"].dataType.simpleString()
-    tile = [F.floor(F.col(c) / edge).cast("int").alias(t) for c, t in (("y", "ty"), ("x", "tx"))]
-    px = materialize(points.select(*PIXEL).groupBy("image_id", *tile).applyInPandas(
+    px = materialize(_tiled(points.select(*PIXEL), edge).groupBy("image_id", "ty", "tx").applyInPandas(
         lambda pdf: _label_tile(pdf, forward), f"image_id {key}, y int, x int, piece bigint"))
     rim = px.where(F.pmod("y", F.lit(edge)).isin(0, edge - 1) | F.pmod("x", F.lit(edge)).isin(0, edge - 1))
     reach = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in forward])

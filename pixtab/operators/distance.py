@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixtab.functions.keys import salted_join
+from pixtab.functions.keys import salted_join, spread_out
 from pixtab.functions.offsets import disk
 from pixtab.functions.strips import TILE, tile_votes
 
-BAND = 64       # raster rows handled together in the second pass, fewer when rows are very long
-_BAND_PIXELS = 1 << 22
 _CHUNK = 1 << 20  # candidate distances evaluated at once
 
 
@@ -40,52 +40,62 @@ def clipped_distance(points: DataFrame, canvas: DataFrame, tolerance: float) ->
 
 
 def _row_minima(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Min over columns of ``(x - x')^2 + g2`` for the query pixels of one band of rows."""
+    """Min over columns of ``(x - x')^2 + g2`` for the query pixels of complete raster rows, sorted."""
+    image, y, x = pdf["image_id"].to_numpy(), pdf["y"].to_numpy("int64"), pdf["x"].to_numpy("int64")
+    row = np.cumsum(np.r_[False, (image[1:] != image[:-1]) | (y[1:] != y[:-1])])
     is_q = pdf["g2"].isna().to_numpy()
-    src = pdf[~is_q].sort_values(["y", "x"])
-    q = pdf[is_q].sort_values(["y", "x"])
-    sy, sx, g2 = (src[c].to_numpy("int64") for c in ("y", "x", "g2"))
-    qy, qx = q["y"].to_numpy("int64"), q["x"].to_numpy("int64")
-    if len(src) == 0 or len(q) == 0:
-        return pd.DataFrame({"image_id": q["image_id"][:0], "y": qy[:0], "x": qx[:0], "d2": qx[:0]})
-    base = max(sx.max(), qx.max()) + 1
-    code = sy * base + sx
-    lo_row, hi_row = np.searchsorted(sy, qy, "left"), np.searchsorted(sy, qy, "right")
-    at = np.clip(np.searchsorted(code, qy * base + qx), lo_row, np.maximum(hi_row - 1, lo_row))
-    best = np.full(len(q), -1, "int64")
-    has = hi_row > lo_row
-    # an upper bound from the next column limits how far left and right a better one can lie
-    bound = np.where(has, (sx[np.minimum(at, len(sx) - 1)] - qx) ** 2 + g2[np.minimum(at, len(sx) - 1)], 0)
-    reach = np.floor(np.sqrt(bound)).astype("int64") + 1
-    lo = np.maximum(np.searchsorted(code, qy * base + np.maximum(qx - reach, 0)), lo_row)
-    hi = np.minimum(np.searchsorted(code, qy * base + np.minimum(qx + reach, base - 1), "right"), hi_row)
-    size = np.where(has, np.maximum(hi - lo, 0), 0)
-    cuts = np.unique(np.searchsorted(np.cumsum(size), np.arange(_CHUNK, size.sum() + _CHUNK, _CHUNK), "right"))
-    for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(q)]):
-        part = np.arange(s, e)[size[s:e] > 0]
-        if len(part) == 0:
-            continue
-        n = size[part]
-        start = np.cumsum(n) - n
-        owner = np.repeat(part, n)
-        cand = np.arange(n.sum()) - np.repeat(start, n) + np.repeat(lo[part], n)
-        best[part] = np.minimum.reduceat((sx[cand] - qx[owner]) ** 2 + g2[cand], start)
-    keep = best >= 0
-    return pd.DataFrame({"image_id": q["image_id"][keep], "y": qy[keep], "x": qx[keep], "d2": best[keep]})
+    sx, srow, g2 = x[~is_q], row[~is_q], pdf["g2"].to_numpy("float64")[~is_q].astype("int64")
+    qx, qrow, qi = x[is_q], row[is_q], np.flatnonzero(is_q)
+    best = np.full(len(qx), -1, "int64")
+    if len(sx) and len(qx):
+        base = x.max() + 1
+        code, want = srow * base + sx, qrow * base + qx
+        lo_row, hi_row = np.searchsorted(srow, qrow, "left"), np.searchsorted(srow, qrow, "right")
+        has = hi_row > lo_row
+        # an upper bound from the next column limits how far left and right a better one can lie
+        at = np.minimum(np.clip(np.searchsorted(code, want), lo_row, np.maximum(hi_row - 1, lo_row)), len(sx) - 1)
+        reach = np.floor(np.sqrt(np.where(has, (sx[at] - qx) ** 2 + g2[at], 0))).astype("int64") + 1
+        lo = np.maximum(np.searchsorted(code, want - np.minimum(reach, qx)), lo_row)
+        hi = np.minimum(np.searchsorted(code, want + np.minimum(reach, base - 1 - qx), "right"), hi_row)
+        size = np.where(has, np.maximum(hi - lo, 0), 0)
+        cuts = np.unique(np.searchsorted(np.cumsum(size), np.arange(_CHUNK, size.sum() + _CHUNK, _CHUNK), "right"))
+        for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(qx)]):
+            part = np.arange(s, e)[size[s:e] > 0]
+            if len(part) == 0:
+                continue
+            n = size[part]
+            start = np.cumsum(n) - n
+            owner = np.repeat(part, n)
+            cand = np.arange(n.sum()) - np.repeat(start, n) + np.repeat(lo[part], n)
+            best[part] = np.minimum.reduceat((sx[cand] - qx[owner]) ** 2 + g2[cand], start)
+    keep = qi[best >= 0]
+    return pd.DataFrame({"image_id": image[keep], "y": y[keep], "x": x[keep], "d2": best[best >= 0]})
+
+
+def _whole_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cut sorted batches between raster rows; only the unfinished row is held back."""
+    held = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        image, y = pdf["image_id"].to_numpy(), pdf["y"].to_numpy()
+        ends = np.flatnonzero((image[1:] != image[:-1]) | (y[1:] != y[:-1]))
+        cut = ends[-1] + 1 if len(ends) else 0
+        held = pdf.iloc[cut:]
+        if cut:
+            yield _row_minima(pdf.iloc[:cut])
+    if held is not None and len(held):
+        yield _row_minima(held)
 
 
 def nearest_d2(queries: DataFrame, targets: DataFrame) -> DataFrame:
     """Exact squared Euclidean distance from each query pixel to the nearest target of its image.
 
     Two separable passes. Down each (image, column): nearest target row by two running windows.
-    Along each band of rows: minimum over columns. Both groups are bounded by the canvas, so a hot
-    image is many tasks. Queries of images without targets are left out.
+    Along each raster row: minimum over columns. Both groups are bounded by the canvas, so a hot
+    image is many tasks, and a task holds one unfinished row at a time. Queries of images without targets are left out.
     """
     key = queries.schema["image_id"].dataType.simpleString()
     box = queries.groupBy("image_id").agg(F.min("y").alias("y0"), F.max("y").alias("y1"))
-    wide = (queries.select("image_id", "x").unionByName(targets.select("image_id", "x")).groupBy("image_id")
-            .agg((F.max("x") - F.min("x") + 1).alias("_w"))
-            .select("image_id", F.least(F.lit(BAND), F.greatest(F.lit(1), F.floor(F.lit(_BAND_PIXELS) / F.col("_w")))).alias("_rows")))
     cols = salted_join(targets.select("image_id", "x").distinct(), box, ["image_id"], by=("x",))
     blank = cols.select("image_id", "x", F.explode(F.expr("sequence(y0, y1)")).alias("y"),
                         F.lit(None).cast("int").alias("t"))
@@ -100,9 +110,8 @@ def nearest_d2(queries: DataFrame, targets: DataFrame) -> DataFrame:
     sides = (seen.join(wanted, ["image_id", "y"], "left_semi")
              .select("image_id", "y", "x", (g * g).alias("g2"))
              .unionByName(queries.select("image_id", "y", "x", F.lit(None).cast("long").alias("g2"))))
-    sides = salted_join(sides, wide, ["image_id"])
-    return (sides.groupBy("image_id", F.floor(F.col("y") / F.col("_rows")).alias("_band"))
-            .applyInPandas(lambda pdf: _row_minima(pdf), f"image_id {key}, y int, x int, d2 bigint"))
+    ordered = spread_out(sides, "image_id", "y").sortWithinPartitions("image_id", "y", "x")
+    return ordered.mapInPandas(_whole_rows, f"image_id {key}, y int, x int, d2 bigint")
 
 
 def distance_map(points: DataFrame, canvas: DataFrame) -> DataFrame:

@@ -56,7 +56,9 @@ def with_validity(steps: DataFrame, canvas: DataFrame, half: int, fov: DataFrame
     out = salted_join(steps, canvas.select("image_id", "h", "w"), ["image_id"], how="left", by=("step",))
     ok = F.col("y").between(half, F.col("h") - half - 1) & F.col("x").between(half, F.col("w") - half - 1)
     if fov is not None:
-        seen = fov.select(*PIXEL).distinct().withColumn("_in", F.lit(True))
+        # masks are dense: keep only visited pixels (a broadcast when those are few) before the shuffle
+        seen = fov.select(*PIXEL).join(steps.select(*PIXEL).distinct(), PIXEL, "left_semi")
+        seen = seen.distinct().withColumn("_in", F.lit(True))
         out = out.join(seen, PIXEL, "left")
         ok = ok & F.col("_in").isNotNull()
     return out.withColumn("is_valid", F.coalesce(ok, F.lit(False))).drop("h", "w", "_in")
