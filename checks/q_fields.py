@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from checks.q_grids import C1, DIMS, ERO, clahe_cte, dims, gauss_cte, pool_cte, rgb, ridge_cte, skel_cte
+from checks.q_grids import C1, DIMS, ERO, clahe_cte, dims, gauss_cte, rgb, ridge_cte, skel_cte
 from checks.q_metrics import HD_CTE, NB_GT, hits
-from checks.q_shapes import CLDICE, CLDICE_VALUE, label_cte, thin_cte
+from checks.q_shapes import CLDICE, CLDICE_VALUE, label_cte
 from checks.q_steplog import SMALL_STAGES
 from checks.registry import query
 from pixtab.functions import strips as st
 from pixtab.functions.lineage import materialize
-from pixtab.operators import augment, distance, filters, linking, losses, metrics, patches, seeds, steplog, summaries
+from pixtab.operators import distance, filters, linking, losses, metrics, patches, seeds, steplog, summaries
 from pixtab.plans import centerlines, enhance, evaluation
 from pixtab.streaming import episodes
 

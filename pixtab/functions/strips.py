@@ -112,29 +112,33 @@ def pool(strips: DataFrame, name: str, radius: int, least: bool = False) -> Data
     return pool_columns(strips.withColumn(name, pool_rows(F.col(name), radius, reduce)), name, radius, least)
 
 
-def _padding(start: int, size: int, radius: int, total: int) -> np.ndarray:
-    """Block indices of positions ``start - radius`` onwards when the raster repeats in mirror order.
+def _padding(start: int, size: int, radius: int, total: int, mirror: bool) -> np.ndarray:
+    """Block indices of positions ``start - radius`` onwards beyond a mirrored or repeated border.
 
     Positions beyond the block are clipped; they only feed halo pixels.
     """
-    i = np.arange(start - radius, start + size + radius) % (2 * total)
-    return np.clip(np.where(i < total, i, 2 * total - 1 - i) - start, 0, size - 1)
+    i = np.arange(start - radius, start + size + radius)
+    if mirror:
+        i = i % (2 * total)
+        i = np.where(i < total, i, 2 * total - 1 - i)
+    return np.clip(np.clip(i, 0, total - 1) - start, 0, size - 1)
 
 
-def _slide(block: np.ndarray, kernel: Sequence[float], start: int, total: int) -> np.ndarray:
+def _slide(block: np.ndarray, kernel: Sequence[float], start: int, total: int, mirror: bool) -> np.ndarray:
     """Correlate the rows of ``block`` with ``kernel``."""
     n = block.shape[1]
-    padded = block[:, _padding(start, n, len(kernel) // 2, total)]
+    padded = block[:, _padding(start, n, len(kernel) // 2, total, mirror)]
     out = np.zeros(block.shape)
     for j, weight in enumerate(kernel):
         out += weight * padded[:, j:j + n]
     return out
 
 
-def convolve(strips: DataFrame, passes: Mapping[str, tuple[Sequence[float], Sequence[float]]], value: str = "v") -> DataFrame:
-    """Separable correlations with a mirrored border: ``{output: (kernel along x, kernel along y)}``.
+def convolve(strips: DataFrame, passes: Mapping[str, tuple[Sequence[float], Sequence[float]]], value: str = "v",
+             mirror: bool = True, keep: bool = False) -> DataFrame:
+    """Separable correlations ``{output: (kernel along x, kernel along y)}``, border mirrored or repeated.
 
-    Needs ``h, w`` and a halo of the longest kernel's radius. Each tile is one bounded numpy block, in
+    ``keep`` also returns the input. Needs ``h, w`` and a halo of the longest kernel's radius. Each tile is one bounded numpy block, in
     the partition where the strips already are: weighted sums of a few dozen taps run over ten
     times faster there than as array expressions.
     """
@@ -146,11 +150,14 @@ def convolve(strips: DataFrame, passes: Mapping[str, tuple[Sequence[float], Sequ
         block = np.stack(pdf[value].to_numpy())
         rows: dict[int, np.ndarray] = {}
         out = pdf[[*TILE, "y", "x0"]].copy()
+        if keep:
+            out[value] = pdf[value]
         for name, (along_x, along_y) in passes.items():
             if id(along_x) not in rows:
-                rows[id(along_x)] = _slide(block, along_x, x0, w)
-            out[name] = list(_slide(rows[id(along_x)].T, along_y, y0, h).T)
+                rows[id(along_x)] = _slide(block, along_x, x0, w, mirror)
+            out[name] = list(_slide(rows[id(along_x)].T, along_y, y0, h, mirror).T)
         return out
 
-    schema = f"image_id {key}, ty int, tx int, y int, x0 int, " + ", ".join(f"`{n}` array<double>" for n in passes)
+    schema = f"image_id {key}, ty int, tx int, y int, x0 int, " + ", ".join(
+        f"`{n}` array<double>" for n in [*([value] if keep else []), *passes])
     return strips.select(*TILE, "y", "x0", value, "h", "w").groupBy(*TILE).applyInPandas(tile, schema)

@@ -39,32 +39,11 @@ def median(grid: DataFrame, size: int = 3, edge: int = st.EDGE) -> DataFrame:
 
 
 def adaptive_mean_points(grid: DataFrame, block: int = 51, c: float = 10, edge: int = st.EDGE) -> DataFrame:
-    """Pixels brighter than their rounded ``block`` x ``block`` mean plus ``c``; the border is repeated.
-
-    Row sums come from prefix sums inside the strip, column sums from a window over whole rows.
-    """
-    r = block // 2
-    s = st.to_strips(grid.select(*PIXEL, F.col("v").cast("bigint").alias("v")), r, edge=edge, canvas=st.canvas_of(grid))
-
-    def row_sum(_: Column, i: Column) -> Column:
-        x = F.col("x0") + i
-        part = F.slice("v", F.greatest(i - r, F.lit(0)) + 1, F.least(i, F.lit(r)) + r + 1)
-        total = F.aggregate(part, F.lit(0).cast("bigint"), lambda a, b: a + b)
-        before, after = F.greatest(r - x, F.lit(0)), F.greatest(x + r - (F.col("w") - 1), F.lit(0))
-        return total + before * F.col("v")[0] + after * F.element_at("v", -1)
-
-    s = s.withColumn("hs", F.transform("v", row_sum))
-    order = Window.partitionBy(*st.TILE).orderBy("y")
-    s = (s.withColumn("rows", F.collect_list("hs").over(st.rows_around(r)))
-         .withColumn("top", F.first("hs").over(order.rowsBetween(-r, 0)))
-         .withColumn("bottom", F.last("hs").over(order.rowsBetween(0, r))))
-    above, below = F.greatest(r - F.col("y"), F.lit(0)), F.greatest(F.col("y") + r - (F.col("h") - 1), F.lit(0))
-    zero = F.transform("hs", lambda _: F.lit(0).cast("bigint"))
-    total = F.aggregate("rows", zero, lambda acc, row: F.zip_with(acc, row, lambda a, b: a + b))
-    total = F.zip_with(total, F.col("top"), lambda a, b: a + above * b)
-    total = F.zip_with(total, F.col("bottom"), lambda a, b: a + below * b)
-    s = s.select(*st.TILE, "y", "x0", F.zip_with("v", total, lambda v, t: v > F.rint(t / float(block * block)) + c).alias("v"))
-    return st.to_pixels(s, edge=edge).where("v").select(*PIXEL)
+    """Pixels brighter than their rounded ``block`` x ``block`` mean plus ``c``; the border is repeated."""
+    box = [1.0] * block  # sums of integers are exact in doubles
+    s = st.to_strips(grid.select(*PIXEL, F.col("v").cast("double").alias("v")), block // 2, edge=edge, canvas=st.canvas_of(grid))
+    t = st.to_pixels(st.convolve(s, {"total": (box, box)}, mirror=False, keep=True), ["v", "total"], edge)
+    return t.where(F.col("v") > F.rint(F.col("total") / float(block * block)) + c).select(*PIXEL)
 
 
 def gaussian_kernel(sigma: float, order: int = 0, truncate: float = 4.0) -> list[float]:
