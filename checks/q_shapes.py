@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from checks import fixtures as fx
 from checks.registry import query
 from pixtab.operators import components, graph, thinning
