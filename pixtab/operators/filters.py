@@ -164,9 +164,12 @@ def clahe(grid: DataFrame, clip: float = 2.5, tiles: int = 8) -> DataFrame:
     hist = (parts.groupBy("image_id", F.floor(F.col("_py") / F.col("th")).cast("int").alias("ry"),
                           F.floor(F.col("_px") / F.col("tw")).cast("int").alias("rx"), "v")
             .agg(F.count(F.lit(1)).cast("int").alias("n"), F.first(F.col("th") * F.col("tw")).alias("area")))
-    full = hist.groupBy(*region).agg(F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("m"), F.first("area").alias("area"))
+    full = hist.groupBy(*region).agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("m"), F.first("area").alias("area"))
     limit = F.greatest(F.floor(clip * F.col("area") / 256).cast("int"), F.lit(1))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
+    gap = lambda upto, have: F.array_repeat(F.lit(0), upto - F.size(have))
+    filled = F.aggregate("m", F.array().cast("array<int>"), lambda acc, s: F.concat(acc, gap(s["v"], acc), F.array(s["n"])))
+    full = full.withColumn("m", filled)
+    counts = F.concat("m", gap(F.lit(256), F.col("m")))
     full = full.withColumn("c", counts).withColumn("limit", limit)
     full = full.withColumn("excess", F.aggregate("c", F.lit(0), lambda a, b: a + F.greatest(b - F.col("limit"), F.lit(0))))
     rest = F.col("excess") % 256
@@ -192,7 +195,8 @@ def clahe(grid: DataFrame, clip: float = 2.5, tiles: int = 8) -> DataFrame:
     fy, fx = F.col("y") * (1.0 / F.col("th")) - 0.5, F.col("x") * (1.0 / F.col("tw")) - 0.5
     px = px.select(*PIXEL, "v", F.floor(fy).cast("int").alias("cy"), F.floor(fx).cast("int").alias("cx"),
                    (fy - F.floor(fy)).alias("a"), (fx - F.floor(fx)).alias("b"))
-    out = salted_join(px, cells, ["image_id", "cy", "cx"])
+    # a cell is at most 1/49 of an image, so few shares are enough for rows this wide
+    out = salted_join(px, cells, ["image_id", "cy", "cx"], salts=4)
     at = {n: F.get(F.col(n), F.col("v")) for n in ("l00", "l01", "l10", "l11")}
     a, b = F.col("a"), F.col("b")
     value = (at["l00"] * (1 - b) + at["l01"] * b) * (1 - a) + (at["l10"] * (1 - b) + at["l11"] * b) * a
