@@ -1,7 +1,8 @@
 """Derived inputs: curves from ``events``, rasters from ``embeddings``, file lists from orders.
 
 Each view exists twice: as a Spark DataFrame (scale-safe) and as a DuckDB CTE for the oracles.
-Canvases of curve images are 192 x 192; raster images are 64 pixels wide and up to 64 high.
+Gaps and shifts of the predicted curves depend on event type and value. Canvases of curve images are
+192 x 192; raster images are 64 pixels wide and up to 64 high.
 """
 
 from __future__ import annotations

@@ -139,7 +139,7 @@ def convolve(strips: DataFrame, passes: Mapping[str, tuple[Sequence[float], Sequ
     """Separable correlations ``{output: (kernel along x, kernel along y)}``, border mirrored or repeated.
 
     ``keep`` also returns the input. Needs ``h, w`` and a halo of the longest kernel's radius. Each tile is one bounded numpy block, in
-    the partition where the strips already are: weighted sums of a few dozen taps run over ten
+    the partition where the strips already are: weighted sums of a few dozen taps run several
     times faster there than as array expressions.
     """
     key = strips.schema["image_id"].dataType.simpleString()
