@@ -17,7 +17,7 @@ from pixtab.llm.bpe import KEY, packed
 
 #: Tokens of a sequence, bins open at a time, sequences of a task, and the most tasks.
 SIZE, OPEN, SEQUENCES, TASKS = 4096, 1024, 4096, 20_000
-END, CACHE = 1, 500_000
+END, CACHE = 1, 800_000
 
 
 class WordIds(dict):
@@ -30,9 +30,20 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.marks = {c: self.ask(c) for c in ".,;:!?"}
+
+    def ask(self, piece: str) -> bytes:
+        return packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
     def __missing__(self, piece: str) -> bytes:
-        ids = packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        # Letters are a word of their own beside a mark, and upper case is read as lower case (bar two
+        # letters whose lower case depends on their place or is two characters): most new pieces are known so.
+        if piece[-1:] in self.marks and piece[:-1].isalpha():
+            ids = self[piece[:-1]] + self.marks[piece[-1]]
+        elif piece.isalpha() and piece != (low := piece.lower()) and "\u03a3" not in piece and "\u0130" not in piece:
+            ids = self[low]
+        else:
+            ids = self.ask(piece)
         if len(piece) <= KEY:
             if len(self) >= CACHE:
                 self.clear()
