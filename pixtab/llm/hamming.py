@@ -83,7 +83,10 @@ def links(nodes: DataFrame, radius: int, family: Callable[[int, int], list[int]]
     while True:
         table = [(free, t, m, free & ~m) for free in paths for t, m in enumerate(family(free, radius))]
         final = max(len(bits_of(rest)) for *_, rest in table) <= last
-        rows = level.join(F.broadcast(_literal(level, table)), "free").select(
+        masks = F.array(*[F.struct(F.lit(signed(f)).alias("of"), F.lit(t).alias("t"), F.lit(signed(m)).alias("mask"),
+                                   F.lit(signed(r)).alias("rest")) for f, t, m, r in table])
+        own = masks if len(paths) == 1 else F.filter(masks, lambda m: m["of"] == F.col("free"))
+        rows = level.select("fp", "at", F.inline(own)).select(
             "fp", F.col("rest").alias("free"), F.xxhash64("at", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("at"))
         sizes = rows.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         held = materialize(rows.join(sizes, "at"))
@@ -97,12 +100,5 @@ def links(nodes: DataFrame, radius: int, family: Callable[[int, int], list[int]]
         paths = list(dict.fromkeys(rest for *_, rest in table))
 
 
-def _literal(df: DataFrame, table: list[tuple[int, int, int, int]]) -> DataFrame:
-    """The masks of one level, at most a few hundred rows."""
-    row = [F.struct(F.lit(signed(f)).alias("free"), F.lit(t).alias("t"), F.lit(signed(m)).alias("mask"), F.lit(signed(r)).alias("rest"))
-           for f, t, m, r in table]
-    return df.sparkSession.range(1).select(F.inline(F.array(*row)))
-
-
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

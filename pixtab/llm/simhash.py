@@ -61,7 +61,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     named = roots.join(nodes, "fp")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = named.join(least, "root").select("fp", "component_id")
-    of = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # Stored, so that the next join deals out both sides anew and can split a fingerprint with many copies.
+    of = materialize(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
     return own.join(of, "fp").select(id_col, "fp", "component_id")
 
 
