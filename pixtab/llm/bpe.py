@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from pixtab.llm.arrow import map_rows, per_worker
 
@@ -167,7 +168,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
             ids = bpe.encode(body or "")
             yield (*kept, list(unpacked(ids)), bpe.decode(ids))
         return one
-    shape = docs.select(*keep).schema.add("ids", "array<bigint>").add("decoded", "string")
+    shape = docs.select(*keep).schema.add("ids", ArrayType(LongType())).add("decoded", "string")
     return map_rows(docs.select(text, *keep), make, shape)
 
 

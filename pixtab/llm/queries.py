@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixtab.llm import bpe, packing, quality, simhash, topk
+from pixtab.llm import bpe, packing, quality, secrets, simhash, topk, toxicity, urls
 
 
 def tokenizer(name: str) -> str:
@@ -22,7 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": lambda s, d: topk.op1_topk(table(s, d, "embeddings")),
+    "op2_toxicity": lambda s, d: toxicity.op2_toxicity(table(s, d, "documents"), table(s, d, "labels")),
+    "op3_secrets": lambda s, d: secrets.op3_secrets(table(s, d, "documents")),
     "op4_simhash": lambda s, d: simhash.op4_simhash(table(s, d, "documents")),
+    "op5_urls": lambda s, d: urls.op5_urls(table(s, d, "pages")),
     "op6_bpe": lambda s, d: bpe.op6_bpe(table(s, d, "documents"), tokenizer("byte_bpe_50k.json")),
     "op7_quality": lambda s, d: quality.op7_quality(table(s, d, "documents")),
     "op10_packing": lambda s, d: packing.op10_packing(table(s, d, "documents"), tokenizer("word_bpe_49k.json")),
