@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from pixtab.functions.lineage import ensure_checkpoint_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows of one output batch; keeps what is held at once small beside the texts themselves.
@@ -27,6 +30,14 @@ def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
     return store[key]
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared checkpoint folder and read again: for wide tables of texts."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ascii_lower(c: Column) -> Column:
     """Only A-Z become a-z."""
     return F.translate(c, UPPER, LOWER)

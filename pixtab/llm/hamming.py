@@ -13,6 +13,8 @@ from pixtab.llm.arrow import map_rows
 
 ALL = (1 << 64) - 1
 BUCKET = 256
+#: Sizes of buckets are broadcast if there can be no more buckets than this.
+KEYS = 1 << 19
 
 
 def signed(x: int) -> int:
@@ -54,6 +56,11 @@ def span(values: Sequence[int], radius: int) -> Iterator[tuple[int, int]]:
             yield min(a, b), max(a, b)
         return
     left = np.unique(np.asarray(values, dtype=np.int64))
+    alone = np.ones(left.size, bool)
+    for lo in range(0, left.size, 256):
+        near = np.bitwise_count((left[lo:lo + 256, None] ^ left[None, :]).view(np.uint64)) <= radius
+        alone[lo:lo + 256] = near.sum(axis=1) < 2
+    left = left[~alone]
     while left.size > 1:
         group, edge, left = [left[:1]], left[:1], left[1:]
         while edge.size and left.size:
@@ -89,7 +96,11 @@ def links(nodes: DataFrame, radius: int, family: Callable[[int, int], list[int]]
         rows = level.select("fp", "at", F.inline(own)).select(
             "fp", F.col("rest").alias("free"), F.xxhash64("at", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("at"))
         sizes = rows.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        held = materialize(rows.join(sizes, "at"))
+        if sum(1 << len(bits_of(m)) for *_, m, _ in table) <= KEYS:
+            sizes = F.broadcast(materialize(sizes))  # no more rows than there are keys
+            held = rows.join(sizes, "at")
+        else:
+            held = materialize(rows.join(sizes, "at"))
         fits = held if final else held.where(F.col("n") <= bucket)
         found = map_rows(fits.groupBy("at").agg(F.collect_list("fp").alias("fps")).select("fps"),
                          lambda: lambda fps: span(fps, radius), "a bigint, b bigint")

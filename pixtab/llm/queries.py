@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixtab.llm import bpe, packing, quality, secrets, simhash, topk, toxicity, urls
+from pixtab.llm import bpe, lines, packing, pii, quality, secrets, simhash, topk, toxicity, urls
 
 
 def tokenizer(name: str) -> str:
@@ -28,6 +28,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_urls": lambda s, d: urls.op5_urls(table(s, d, "pages")),
     "op6_bpe": lambda s, d: bpe.op6_bpe(table(s, d, "documents"), tokenizer("byte_bpe_50k.json")),
     "op7_quality": lambda s, d: quality.op7_quality(table(s, d, "documents")),
+    "op8_lines": lambda s, d: lines.op8_lines(table(s, d, "documents")),
+    "op9_pii": lambda s, d: pii.op9_pii(table(s, d, "documents")),
     "op10_packing": lambda s, d: packing.op10_packing(table(s, d, "documents"), tokenizer("word_bpe_49k.json")),
 }
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline
 ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE}
