@@ -169,7 +169,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
             yield (*kept, list(unpacked(ids)), bpe.decode(ids))
         return one
     shape = docs.select(*keep).schema.add("ids", ArrayType(LongType())).add("decoded", "string")
-    return map_rows(docs.select(text, *keep), make, shape)
+    return map_rows(docs.select(F.col(text).alias("_text"), *keep), make, shape)
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -182,7 +182,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
             yield (*kept, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
         return one
     shape = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return map_rows(docs.select(F.col(text), *keep), make, shape)
+    return map_rows(docs.select(F.col(text).alias("_text"), *keep), make, shape)
 
 
 def op6_bpe(docs: DataFrame, path: str) -> DataFrame:

@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     shape = docs.select(*keep).schema
     for name, kind in (("piece", "integer"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")):
         shape = shape.add(name, kind)
-    return map_rows(docs.select(text, *keep), make, shape)
+    return map_rows(docs.select(F.col(text).alias("_text"), *keep), make, shape)
 
 
 class Bins:

@@ -108,7 +108,7 @@ def measured(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id
     shape = docs.select(*keep).schema
     for m in MEASURES:
         shape = shape.add(m, "long")
-    return map_rows(docs.select(F.col(text).cast("binary"), *keep), make, shape)
+    return map_rows(docs.select(F.col(text).cast("binary").alias("_text"), *keep), make, shape)
 
 
 def bits(rules: Sequence[Rule] = RULES) -> Column:

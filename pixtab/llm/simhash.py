@@ -43,7 +43,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
             yield (*kept, fingerprint(body))
         return one
     shape = docs.select(*keep).schema.add("fp", "long")
-    return map_rows(docs.select(F.col(text).cast("binary"), *keep), make, shape)
+    return map_rows(docs.select(F.col(text).cast("binary").alias("_text"), *keep), make, shape)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:

@@ -110,7 +110,7 @@ def featured(docs: DataFrame, lexicon: Mapping[str, float], text: str, keep: tup
             yield (*kept, features(body, words))
         return one
     shape = docs.select(*keep).schema.add("features", ArrayType(DoubleType()))
-    return map_rows(docs.select(text, *keep), make, shape)
+    return map_rows(docs.select(F.col(text).alias("_text"), *keep), make, shape)
 
 
 def learn_lexicon(labelled: DataFrame, text: str, most: int = TERMS) -> dict[str, float]:
