@@ -38,6 +38,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def whole_rows(docs: DataFrame, **own: Column) -> DataFrame:
+    """``own`` columns beside each row of ``docs`` as the struct ``_r``, so that no name of ``docs`` can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_r"), *[c.alias(n) for n, c in own.items()])
+
+
+def rows_back(df: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``_r``, with some changed."""
+    names = df.schema["_r"].dataType.names
+    return df.select(*[changed.get(n, F.col(f"_r.`{n}`")).alias(n) for n in names])
+
+
 def ascii_lower(c: Column) -> Column:
     """Only A-Z become a-z."""
     return F.translate(c, UPPER, LOWER)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixtab.functions.lineage import materialize
-from pixtab.llm.arrow import map_rows
 
 ALL = (1 << 64) - 1
 BUCKET = 256
@@ -51,7 +51,7 @@ def span(values: Sequence[int], radius: int) -> Iterator[tuple[int, int]]:
     a dense group is left after few comparisons.
     """
     if len(values) == 2:
-        a, b = values
+        a, b = map(int, values)
         if a != b and ((a ^ b) & ALL).bit_count() <= radius:
             yield min(a, b), max(a, b)
         return
@@ -74,15 +74,36 @@ def span(values: Sequence[int], radius: int) -> Iterator[tuple[int, int]]:
         yield from ((int(found[0]), int(x)) for x in found[1:])
 
 
+def search_sorted(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links inside each bucket of rows ``(at, fp)`` that come bucket by bucket; one bucket is held at a time."""
+    shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    held_at, held = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def found(at: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        cuts = np.flatnonzero(np.diff(at)) + 1
+        pairs = [p for run in np.split(fps, cuts) for p in span(run, radius)]
+        columns = list(zip(*pairs, strict=True)) if pairs else [[], []]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], schema=shape)
+
+    for b in batches:
+        held_at = np.concatenate([held_at, b.column(0).to_numpy()])
+        held = np.concatenate([held, b.column(1).to_numpy()])
+        if held_at.size and held_at[0] != held_at[-1]:
+            done = int(np.searchsorted(held_at, held_at[-1]))
+            yield found(held_at[:done], held[:done])
+            held_at, held = held_at[done:], held[done:]
+    yield found(held_at, held)
+
+
 def links(nodes: DataFrame, radius: int, family: Callable[[int, int], list[int]], bucket: int = BUCKET,
           last: int = 14) -> DataFrame:
     """``(a, b)`` so that fingerprints within ``radius`` bits of each other are connected.
 
     ``nodes`` has distinct BIGINT ``fp``. Each mask of the family sends a fingerprint to the bucket
-    of its kept bits. Buckets of one are dropped, those of up to ``bucket`` are searched in one row.
+    of its kept bits. Buckets of one are dropped, those of up to ``bucket`` are searched at once.
     Larger ones are split again by the family over the bits not yet kept, which loses no pair, until
-    they fit or only ``last`` bits are free: then a bucket has at most 2^last members. So no row and
-    no task ever gets an unbounded bucket, whatever its fill, and nothing is cut off.
+    they fit or only ``last`` bits are free: then a bucket has at most 2^last members. So no task ever
+    holds an unbounded bucket, whatever its fill, and nothing is cut off.
     """
     out = None
     paths = [ALL]
@@ -102,8 +123,9 @@ def links(nodes: DataFrame, radius: int, family: Callable[[int, int], list[int]]
         else:
             held = materialize(rows.join(sizes, "at"))
         fits = held if final else held.where(F.col("n") <= bucket)
-        found = map_rows(fits.groupBy("at").agg(F.collect_list("fp").alias("fps")).select("fps"),
-                         lambda: lambda fps: span(fps, radius), "a bigint, b bigint")
+        n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        found = fits.select("at", "fp").repartition(n, "at").sortWithinPartitions("at").mapInArrow(
+            lambda batches: search_sorted(batches, radius), "a bigint, b bigint")
         out = found if out is None else out.unionByName(found)
         level = held.where(F.col("n") > bucket).select("fp", "free", "at")
         if final or level.isEmpty():

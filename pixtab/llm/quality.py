@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixtab.llm.arrow import map_rows
+from pixtab.llm.arrow import map_rows, rows_back, whole_rows
 
 WINDOW = 8
 SPACE = b" \t\n\x0b\x0c\r"
@@ -148,8 +148,9 @@ def ablations(entries: DataFrame, policies: Mapping[str, int] = POLICIES, rules:
 
 
 def keep_good(docs: DataFrame, version: str = CURRENT, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the policy allows, all columns."""
-    return ledger(docs, text, docs.columns).where(allows(version)).select(*docs.columns)
+    """The rows of ``docs`` that the policy allows, all columns, whatever their names."""
+    rows = whole_rows(docs, body=F.col(text))
+    return rows_back(ledger(rows, "body", ("_r",)).where(allows(version)))
 
 
 def op7_quality(docs: DataFrame) -> DataFrame:

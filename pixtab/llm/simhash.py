@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixtab.functions.lineage import materialize
-from pixtab.llm.arrow import map_rows
+from pixtab.llm.arrow import map_rows, rows_back, whole_rows
 from pixtab.llm.hamming import as_hex, covering, links
 from pixtab.llm.stars import min_roots
 
@@ -74,15 +74,16 @@ def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", rad
     null keep one row likewise.
     """
     # A row is named by its id and a hash of its content; equal rows share the name and are the same row.
-    named = docs.withColumns({"_id": F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")),
-                              "_row": F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])})
-    own = materialize(fingerprints(named, text, (id_col, "_id", "_row")))
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_row", "_id")
+    named = whole_rows(docs, body=F.col(text), id=F.col(id_col), name=F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")),
+                       content=F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
+    own = materialize(fingerprints(named, "body", ("id", "name", "content")))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "content", "name")
     nodes = materialize(own.groupBy("fp").agg(F.min(order).alias("first")))
     roots = min_roots(links(nodes.select("fp"), radius, covering)).withColumnRenamed("node", "fp")
     of = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    kept = of.groupBy("root").agg(F.min("first").alias("first")).select("first._id", "first._row")
-    return named.join(kept, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select(*docs.columns)
+    kept = of.groupBy("root").agg(F.min("first").alias("first")).select("first.name", "first.content")
+    out = named.select("_r", "name", "content").join(kept, ["name", "content"], "left_semi")
+    return rows_back(out.dropDuplicates(["name", "content"]))
 
 
 def op4_simhash(docs: DataFrame) -> DataFrame:
