@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, LongType
 from pixtab.llm.arrow import map_rows, per_worker
 
 #: Entries of one cache, and the longest key kept; a full cache is emptied.
-CACHE, KEY = 300_000, 48
+CACHE, KEY = 600_000, 48
 
 
 def byte_symbols() -> dict[int, str]:

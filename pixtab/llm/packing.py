@@ -38,7 +38,7 @@ class WordIds(dict):
     def __missing__(self, piece: str) -> bytes:
         # Letters are a word of their own beside a mark, and upper case is read as lower case (bar two
         # letters whose lower case depends on their place or is two characters): most new pieces are known so.
-        if piece[-1:] in self.marks and piece[:-1].isalpha():
+        if piece[-1:] in self.marks and piece[:-1].isalpha() and "\u0130" not in piece:
             ids = self[piece[:-1]] + self.marks[piece[-1]]
         elif piece.isalpha() and piece != (low := piece.lower()) and "\u03a3" not in piece and "\u0130" not in piece:
             ids = self[low]

@@ -289,7 +289,7 @@ def surrogate_texts(docs: DataFrame, text: str = "text", keep: Sequence[str] = (
 
     def make():
         def one(body, moved, *kept) -> Iterator[tuple]:
-            out, spans = rewritten(body, Surrogates(key, dict(moved or ())))
+            out, spans = rewritten(body, Surrogates(key, {m["part"]: m["attempt"] for m in moved or ()}))
             yield (*kept, out, len(spans), ",".join(f"{k}:{a}:{b}" for a, b, k, _ in spans))
         return one
 
