@@ -234,7 +234,7 @@ def cased(like: str, word: str) -> str:
 
 def surname_parts(text: str) -> set[str]:
     known = {g for own in GIVEN.values() for g in own}
-    return {p.lower() for a, b, kind, _ in detect(text) if kind == "name" for p in re.findall(r"[^\W\d_]+", text[a:b]) if p not in known}
+    return {p.lower() for m in NAMED.finditer(text) for p in re.findall(r"[^\W\d_]+", m["who"] or m["sur"]) if p not in known}
 
 
 def settle(docs: DataFrame, text: str, key: str) -> DataFrame:
