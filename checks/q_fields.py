@@ -130,6 +130,23 @@ def f3(spark, sf):
     return fx.rounded(seeds.select_peaks(q, dims(spark, sf), 0.7, 3, 12))
 
 
+@query("f3_peaks_of_heatmap", fx.with_views("points_gt", HEAT + """
+, nv AS (SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(v / max(v) OVER (PARTITION BY image_id), 6) AS v0 FROM heat)
+, q AS (SELECT image_id, y, x, CASE WHEN x BETWEEN 49 AND 143 AND y BETWEEN 6 AND 185 THEN v0 ELSE 0 END AS v FROM nv)
+, pk AS (SELECT a.* FROM q a WHERE v > 0.3 AND NOT EXISTS (SELECT 1 FROM q b WHERE b.image_id = a.image_id
+    AND b.y BETWEEN a.y - 5 AND a.y + 5 AND b.x BETWEEN a.x - 5 AND a.x + 5 AND (b.v > a.v OR (b.v = a.v AND (b.y < a.y OR (b.y = a.y AND b.x < a.x))))))
+, best AS (SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY v DESC, y, x) AS INT) AS rank, y, x, v FROM pk)
+SELECT image_id, rank, y, x, v AS confidence FROM best WHERE rank <= 12
+UNION ALL SELECT DISTINCT user_id, 1, 96, 96, 0.5::DOUBLE FROM events WHERE user_id NOT IN (SELECT image_id FROM q WHERE v > 0.3)"""))
+def f3_heat(spark, sf):
+    """Heatmap, border suppression and peaks one after the other: a heatmap has touched pixels only."""
+    canvas = fx.curve_canvas(spark, sf)
+    fov = canvas.selectExpr("image_id", "h", "explode(sequence(48, 144)) AS x").selectExpr("image_id", "x", "explode(sequence(0, h - 1)) AS y")
+    heat = fx.rounded(seeds.seed_heatmap(fx.points_gt(spark, sf), canvas, 2.0))
+    heat = materialize(seeds.suppress_border(heat, fov, canvas, kernel=3, margin=6))
+    return seeds.select_peaks(heat, canvas, 0.3, 5, 12, exclude_border=False)
+
+
 RING = DIMS + """
 , spans(dy, half) AS (VALUES (-4,0),(-3,3),(-2,3),(-1,4),(0,4),(1,4),(2,3),(3,3),(4,0))
 , disk AS (SELECT dy, dx FROM spans, (SELECT unnest(range(-4, 5)) AS dx) WHERE abs(dx) <= half)""" + ERO.format(i="fov", o="er") + """

@@ -28,6 +28,12 @@ def c2(spark, sf):
     return pixels.to_8bit(fx.prob(spark, sf).selectExpr("image_id", "y", "x", "CASE WHEN image_id % 2 = 0 THEN v ELSE v * 200 END AS v"))
 
 
+@query("c2_dark_integers", fx.with_views("gray8", "SELECT image_id, y, x, CASE WHEN v > 127 THEN 1 ELSE 0 END AS v FROM gray8"))
+def c2_dark(spark, sf):
+    """An almost black 8-bit image is not brightened."""
+    return pixels.to_8bit(fx.gray8(spark, sf).selectExpr("image_id", "y", "x", "CASE WHEN v > 127 THEN 1 ELSE 0 END AS v"))
+
+
 @query("c3_gamma", fx.with_views("gray8", "SELECT image_id, y, x, CAST(floor(pow(v / 255::DOUBLE, 1.25::DOUBLE) * 255) AS INT) AS v FROM gray8"))
 def c3(spark, sf):
     return fx.gray8(spark, sf).withColumn("v", pixels.gamma(F.col("v"), 0.8))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from checks import fixtures as fx
 from checks.registry import query
 from pixtab.operators import components, graph, thinning
+from pixtab.plans import evaluation
 
 RING = "(VALUES (-1,0,1),(-1,1,2),(0,1,4),(1,1,8),(1,0,16),(1,-1,32),(0,-1,64),(-1,-1,128)) AS ring(dy, dx, bit)"
 
@@ -202,12 +205,13 @@ def e15(spark, sf):
 
 ELL7 = "(VALUES (-3,0,0),(-2,-2,2),(-1,-3,3),(0,-3,3),(1,-3,3),(2,-2,2),(3,0,0)) AS se(dy, lo, hi)"
 BRIDGE = f"""
-, fat AS (SELECT DISTINCT image_id, y + dy AS y, x + dx AS x FROM points_pred, {ELL7}, (SELECT unnest(range(-3, 4)) AS dx) WHERE dx BETWEEN lo AND hi)"""
+, fat AS (SELECT DISTINCT image_id, y + dy AS y, x + dx AS x FROM points_pred, {ELL7}, (SELECT unnest(range(-3, 4)) AS dx)
+  WHERE dx BETWEEN lo AND hi AND y + dy BETWEEN 0 AND 191 AND x + dx BETWEEN 0 AND 191)"""
 
 
 @query("e16_gap_bridging", fx.with_views("points_pred", BRIDGE + thin_cte("fat", "s", 12) + "SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM s"))
 def e16(spark, sf):
-    return thinning.bridge_gaps(fx.points_pred(spark, sf), 3)
+    return thinning.bridge_gaps(fx.points_pred(spark, sf), 3, fx.curve_canvas(spark, sf))
 
 
 CLDICE = thin_cte("mask_pred", "sp", 12) + thin_cte("mask_gt", "sg", 12) + """
@@ -241,6 +245,5 @@ SELECT image_id, abs(coalesce(sum(c) FILTER (k = 'p'), 0) - coalesce(sum(c) FILT
    abs(coalesce(sum(c) FILTER (k = 's'), 0) - coalesce(sum(c) FILTER (k = 'g'), 0))::DOUBLE AS betti_0_error_postproc FROM n GROUP BY image_id"""))
 def h17(spark, sf):
     pred, gt, images = fx.points_pred(spark, sf), fx.points_gt(spark, sf), fx.curve_canvas(spark, sf)
-    raw = components.betti0_error(pred, gt, images).withColumnRenamed("betti_0_error", "betti_0_error_raw")
-    post = components.betti0_error(thinning.bridge_gaps(pred, 3), gt, images).withColumnRenamed("betti_0_error", "betti_0_error_postproc")
-    return raw.join(post, "image_id")
+    raw = components.betti0_error(pred, gt, images).withColumn("hd95", F.lit(None).cast("double"))
+    return evaluation.with_bridged_error(raw, pred, gt, images, 3).drop("hd95")

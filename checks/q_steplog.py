@@ -37,7 +37,7 @@ DIST = LOG + """
            FROM log l)
 , valid AS (SELECT l.*, y BETWEEN 40 AND 151 AND x BETWEEN 40 AND 151 AND abs(x - 96) <= 48 AS is_valid,
               distance <= 2 AS on_track,
-              row_number() OVER (PARTITION BY episode, y, x ORDER BY step) > 1 AS is_revisit FROM dist l)
+              row_number() OVER (PARTITION BY episode, y, x ORDER BY step) > 1 OR (y = 96 AND x = 96) AS is_revisit FROM dist l)
 , streak AS (SELECT *, CASE WHEN on_track THEN 0 ELSE row_number() OVER (PARTITION BY episode, grp, on_track ORDER BY step) END AS streak
    FROM (SELECT *, sum(CASE WHEN on_track THEN 1 ELSE 0 END) OVER (PARTITION BY episode ORDER BY step ROWS UNBOUNDED PRECEDING) AS grp FROM valid))"""
 ENDS = DIST + """
@@ -46,26 +46,37 @@ ENDS = DIST + """
 , ends AS (SELECT episode, min(step) FILTER (r IS NOT NULL) AS end_step, min_by(r, step) FILTER (r IS NOT NULL) AS reason
            FROM why GROUP BY episode)"""
 COVER = """
-, reach AS (SELECT l.episode, g.image_id, g.y, g.x, min(l.step) AS step FROM {t} l JOIN points_gt g
+, travel AS (SELECT episode, image_id, y, x, step FROM {t} WHERE action <> 8 AND {ok}
+     UNION ALL SELECT DISTINCT episode, image_id, 96, 96, -1 FROM log)
+, reach AS (SELECT l.episode, g.image_id, g.y, g.x, min(l.step) AS step FROM travel l JOIN points_gt g
      ON g.image_id = l.image_id AND abs(g.y - l.y) <= 2 AND (g.y-l.y)*(g.y-l.y) + (g.x-l.x)*(g.x-l.x) <= 4 GROUP BY ALL)
 , gain AS (SELECT episode, step, count(*) AS n FROM reach GROUP BY ALL)
 , tot AS (SELECT image_id, count(*) AS total FROM points_gt GROUP BY ALL)
 , cov AS (SELECT l.*, coalesce(n, 0) AS new_coverage, coalesce(total, 0) AS total,
-     sum(coalesce(n, 0)) OVER (PARTITION BY l.episode ORDER BY l.step ROWS UNBOUNDED PRECEDING) AS covered
-     FROM {t} l LEFT JOIN gain USING (episode, step) LEFT JOIN tot USING (image_id))"""
+     sum(coalesce(n, 0)) OVER (PARTITION BY l.episode ORDER BY l.step ROWS UNBOUNDED PRECEDING) + coalesce(b.n0, 0) AS covered
+     FROM {t} l LEFT JOIN gain USING (episode, step) LEFT JOIN tot USING (image_id)
+     LEFT JOIN (SELECT episode, n AS n0 FROM gain WHERE step = -1) b USING (episode))
+, began AS (SELECT e.episode, coalesce(min(sqrt(((g.y-96)*(g.y-96) + (g.x-96)*(g.x-96))::DOUBLE)), 5.0) AS d0
+     FROM (SELECT DISTINCT episode, image_id FROM log) e LEFT JOIN points_gt g
+       ON g.image_id = e.image_id AND (g.y-96)*(g.y-96) + (g.x-96)*(g.x-96) <= 25 GROUP BY 1)"""
 REWARD = ENDS + """
 , kept AS (SELECT s.*, CASE WHEN s.step = e.end_step THEN e.reason END AS reason FROM streak s JOIN ends e USING (episode)
-           WHERE e.end_step IS NULL OR s.step <= e.end_step)""" + COVER.format(t="kept") + """
+           WHERE e.end_step IS NULL OR s.step <= e.end_step)""" + COVER.format(t="kept", ok="is_valid") + """
 , rew AS (SELECT *, CASE WHEN is_revisit THEN -0.5::DOUBLE ELSE greatest(0, 1 - distance / 2) END
      + 2 * new_coverage + CASE WHEN on_track THEN 0 ELSE -1 END - 0.01::DOUBLE
-     + coalesce(lag(distance) OVER (PARTITION BY episode ORDER BY step), distance) - 0.99::DOUBLE * distance AS base FROM cov)
+     + coalesce(lag(distance) OVER (PARTITION BY episode ORDER BY step), d0) - 0.99::DOUBLE * distance AS base FROM cov JOIN began USING (episode))
 , final AS (SELECT *, CASE reason WHEN 'stop' THEN 10 * CASE WHEN covered > 0 THEN 2 * (covered / total) / (1 + covered / total) ELSE 0 END
      WHEN 'out_of_bounds' THEN -10 WHEN 'off_track' THEN base - 5 ELSE base END::DOUBLE AS reward FROM rew)"""
 
 
 def judged(spark, sf):
     return replay.judge_steps(log(spark, sf), fx.points_gt(spark, sf), canvas(spark, sf), HALF, TOL, CLIP,
-                              fov_all(spark, sf))
+                              fov_all(spark, sf), starts(spark, sf))
+
+
+def starts(spark, sf):
+    """Every curve begins at the middle of its image, before its first move."""
+    return log(spark, sf).select("episode", "image_id", F.lit(96).alias("y"), F.lit(96).alias("x")).distinct()
 
 
 def fov_all(spark, sf):
@@ -76,7 +87,7 @@ def fov_all(spark, sf):
 
 def rewarded(spark, sf):
     return replay.reward_steps(log(spark, sf), fx.points_gt(spark, sf), canvas(spark, sf), HALF, TOL, CLIP,
-                               STREAK, MAX_STEPS, fov_all(spark, sf))
+                               STREAK, MAX_STEPS, fov_all(spark, sf), starts=starts(spark, sf))
 
 
 @query("g1_action_lookup", fx.with_views("steps", """
@@ -107,7 +118,7 @@ def g3(spark, sf):
 
 @query("g4_revisits", fx.with_views("points_gt", DIST + "SELECT episode, step, is_revisit FROM valid"))
 def g4(spark, sf):
-    return steplog.with_revisit(log(spark, sf)).select("episode", "step", "is_revisit")
+    return steplog.with_revisit(log(spark, sf), starts(spark, sf)).select("episode", "step", "is_revisit")
 
 
 @query("g5_distance_on_track", fx.with_views("points_gt", DIST + "SELECT episode, step, round(distance, 6) AS distance, on_track FROM valid"))
@@ -126,11 +137,11 @@ def g7(spark, sf):
     return steplog.episode_ends(judged(spark, sf), STREAK, MAX_STEPS)
 
 
-@query("g8_coverage_gain", fx.with_views("points_gt", LOG + COVER.format(t="log") + """
+@query("g8_coverage_gain", fx.with_views("points_gt", LOG + COVER.format(t="log", ok="true") + """
 SELECT episode, step, CAST(new_coverage AS BIGINT) AS new_coverage, CAST(covered AS BIGINT) AS covered,
        round(covered / greatest(total, 1), 6) AS coverage_ratio FROM cov"""))
 def g8(spark, sf):
-    return fx.rounded(steplog.with_coverage(log(spark, sf), fx.points_gt(spark, sf), TOL)
+    return fx.rounded(steplog.with_coverage(log(spark, sf), fx.points_gt(spark, sf), TOL, starts(spark, sf))
                       .select("episode", "step", "new_coverage", "covered", "coverage_ratio"))
 
 
@@ -142,7 +153,8 @@ def g9(spark, sf):
 def rewarded_steps_only(spark, sf):
     s = judged(spark, sf)
     s = materialize(steplog.upto_end(s, steplog.episode_ends(s, STREAK, MAX_STEPS)))
-    return steplog.with_step_reward(materialize(steplog.with_coverage(s, fx.points_gt(spark, sf), TOL)), TOL)
+    covered = materialize(steplog.with_coverage(s, fx.points_gt(spark, sf), TOL, starts(spark, sf)))
+    return steplog.with_step_reward(covered, TOL, starts=steplog.with_distance(starts(spark, sf), fx.points_gt(spark, sf), TOL, CLIP))
 
 
 @query("g10_end_reward", fx.with_views("points_gt", REWARD + """

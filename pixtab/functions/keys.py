@@ -40,12 +40,17 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
                 by: Sequence[str] = ("y", "x"), salts: int = SALTS) -> DataFrame:
     """Join per-key statistics to many rows per key.
 
-    A hot key is cut into ``salts`` shares by a hash of ``by``; the statistics side (one row per
-    key) is repeated once per share. Spark still broadcasts the small side when its size allows.
+    A hot key is cut into ``salts`` shares by a hash of ``by``, by default at least one for 16 partitions; the
+    statistics side (one row per key) is repeated once per share. Null keys match each other. Spark still broadcasts the small side when its size allows.
     """
+    salts = max(salts, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16) if salts == SALTS else salts
     share = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
-    copies = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return big.withColumn("_salt", share).join(copies, [*on, "_salt"], how).drop("_salt")
+    own = [F.col(c).alias(f"_on{on.index(c)}") if c in on else F.col(c) for c in small.columns]
+    copies = small.select(*own, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_copy"))
+    same = F.col("_salt") == F.col("_copy")
+    for i, c in enumerate(on):
+        same = same & F.col(c).eqNullSafe(F.col(f"_on{i}"))
+    return big.withColumn("_salt", share).join(copies, same, how).drop("_salt", "_copy", *[f"_on{i}" for i in range(len(on))])
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn",
@@ -67,7 +72,26 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str =
     picked = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")]
     if total:
         picked.append(F.sum("_n").over(whole).alias(total))
-    runs = runs.select(*keys, "_part", "_lo", *picked)
-    return (laid.join(runs, [*keys, "_part"])
+    runs = runs.select(*[F.col(k).alias(f"_on{i}") for i, k in enumerate(keys)], F.col("_part").alias("_at"), "_lo", *picked)
+    same = F.col("_part") == F.col("_at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_on{i}"))
+    return (laid.join(runs, same)
             .withColumn(name, F.col("_pos") - F.col("_lo") + F.col("_before") + 1)
-            .drop("_pos", "_part", "_lo", "_before"))
+            .drop("_pos", "_part", "_lo", "_before", "_at", *[f"_on{i}" for i in range(len(keys))]))
+
+
+#: Spark ranks before the shuffle only up to this rank.
+FEW = 1000
+
+
+def first_of_each(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, name: str = "rn") -> DataFrame:
+    """The first ``n`` rows per key with their rank, for keys of any size and any ``n``.
+
+    Few rows are ranked by a window that Spark cuts to ``n`` rows per task before the shuffle; for more,
+    the ranks are distributed.
+    """
+    if n <= FEW:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
+    return ranked(df, keys, order, name).where(F.col(name) <= n)

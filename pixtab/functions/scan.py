@@ -67,15 +67,12 @@ def rolling_mean(df: DataFrame, keys: Sequence[str], order: str, size: int,
                  values: Mapping[str, str], bits: int = BITS) -> DataFrame:
     """Mean of the last ``size`` rows; ``order`` must count 0, 1, 2, … without gaps per key.
 
-    Rows less than ``size`` before a block border are copied into the next block, so every
-    window is complete inside its own block.
+    Rows less than ``size`` before a block are copied into it, so every window is complete inside its
+    own block; windows longer than a block are copied into as many blocks as they reach.
     """
-    width = 1 << bits
-    if size > width:
-        raise ValueError("window longer than a block")
     blk = block_of(order, bits)
-    late = F.pmod(F.col(order), F.lit(width)) > width - size
-    spread = df.withColumn("_blk", F.explode(F.when(late, F.array(blk, blk + 1)).otherwise(F.array(blk))))
+    reach = F.shiftright(F.col(order) + F.lit(size - 1), bits)
+    spread = df.withColumn("_blk", F.explode(F.sequence(blk, reach)))
     w = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(-(size - 1), 0)
     for name, src in values.items():
         spread = spread.withColumn(name, F.avg(src).over(w))

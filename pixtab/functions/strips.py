@@ -66,14 +66,45 @@ def canvas_of(grid: DataFrame) -> DataFrame:
     return grid.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
 
 
+def _all_rows(canvas: DataFrame, halo: int, edge: int) -> DataFrame:
+    """``(image_id, ty, tx, y, _lo, _hi)``: every raster row of every halo tile of the canvas."""
+    def cells(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / edge).cast("int")))
+
+    def bounds(t: str, n: str) -> tuple[Column, Column]:
+        return F.greatest(F.col(t) * edge - halo, F.lit(0)), F.least(F.col(t) * edge + edge + halo, F.col(n)) - 1
+    tiles = (canvas.where("h > 0 AND w > 0").select("image_id", F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"))
+             .withColumn("ty", cells("h")).withColumn("tx", cells("w")))
+    lo, hi = bounds("tx", "w")
+    return tiles.select(*TILE, F.explode(F.sequence(*bounds("ty", "h"))).alias("y"), lo.alias("_lo"), hi.alias("_hi"))
+
+
 def to_strips(grid: DataFrame, halo: int, values: Sequence[str] = ("v",), edge: int = EDGE,
-              canvas: DataFrame | None = None) -> DataFrame:
-    """``(image_id, ty, tx, y, x0, <value arrays>[, h, w])`` from a dense grid."""
+              canvas: DataFrame | None = None, fill: float | None = None) -> DataFrame:
+    """``(image_id, ty, tx, y, x0, <value arrays>[, h, w])`` from a grid.
+
+    A grid that holds every pixel needs no ``fill``; a row of it with a gap is an error. With ``fill`` and the
+    ``canvas``, pixels that are not in the grid have that value, one value per pixel being given at most.
+    """
     packed = F.sort_array(F.collect_list(F.struct("x", *values)))
-    strips = (halo_tiles(grid.select("image_id", "y", "x", *values), halo, edge)
-              .groupBy(*TILE, "y").agg(packed.alias("_p"))
-              .select(*TILE, "y", F.col("_p")[0]["x"].alias("x0"),
-                      *[F.transform("_p", _field(n)).alias(n) for n in values]))
+    strips = halo_tiles(grid.select("image_id", "y", "x", *values), halo, edge).groupBy(*TILE, "y").agg(packed.alias("_p"))
+    if fill is None:
+        first, last = F.col("_p")[0]["x"], F.element_at("_p", -1)["x"]
+        whole = last - first + 1 == F.size("_p")
+        x0 = F.when(whole, first).otherwise(F.raise_error(F.lit("a grid with gaps needs a fill value")).cast("int"))
+        strips = strips.select(*TILE, "y", x0.alias("x0"), *[F.transform("_p", _field(n)).alias(n) for n in values])
+    else:
+        if canvas is None:
+            raise ValueError("fill needs the canvas")
+        rows = _all_rows(canvas, halo, edge).join(strips, [*TILE, "y"], "left")
+        at = F.map_from_arrays(F.coalesce(F.transform("_p", _field("x")), F.array().cast("array<int>")),
+                               F.coalesce("_p", F.slice("_p", 1, 0), F.array().cast(strips.schema["_p"].dataType)))
+
+        def filled(n: str) -> Column:
+            kind = grid.schema[n].dataType
+            return F.transform(F.sequence("_lo", "_hi"), lambda x: F.coalesce(F.try_element_at("_m", x)[n], F.lit(fill).cast(kind)))
+        rows = rows.withColumn("_m", at).select(*TILE, "y", F.col("_lo").alias("x0"), *[filled(n).alias(n) for n in values])
+        strips = spread_out(rows, *TILE)
     if canvas is not None:
         strips = salted_join(strips, canvas, ["image_id"], by=("ty", "tx"))
     return strips

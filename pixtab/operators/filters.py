@@ -59,10 +59,10 @@ def gaussian_kernel(sigma: float, order: int = 0, truncate: float = 4.0) -> list
     return g
 
 
-def gaussian(grid: DataFrame, sigma: float, edge: int = st.EDGE) -> DataFrame:
-    """Separable Gaussian with a mirrored border, cut at four sigmas."""
+def gaussian(grid: DataFrame, sigma: float, edge: int = st.EDGE, canvas: DataFrame | None = None) -> DataFrame:
+    """Separable Gaussian with a mirrored border, cut at four sigmas. A sparse grid needs its ``canvas``."""
     k = gaussian_kernel(sigma)
-    s = st.to_strips(grid.select(*PIXEL, F.col("v").cast("double").alias("v")), len(k) // 2, edge=edge, canvas=st.canvas_of(grid))
+    s = _strips(grid.select(*PIXEL, F.col("v").cast("double").alias("v")), len(k) // 2, edge, canvas)
     return st.to_pixels(st.convolve(s, {"v": (k, k)}), edge=edge)
 
 
@@ -106,9 +106,19 @@ def ridges(grid: DataFrame, sigmas: Sequence[float], beta: float = 0.5, edge: in
     return e.select(*PIXEL, top.alias("v"))
 
 
-def local_maxima(grid: DataFrame, edge: int = st.EDGE) -> DataFrame:
-    """Pixels not below any of their eight neighbours; outside the image counts as 0."""
-    s = st.to_strips(grid, 1, edge=edge, canvas=st.canvas_of(grid)).withColumn("m", F.col("v"))
+def _strips(grid: DataFrame, halo: int, edge: int, canvas: DataFrame | None) -> DataFrame:
+    """Strips with image sizes; pixels missing from the grid are 0 if the canvas is given."""
+    if canvas is None:
+        return st.to_strips(grid, halo, edge=edge, canvas=st.canvas_of(grid))
+    return st.to_strips(grid, halo, edge=edge, canvas=canvas.select("image_id", "h", "w"), fill=0)
+
+
+def local_maxima(grid: DataFrame, edge: int = st.EDGE, canvas: DataFrame | None = None) -> DataFrame:
+    """Pixels not below any of their eight neighbours; outside the image counts as 0.
+
+    A sparse grid, whose missing pixels are 0, needs its ``canvas``.
+    """
+    s = _strips(grid, 1, edge, canvas).withColumn("m", F.col("v"))
     s = st.pool(s, "m", 1)
     hits = s.select(*st.TILE, "y", "x0", F.transform("v", lambda v, i: (v >= F.get(F.col("m"), i)) & (
         (v >= 0) | ((F.col("y") > 0) & (F.col("y") < F.col("h") - 1) & (F.col("x0") + i > 0) & (F.col("x0") + i < F.col("w") - 1)))).alias("v"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType
 
 from pixtab.functions.keys import salted_join
 
@@ -16,7 +17,9 @@ def green_channel(px: DataFrame) -> DataFrame:
 
 
 def to_8bit(grid: DataFrame) -> DataFrame:
-    """Values in [0, 1] (per image) are scaled by 255; all are truncated to integers."""
+    """Fractional grids: values in [0, 1] (per image) are scaled by 255, all are truncated. Integer grids stay as they are."""
+    if not isinstance(grid.schema["v"].dataType, FractionalType):
+        return grid.select(*PIXEL, F.col("v").cast("int").alias("v"))
     top = grid.groupBy("image_id").agg(F.max("v").alias("_top"))
     out = salted_join(grid, top, ["image_id"])
     v = F.when(F.col("_top") <= 1.0, F.col("v") * 255).otherwise(F.col("v"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixtab.functions import strips as st
-from pixtab.functions.keys import pixel_id, salted_join
+from pixtab.functions.keys import first_of_each, pixel_id, salted_join
 from pixtab.operators.distance import nearest_d2
 from pixtab.operators.filters import gaussian_kernel
 from pixtab.operators.morphology import ellipse_spans, erode, square_spans
@@ -56,9 +56,9 @@ def select_peaks(heat: DataFrame, canvas: DataFrame, threshold: float, radius: i
     """``(image_id, rank, y, x, confidence)``: maxima of their neighbourhood above ``threshold``, best first.
 
     Equal values within ``radius`` go to the smallest (y, x). An image where nothing exceeds the
-    threshold gets its centre with confidence 0.5.
+    threshold gets its centre with confidence 0.5. Pixels missing from ``heat`` are 0.
     """
-    s = st.to_strips(heat, radius, edge=edge)
+    s = st.to_strips(heat, radius, edge=edge, canvas=canvas.select("image_id", "h", "w"), fill=0).drop("h", "w")
     ranked_value = F.transform("v", lambda v, i: F.struct(v.alias("v"), (-pixel_id(F.col("y"), F.col("x0") + i)).alias("neg")))
     s = s.withColumn("m", ranked_value).withColumn("own", F.col("m"))
     s = st.pool(s, "m", radius)
@@ -66,8 +66,7 @@ def select_peaks(heat: DataFrame, canvas: DataFrame, threshold: float, radius: i
     peaks = st.to_pixels(s, ["v", "k"], edge).where(F.col("k") & (F.col("v") > threshold)).drop("k")
     if exclude_border:
         peaks = with_margin(peaks, canvas, radius).where(F.col("v") > threshold)
-    order = Window.partitionBy("image_id").orderBy(F.desc("v"), "y", "x")
-    best = peaks.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    best = first_of_each(peaks.withColumn("_low", -F.col("v")), ["image_id"], ["_low", "y", "x"], top_k, "rank")
     seeds = best.select("image_id", "rank", "y", "x", F.col("v").alias("confidence"))
     loud = heat.groupBy("image_id").agg((F.max("v") > threshold).alias("_any")).where("_any").select("image_id")
     quiet = canvas.join(loud, "image_id", "left_anti")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixtab.functions.keys import ranked, salted_join
+from pixtab.functions.keys import first_of_each, ranked, salted_join
 from pixtab.operators.neighborhood import endpoints
 
 
@@ -64,9 +64,8 @@ def by_difficulty(samples: DataFrame, difficulty: Column, limit: float, order: s
     tagged = samples.withColumn("_ok", difficulty <= limit)
     counts = tagged.groupBy(by).agg((F.count_if("_ok") >= least).alias("_enough"))
     passing = salted_join(tagged.where("_ok"), counts.where("_enough"), [by], by=(order,))
-    first = tagged.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(
-        F.col("_rn") <= least).drop("_rn")
-    few = first.join(counts.where("NOT _enough"), by)
+    first = first_of_each(tagged, [by], [order], least, "_rn").drop("_rn")
+    few = salted_join(first, counts.where("NOT _enough"), [by], by=(order,))
     return passing.unionByName(few).drop("_ok", "_enough")
 
 

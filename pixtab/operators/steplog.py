@@ -64,9 +64,12 @@ def with_validity(steps: DataFrame, canvas: DataFrame, half: int, fov: DataFrame
     return out.withColumn("is_valid", F.coalesce(ok, F.lit(False))).drop("h", "w", "_in")
 
 
-def with_revisit(steps: DataFrame) -> DataFrame:
-    """``is_revisit``: the episode was at this pixel before."""
-    first = steps.groupBy("episode", "y", "x").agg(F.min("step").alias("_first"))
+def with_revisit(steps: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """``is_revisit``: the episode was at this pixel before; ``starts(episode, y, x)`` is where it began, as step -1."""
+    seen = steps.select("episode", "y", "x", "step")
+    if starts is not None:
+        seen = seen.unionByName(starts.select("episode", "y", "x", F.lit(-1).alias("step")))
+    first = seen.groupBy("episode", "y", "x").agg(F.min("step").alias("_first"))
     return (steps.join(first, ["episode", "y", "x"])
             .withColumn("is_revisit", F.col("step") > F.col("_first")).drop("_first"))
 
@@ -104,13 +107,19 @@ def upto_end(steps: DataFrame, ends: DataFrame) -> DataFrame:
             .withColumn("reason", F.when(F.col("step") == F.col("end_step"), F.col("reason"))).drop("end_step"))
 
 
-def with_coverage(steps: DataFrame, gt: DataFrame, tolerance: float) -> DataFrame:
+def with_coverage(steps: DataFrame, gt: DataFrame, tolerance: float, starts: DataFrame | None = None) -> DataFrame:
     """``new_coverage`` (annotated pixels first reached by this step), ``covered`` and ``coverage_ratio``.
 
-    Only the first visit of a pixel can cover anything, so positions are reduced to it before
-    they are spread over the disk.
+    Steps that stop, or are out of bounds (where ``is_valid`` is known), do not move and cover nothing.
+    What lies around ``starts(episode, image_id, y, x)`` is covered before the first step. Only the first
+    visit of a pixel can cover anything, so positions are reduced to it before they are spread over the disk.
     """
-    seen = steps.groupBy("episode", "image_id", "y", "x").agg(F.min("step").alias("step"))
+    moves = steps.where(F.col("action") != STOP) if "action" in steps.columns else steps
+    moves = moves.where("is_valid") if "is_valid" in steps.columns else moves
+    moves = moves.select("episode", "image_id", "y", "x", "step")
+    if starts is not None:
+        moves = moves.unionByName(starts.select("episode", "image_id", "y", "x", F.lit(-1).alias("step")))
+    seen = moves.groupBy("episode", "image_id", "y", "x").agg(F.min("step").alias("step"))
     offs = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in disk(tolerance)])
     reach = seen.select("episode", "image_id", "step", "y", "x", F.explode(offs).alias("o")).select(
         "episode", "image_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "step")
@@ -119,16 +128,24 @@ def with_coverage(steps: DataFrame, gt: DataFrame, tolerance: float) -> DataFram
               .agg(F.count(F.lit(1)).alias("new_coverage")))
     out = steps.join(gained, ["episode", "step"], "left").na.fill(0, ["new_coverage"])
     out = running(out, ["episode"], "step", {"covered": ("sum", F.col("new_coverage"))})
+    if starts is not None:
+        before = gained.where("step = -1").select("episode", F.col("new_coverage").alias("_before"))
+        out = salted_join(out, before, ["episode"], how="left", by=("step",))
+        out = out.withColumn("covered", F.col("covered") + F.coalesce("_before", F.lit(0))).drop("_before")
     total = gt.groupBy("image_id").agg(F.count(F.lit(1)).alias("_total"))
     out = salted_join(out, total, ["image_id"], how="left", by=("step",))
     ratio = F.col("covered") / F.greatest(F.coalesce("_total", F.lit(0)), F.lit(1))
     return out.withColumn("coverage_ratio", ratio).withColumnRenamed("_total", "total").na.fill(0, ["total"])
 
 
+# fixed values: the rewards' default weights
 def with_step_reward(steps: DataFrame, tolerance: float, near: float = 1.0, coverage: float = 2.0,
                      off: float = -1.0, revisit: float = -0.5, step_cost: float = -0.01,
-                     shaping: bool = True, gamma: float = 0.99) -> DataFrame:
-    """Reward of each in-episode step; the step before the first is taken to be at the same distance."""
+                     shaping: bool = True, gamma: float = 0.99, starts: DataFrame | None = None) -> DataFrame:
+    """Reward of each in-episode step.
+
+    The first step comes from ``starts(episode, distance)``; without it, from the same distance.
+    """
     out = steps
     d = F.col("distance")
     reward = (F.when(~F.col("is_revisit"), near * F.greatest(F.lit(0.0), 1.0 - d / tolerance)).otherwise(F.lit(revisit))
@@ -136,10 +153,16 @@ def with_step_reward(steps: DataFrame, tolerance: float, near: float = 1.0, cove
               + F.when(F.col("on_track"), F.lit(0.0)).otherwise(F.lit(off)) + F.lit(step_cost))
     if shaping:
         out = neighbour(out, ["episode"], "step", {"_prev": "distance"})
-        reward = reward + (F.coalesce("_prev", d) - gamma * d)
-    return out.withColumn("reward", reward).drop("_prev")
+        if starts is not None:
+            began = starts.select("episode", F.col("distance").alias("_began"))
+            out = salted_join(out, began, ["episode"], how="left", by=("step",))
+        else:
+            out = out.withColumn("_began", F.lit(None).cast("double"))
+        reward = reward + (F.coalesce("_prev", "_began", d) - gamma * d)
+    return out.withColumn("reward", reward).drop("_prev", "_began")
 
 
+# fixed values: the default weights at an episode's end
 def with_end_reward(steps: DataFrame, weight: float = 10.0, out_of_bounds: float = -10.0,
                     off_track: float = -5.0) -> DataFrame:
     """Apply the ending rules: STOP pays the covered F1, leaving the image and losing the track cost."""

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixtab.functions.keys import salted_join
+from pixtab.functions.keys import first_of_each, salted_join
 
 
 def summarise(metrics: DataFrame, columns: Sequence[str], sample: bool = True) -> DataFrame:
@@ -43,6 +43,5 @@ def length_histogram(traces: DataFrame, edges: int = 40) -> DataFrame:
 def first_traces(traces: DataFrame, n: int = 50) -> DataFrame:
     """Seeds (first points) of the first ``n`` traces of each image in visit order."""
     starts = traces.where("seq = 0")
-    order = Window.partitionBy("image_id").orderBy("trace_id")
-    return (starts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return (first_of_each(starts, ["image_id"], ["trace_id"], n, "rank")
             .select("image_id", "rank", "trace_id", "y", "x"))

@@ -124,9 +124,9 @@ def extract_centerline(mask: DataFrame, min_size: int = 50, min_length: int = 10
     return prune(thin(remove_small(mask, min_size)), min_length, rounds)
 
 
-def bridge_gaps(points: DataFrame, radius: int = 3) -> DataFrame:
-    """Dilate by an ellipse to close small gaps, then thin again."""
-    return thin(dilate(points, ellipse_spans(2 * radius + 1)))
+def bridge_gaps(points: DataFrame, radius: int = 3, canvas: DataFrame | None = None) -> DataFrame:
+    """Dilate by an ellipse, inside the image if its ``canvas`` is given, to close small gaps, then thin again."""
+    return thin(dilate(points, ellipse_spans(2 * radius + 1), canvas))
 
 
 def cl_dice(pred_mask: DataFrame, gt_mask: DataFrame, images: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def evaluate(pred: DataFrame, gt: DataFrame, canvas: DataFrame, taus: Sequence[i
 
 def with_bridged_error(results: DataFrame, pred: DataFrame, gt: DataFrame, canvas: DataFrame, radius: int = 3) -> DataFrame:
     """Component error of the raw prediction next to that after gap bridging."""
-    post = components.betti0_error(thinning.bridge_gaps(pred, radius), gt, canvas)
+    post = components.betti0_error(thinning.bridge_gaps(pred, radius, canvas), gt, canvas)
     return (results.withColumnRenamed("betti_0_error", "betti_0_error_raw")
             .join(post.withColumnRenamed("betti_0_error", "betti_0_error_postproc"), "image_id")
             .select(*[c for c in results.columns if c not in ("betti_0_error", "hd95")], F.col("betti_0_error_raw"),

@@ -27,8 +27,6 @@ def undecodable(images: DataFrame) -> DataFrame:
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for row in pdf.itertuples(index=False):
-            if row.height <= 0:
-                continue
             px = np.frombuffer(row.data, np.uint8).reshape(row.height * row.width, row.nChannels)
             bgr = px[:, :3] if row.nChannels >= 3 else np.repeat(px[:, :1], 3, axis=1)
             for at in range(0, len(px), _ROWS):
@@ -39,9 +37,18 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                     "r": part[:, 2], "g": part[:, 1], "b": part[:, 0]})
 
 
-def unpack_pixels(images: DataFrame) -> DataFrame:
-    """``px(image_id, y, x, r, g, b)``; gray images repeat their value. Bytes are stored as BGR."""
+def unpack_pixels(images: DataFrame, skip_undecodable: bool = False) -> DataFrame:
+    """``px(image_id, y, x, r, g, b)``; gray images repeat their value. Bytes are stored as BGR.
+
+    A file that could not be decoded is an error, unless it is to be skipped (``undecodable`` lists those).
+    """
     key = images.schema["image_id"].dataType.simpleString()
+    bad = F.coalesce(F.col("height") <= 0, F.lit(True))
+    if skip_undecodable:
+        images = images.where(~bad)
+    else:
+        message = F.concat(F.lit("cannot decode image "), F.coalesce(F.col("image_id").cast("string"), F.lit("null")))
+        images = images.withColumn("height", F.when(bad, F.raise_error(message).cast("int")).otherwise(F.col("height")))
     cols = images.select("image_id", "height", "width", "nChannels", "data")
     return cols.mapInPandas(_unpack, f"image_id {key}, y int, x int, r int, g int, b int")
 
@@ -51,8 +58,8 @@ def gray_of(r: Column, g: Column, b: Column) -> Column:
     return F.shiftright(r * 19595 + g * 38470 + b * 7471 + 32768, 16)
 
 
-def load_gray(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    px = unpack_pixels(read_images(spark, path, glob))
+def load_gray(spark: SparkSession, path: str, glob: str = "*", skip_undecodable: bool = False) -> DataFrame:
+    px = unpack_pixels(read_images(spark, path, glob), skip_undecodable)
     return px.select("image_id", "y", "x", gray_of(F.col("r"), F.col("g"), F.col("b")).cast("int").alias("v"))
 
 

@@ -67,25 +67,26 @@ def discover(images: DataFrame, vessels: DataFrame, masks: DataFrame | None, ves
             .select("image_id", "image_path", "vessel_path", "mask_path"))
 
 
-def _first_by_prefix(files: DataFrame, longest: int, out: str) -> DataFrame:
-    """First file name, in order, for every prefix up to ``longest`` characters."""
-    cut = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("name"))))
+def _first_by_prefix(files: DataFrame, lengths: list[int], out: str) -> DataFrame:
+    """First file name, in order, for every prefix of the given lengths."""
+    every = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
+    cut = F.explode(F.filter(every, lambda n: n <= F.length("name")))
     return (files.select("name", cut.alias("_n")).groupBy(F.expr("substring(name, 1, _n)").alias("image_id"))
             .agg(F.min("name").alias(out)))
 
 
-def pair_by_prefix(images: DataFrame, masks: DataFrame, annotations: DataFrame, longest_id: int = 32,
+def pair_by_prefix(images: DataFrame, masks: DataFrame, annotations: DataFrame,
                    missing_mask: str = "raise") -> DataFrame:
     """First mask and annotation whose names start with the image's id (its name up to ``_``).
 
-    The test "starts with" becomes an equi-join by expanding each listed name into its prefixes.
+    The test "starts with" becomes an equi-join by expanding each listed name into its prefixes of the
+    lengths that ids have (file names, and so these lengths, are short).
     Images without annotation are skipped; one without mask is an error, or kept with null.
     """
     ids = images.select(F.substring_index("name", "_", 1).alias("image_id"), F.col("name").alias("image_path"))
-    ids = ids.withColumn("image_id", F.when(F.length("image_id") <= longest_id, F.col("image_id")).otherwise(
-        F.raise_error(F.lit("image id longer than longest_id"))))
-    out = (ids.join(_first_by_prefix(annotations, longest_id, "vessel_path"), "image_id")
-           .join(_first_by_prefix(masks, longest_id, "mask_path"), "image_id", "left"))
+    lengths = sorted(r[0] for r in ids.where("length(image_id) > 0").select(F.length("image_id")).distinct().collect())
+    out = (ids.join(_first_by_prefix(annotations, lengths, "vessel_path"), "image_id")
+           .join(_first_by_prefix(masks, lengths, "mask_path"), "image_id", "left"))
     if missing_mask == "raise":
         message = F.concat(F.lit("no mask for image "), F.col("image_id"))
         out = out.withColumn("mask_path", F.coalesce(F.col("mask_path"), F.raise_error(message).cast("string")))

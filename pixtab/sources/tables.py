@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixtab.functions.keys import salted_join
+from pixtab.functions.lineage import materialize
 
 KEY = ["dataset", "image_id", "params_hash"]
 
@@ -30,17 +32,28 @@ def missing(manifest: DataFrame, stored: DataFrame, key: Sequence[str] = KEY) ->
 
 
 def update_centerlines(manifest: DataFrame, path: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Compute only missing images, append them partitioned by dataset, and return the stored table."""
-    spark = manifest.sparkSession
+    """Compute only missing images, append them partitioned by dataset, and return the stored rows of ``manifest``.
+
+    A status table beside the results has one row per finished image, also where the result is empty, and the
+    run that made it. Rows of a run that did not finish have no status: they are not read, and made again.
+    """
+    spark, status = manifest.sparkSession, f"{path}_status"
+    kinds = ", ".join(f"{k} {manifest.schema[k].dataType.simpleString()}" for k in KEY)
     try:
-        stored = spark.read.parquet(path)
-        todo = missing(manifest, stored)
+        done = spark.read.schema(f"{kinds}, run string").parquet(status)
     except Exception as e:  # first run: nothing stored
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        todo = manifest
-    compute(todo).write.mode("append").partitionBy("dataset").parquet(path)
-    return spark.read.parquet(path).join(manifest.select(*KEY), KEY, "left_semi")
+        done = spark.createDataFrame([], f"{kinds}, run string")
+    todo, run = missing(manifest.select(*KEY).distinct(), done), uuid.uuid4().hex
+    result = compute(missing(manifest, done)).withColumn("run", F.lit(run))
+    if not todo.isEmpty():
+        marks = materialize(todo.withColumn("run", F.lit(run)))
+        result.write.mode("append").partitionBy("dataset").parquet(path)
+        marks.write.mode("append").parquet(status)
+    stored = spark.read.schema(result.schema).parquet(path)
+    done = spark.read.schema(f"{kinds}, run string").parquet(status).join(manifest.select(*KEY).distinct(), KEY, "left_semi")
+    return stored.join(done, [*KEY, "run"], "left_semi").drop("run")
 
 
 def write_report(metrics: DataFrame, path: str, columns: Sequence[str] = REPORT_COLUMNS, append: bool = True) -> None:
