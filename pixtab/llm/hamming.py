@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pixtab.functions.lineage import materialize
 
 ALL = (1 << 64) - 1
-BUCKET = 256
+BUCKET, SMALL = 256, 128
 #: Sizes of buckets are broadcast if there can be no more buckets than this.
 KEYS = 1 << 19
 
@@ -74,16 +74,41 @@ def span(values: Sequence[int], radius: int) -> Iterator[tuple[int, int]]:
         yield from ((int(found[0]), int(x)) for x in found[1:])
 
 
+def side_by_side(at: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside the buckets ``at`` (in order), small buckets many at a time.
+
+    All rows of small buckets are compared with the row one place on, then two places on, as long as that is
+    in the same bucket. A bucket that is large, or has more links than members, is spanned by itself.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if at.size else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, at.size))
+    bucket = np.repeat(np.arange(starts.size), sizes)
+    here = np.flatnonzero((sizes <= SMALL)[bucket])
+    left, right, d = [], [], 0
+    while here.size:
+        d += 1
+        here = here[here + d < at.size]
+        here = here[bucket[here] == bucket[here + d]]
+        apart = fps[here] ^ fps[here + d]
+        hit = here[(np.bitwise_count(apart.view(np.uint64)) <= radius) & (apart != 0)]
+        left.append(hit)
+        right.append(hit + d)
+    i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+    dense = np.bincount(bucket[i], minlength=starts.size) > sizes
+    i, j = (x[~dense[bucket[i]]] for x in (i, j))
+    own = [p for k in np.flatnonzero(dense | (sizes > SMALL)) for p in span(fps[starts[k]:starts[k] + sizes[k]], radius)]
+    more = np.array(own, dtype=np.int64).reshape(-1, 2)
+    return (np.concatenate([np.minimum(fps[i], fps[j]), more[:, 0]]), np.concatenate([np.maximum(fps[i], fps[j]), more[:, 1]]))
+
+
 def search_sorted(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Links inside each bucket of rows ``(at, fp)`` that come bucket by bucket; one bucket is held at a time."""
     shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     held_at, held = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def found(at: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        cuts = np.flatnonzero(np.diff(at)) + 1
-        pairs = [p for run in np.split(fps, cuts) for p in span(run, radius)]
-        columns = list(zip(*pairs, strict=True)) if pairs else [[], []]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], schema=shape)
+        a, b = side_by_side(at, fps, radius)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=shape)
 
     for b in batches:
         held_at = np.concatenate([held_at, b.column(0).to_numpy()])
