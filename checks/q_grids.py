@@ -125,23 +125,24 @@ def d5(spark, sf):
 MASK = """
 , m AS (SELECT image_id, y, x FROM gray8 WHERE v > 90)
 , disk AS (SELECT a.k AS dy, b.k AS dx FROM (SELECT unnest(range(-2, 3)) AS k) a, (SELECT unnest(range(-2, 3)) AS k) b WHERE a.k*a.k + b.k*b.k <= 4)"""
+SPARSE = MASK.replace("v > 90", "v > 200")
 DIL = ", {o} AS (SELECT DISTINCT p.image_id, p.y + dy AS y, p.x + dx AS x FROM {i} p JOIN d USING (image_id), disk WHERE p.y + dy >= 0 AND p.x + dx >= 0 AND p.y + dy < h AND p.x + dx < w)"
 ERO = """, {o} AS (SELECT image_id, y, x FROM (SELECT r.image_id, r.y, r.x, r.y + dy AS ny, r.x + dx AS nx, h, w FROM raster r JOIN d USING (image_id) CROSS JOIN disk) c
    LEFT JOIN (SELECT image_id AS pi, y AS py, x AS px FROM {i}) p ON pi = image_id AND py = ny AND px = nx
    GROUP BY image_id, y, x HAVING count(*) FILTER (pi IS NULL AND ny >= 0 AND nx >= 0 AND ny < h AND nx < w) = 0)"""
 
 
-def mask(spark, sf):
-    return fx.gray8(spark, sf).where("v > 90").select("image_id", "y", "x")
+def mask(spark, sf, above=90):
+    return fx.gray8(spark, sf).where(F.col("v") > above).select("image_id", "y", "x")
 
 
 def dims(spark, sf):
     return st.canvas_of(fx.raster(spark, sf))
 
 
-@query("d6_dilate", fx.with_views("gray8", DIMS + MASK + DIL.format(i="m", o="a") + "SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM a"))
+@query("d6_dilate", fx.with_views("gray8", DIMS + SPARSE + DIL.format(i="m", o="a") + "SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM a"))
 def d6d(spark, sf):
-    return morphology.dilate(mask(spark, sf), morphology.disk_spans(2), dims(spark, sf))
+    return morphology.dilate(mask(spark, sf, 200), morphology.disk_spans(2), dims(spark, sf))
 
 
 @query("d6_erode", fx.with_views("gray8", DIMS + MASK + ERO.format(i="m", o="a") + "SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM a"))
@@ -160,9 +161,9 @@ def d7o(spark, sf):
     return morphology.open_(mask(spark, sf), morphology.disk_spans(2), dims(spark, sf))
 
 
-@query("d7_close", fx.with_views("gray8", DIMS + MASK + DIL.format(i="m", o="a") + ERO.format(i="a", o="b") + "SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM b"))
+@query("d7_close", fx.with_views("gray8", DIMS + SPARSE + DIL.format(i="m", o="a") + ERO.format(i="a", o="b") + "SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM b"))
 def d7c(spark, sf):
-    return morphology.close(mask(spark, sf), morphology.disk_spans(2), dims(spark, sf))
+    return morphology.close(mask(spark, sf, 200), morphology.disk_spans(2), dims(spark, sf))
 
 
 @query("d8_kernel_size", fx.with_views("raster", DIMS + """

@@ -101,10 +101,10 @@ def walk_cte(src: str, name: str, steps: int, adj: str = "adj", deg: str = "deg"
   SELECT image_id, sy AS y, sx AS x, max(len(path)) AS length, max_by(path, len(path)) AS path FROM w GROUP BY ALL)"""
 
 
-@query("e7_branch_length", fx.with_views("points_pred", ADJ.format(s="points_pred") + walk_cte("points_pred", "w", 20) + """
+@query("e7_branch_length", fx.with_views("points_pred", ADJ.format(s="points_pred") + walk_cte("points_pred", "w", 100) + """
 SELECT image_id, y, x, CAST(length AS INT) AS length FROM w"""))
 def e7(spark, sf):
-    return thinning.branch_lengths(fx.points_pred(spark, sf), 20)
+    return thinning.branch_lengths(fx.points_pred(spark, sf))
 
 
 def prune_cte(src: str, out: str, min_length: int, rounds: int) -> str:
@@ -120,16 +120,16 @@ def prune_cte(src: str, out: str, min_length: int, rounds: int) -> str:
     return text
 
 
-@query("e8_spur_pruning", fx.with_views("points_pred", prune_cte("points_pred", "pruned", 4, 5) + "SELECT image_id, y, x FROM pruned"))
+@query("e8_spur_pruning", fx.with_views("points_pred", prune_cte("points_pred", "pruned", 10, 5) + "SELECT image_id, y, x FROM pruned"))
 def e8(spark, sf):
-    return thinning.prune(fx.points_pred(spark, sf), 4, 5)
+    return thinning.prune(fx.points_pred(spark, sf))
 
 
 @query("e9_centerline", fx.with_views("mask_pred", label_cte("mask_pred", "l", True) + """
 , big AS (SELECT image_id, y, x FROM (SELECT *, count(*) OVER (PARTITION BY image_id, label) AS n FROM l) WHERE n >= 50)""" +
-                               thin_cte("big", "s", 12) + prune_cte("s", "c", 4, 3) + "SELECT image_id, y, x FROM c"))
+                               thin_cte("big", "s", 12) + prune_cte("s", "c", 10, 5) + "SELECT image_id, y, x FROM c"))
 def e9(spark, sf):
-    return thinning.extract_centerline(fx.mask_pred(spark, sf), 50, 4, 3)
+    return thinning.extract_centerline(fx.mask_pred(spark, sf))
 
 
 @query("e10_graph_nodes", fx.with_views("points_gt", ADJ.format(s="points_gt") + """

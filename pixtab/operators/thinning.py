@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +14,6 @@ from pixtab.functions.offsets import NEIGHBOURS8, offset_array
 from pixtab.functions.strips import EDGE, TILE, at_home, halo_tiles, tile_votes
 from pixtab.operators.components import remove_small
 from pixtab.operators.morphology import dilate, ellipse_spans
-from pixtab.operators.neighborhood import endpoints
 
 PIXEL = ["image_id", "y", "x"]
 # neighbours clockwise from north; bit i of a pixel's code says neighbour i is present
@@ -64,35 +66,45 @@ def adjacency(points: DataFrame) -> DataFrame:
     return around.select("image_id", "pid", F.array_sort(F.filter("q", lambda v: v != F.col("pid"))).alias("nbrs"))
 
 
-def walk_branches(points: DataFrame, max_steps: int, per_round: int = 10) -> DataFrame:
+def _walk_tile(max_steps: int, edge: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    around = [(dy << 32) + dx for dy, dx in NEIGHBOURS8]
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = pdf["y"].to_numpy("int64"), pdf["x"].to_numpy("int64")
+        code = (y << 32) + x
+        there = set(code.tolist())
+        home = (y // edge == pdf["ty"].iloc[0]) & (x // edge == pdf["tx"].iloc[0])
+        rows = []
+        for start in code[home].tolist():
+            if sum(start + o in there for o in around) != 1:
+                continue
+            path, seen, more = [start], {start}, True
+            while more:
+                fresh = [q for o in around if (q := path[-1] + o) in there and q not in seen]
+                more = len(fresh) == 1
+                if len(path) == max_steps:
+                    break
+                if more:
+                    path += fresh
+                    seen.add(fresh[0])
+            rows.append((start, path, not more))
+        out = pd.DataFrame(rows, columns=["start", "path", "stopped"])
+        out.insert(0, "image_id", pdf["image_id"].iloc[0])
+        return out
+    return walk
+
+
+def walk_branches(points: DataFrame, max_steps: int, edge: int = EDGE) -> DataFrame:
     """Walk from every endpoint while exactly one unvisited neighbour remains.
 
-    Returns ``(image_id, start, path, stopped)``; ``path`` holds at most ``max_steps`` pixel ids. All
-    walks advance together, one equi-join per step.
+    Returns ``(image_id, start, path, stopped)``; ``path`` holds at most ``max_steps`` pixel ids. A walk never
+    leaves the ``max_steps`` pixels around its start, so tiles with a halo of that width hold it whole: one
+    shuffle of the pixels, whatever the length, and no task holds more than a tile.
     """
-    around = materialize(adjacency(points))
-    ends = endpoints(points).select("image_id", pixel_id().alias("start"))
-    going = ends.select("image_id", "start", F.array("start").alias("path"), F.lit(False).alias("stopped"))
-    done = None
-    taken = 1
-    while taken <= max_steps:
-        for _ in range(min(per_round, max_steps - taken + 1)):
-            head = F.when(~F.col("stopped"), F.element_at("path", -1))
-            step = going.withColumn("pid", head).join(around, ["image_id", "pid"], "left")
-            step = step.withColumn("_fresh", F.filter("nbrs", lambda v: ~F.array_contains(F.col("path"), v)))
-            more = F.coalesce(~F.col("stopped") & (F.size("_fresh") == 1), F.lit(False))
-            grown = F.col("path") if taken == max_steps else F.when(more, F.concat("path", "_fresh")).otherwise(F.col("path"))
-            going = step.select("image_id", "start", grown.alias("path"), (~more).alias("stopped"))
-            taken += 1
-        if taken > max_steps:
-            break
-        going = materialize(going)
-        ended = going.where("stopped")
-        done = ended if done is None else done.unionByName(ended)
-        going = going.where("NOT stopped")
-        if going.isEmpty():
-            return done
-    return going if done is None else done.unionByName(going)
+    key = points.schema["image_id"].dataType.simpleString()
+    tiled = halo_tiles(points.select(*PIXEL).distinct(), max_steps, edge)
+    return tiled.groupBy(*TILE).applyInPandas(_walk_tile(max_steps, edge),
+                                              f"image_id {key}, start bigint, path array<bigint>, stopped boolean")
 
 
 def branch_lengths(points: DataFrame, max_steps: int = 100) -> DataFrame:
@@ -109,7 +121,7 @@ def prune(points: DataFrame, min_length: int = 10, rounds: int = 5) -> DataFrame
     """
     current = materialize(points.select(*PIXEL))
     for _ in range(rounds):
-        paths = walk_branches(current, min_length, per_round=min_length).where(F.size("path") < min_length)
+        paths = walk_branches(current, min_length).where(F.size("path") < min_length)
         gone = paths.select("image_id", F.explode("path").alias("p")).select(
             "image_id", id_y(F.col("p")).alias("y"), id_x(F.col("p")).alias("x")).distinct()
         gone = materialize(gone)
