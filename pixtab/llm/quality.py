@@ -158,3 +158,27 @@ def op7_quality(docs: DataFrame) -> DataFrame:
     return ledger(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                                base.alias("base_failed"), (~base & allows()).alias("kept"),
                                "n_lines", "n_upper_words", "n_bang_words", "max_word", "n_stutters", "failed")
+
+
+_SPACES = r"[ \t\n\x0b\f\r]+"
+_FAILS = " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in RULES)
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, '{_SPACES}'), lambda x: x <> '') AS w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\f\r]')) AS l FROM d),
+win AS (SELECT r, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM s)),
+twin AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM win) WHERE n > 1),
+inside AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS p FROM twin) GROUP BY r),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+        CAST(len(l) AS BIGINT) AS n_lines,
+        CAST(len(list_filter(w, lambda x: strlen(x) > 1 AND regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS BIGINT) AS n_upper_words,
+        CAST((length(t) - length(replace(t, '!!', ''))) // 2 AS BIGINT) AS n_bang_words,
+        CAST(coalesce(list_max(list_transform(w, lambda x: strlen(x))), 0) AS BIGINT) AS max_word,
+        CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS BIGINT) AS n_stutters
+      FROM s LEFT JOIN inside USING (r)),
+f AS (SELECT *, CAST({_FAILS} AS BIGINT) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {BASE} <> 0 AS base_failed,
+  failed & {BASE | POLICIES[CURRENT]} = 0 AS kept, n_lines, n_upper_words, n_bang_words, max_word, n_stutters, failed FROM f
+"""

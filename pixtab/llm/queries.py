@@ -41,4 +41,4 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = _pipeline
-ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE, "op7_quality": quality.ORACLE}
