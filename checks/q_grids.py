@@ -260,19 +260,21 @@ def clahe_cte(src: str, out: str) -> str:
     return f"""
 , {out}p AS (SELECT g.*, h, w, CAST(ceil(h / 8) AS INT) AS th, CAST(ceil(w / 8) AS INT) AS tw FROM {src} g JOIN d USING (image_id))
 , {out}m AS (SELECT image_id, v, y AS py, x AS px, th, tw FROM {out}p UNION ALL SELECT image_id, v, 2 * h - 2 - y, x, th, tw FROM {out}p WHERE 2 * h - 2 - y >= h AND 2 * h - 2 - y < th * 8)
-, {out}h AS (SELECT image_id, py // th AS ry, px // tw AS rx, v, count(*) AS n, any_value(th * tw) AS area FROM {out}m GROUP BY image_id, ry, rx, v)
+, {out}h AS MATERIALIZED (SELECT image_id, CAST(py // th AS INT) AS ry, CAST(px // tw AS INT) AS rx, v, count(*) AS n, any_value(th * tw) AS area FROM {out}m GROUP BY image_id, ry, rx, v)
 , {out}r AS (SELECT image_id, ry, rx, any_value(area) AS area, greatest(CAST(floor(2.5 * any_value(area) / 256) AS INT), 1) AS lim FROM {out}h GROUP BY 1, 2, 3)
 , {out}x AS (SELECT r.*, CAST(sum(greatest(n - lim, 0)) AS INT) AS ex FROM {out}r r JOIN {out}h USING (image_id, ry, rx) GROUP BY ALL)
-, {out}l AS (SELECT image_id, ry, rx, v, least(round_even(sum(e) OVER (PARTITION BY image_id, ry, rx ORDER BY v) * (255.0::DOUBLE / area), 0), 255) AS l FROM
+, {out}l AS MATERIALIZED (SELECT image_id, ry, rx, v, least(round_even(sum(e) OVER (PARTITION BY image_id, ry, rx ORDER BY v) * (255.0::DOUBLE / area), 0), 255) AS l FROM
    (SELECT x.*, b.v, least(coalesce(n, 0), lim) + ex // 256 + CASE WHEN ex % 256 > 0 AND b.v % greatest(256 // greatest(ex % 256, 1), 1) = 0
        AND b.v // greatest(256 // greatest(ex % 256, 1), 1) < ex % 256 THEN 1 ELSE 0 END AS e
     FROM {out}x x CROSS JOIN (SELECT unnest(range(0, 256)) AS v) b LEFT JOIN {out}h hh ON hh.image_id = x.image_id AND hh.ry = x.ry AND hh.rx = x.rx AND hh.v = b.v))
 , {out}c AS (SELECT image_id, y, x, v, y * (1.0::DOUBLE / th) - 0.5 AS fy, x * (1.0::DOUBLE / tw) - 0.5 AS fx FROM {out}p)
-, {out} AS (SELECT c.image_id, c.y, c.x, CAST(round_even((a.l * (1 - (fx - floor(fx))) + b.l * (fx - floor(fx))) * (1 - (fy - floor(fy))) + (e.l * (1 - (fx - floor(fx))) + f.l * (fx - floor(fx))) * (fy - floor(fy)), 0) AS INT) AS v
-   FROM {out}c c JOIN {out}l a ON a.image_id = c.image_id AND a.v = c.v AND a.ry = greatest(floor(fy), 0) AND a.rx = greatest(floor(fx), 0)
-   JOIN {out}l b ON b.image_id = c.image_id AND b.v = c.v AND b.ry = greatest(floor(fy), 0) AND b.rx = least(floor(fx) + 1, 7)
-   JOIN {out}l e ON e.image_id = c.image_id AND e.v = c.v AND e.ry = least(floor(fy) + 1, 7) AND e.rx = greatest(floor(fx), 0)
-   JOIN {out}l f ON f.image_id = c.image_id AND f.v = c.v AND f.ry = least(floor(fy) + 1, 7) AND f.rx = least(floor(fx) + 1, 7))"""
+, {out}k AS MATERIALIZED (SELECT image_id, y, x, v, fy - floor(fy) AS wy, fx - floor(fx) AS wx, CAST(greatest(floor(fy), 0) AS INT) AS y0, CAST(least(floor(fy) + 1, 7) AS INT) AS y1,
+     CAST(greatest(floor(fx), 0) AS INT) AS x0, CAST(least(floor(fx) + 1, 7) AS INT) AS x1 FROM {out}c)
+, {out} AS (SELECT c.image_id, c.y, c.x, CAST(round_even((a.l * (1 - wx) + b.l * wx) * (1 - wy) + (e.l * (1 - wx) + f.l * wx) * wy, 0) AS INT) AS v
+   FROM {out}k c JOIN {out}l a ON a.image_id = c.image_id AND a.v = c.v AND a.ry = y0 AND a.rx = x0
+   JOIN {out}l b ON b.image_id = c.image_id AND b.v = c.v AND b.ry = y0 AND b.rx = x1
+   JOIN {out}l e ON e.image_id = c.image_id AND e.v = c.v AND e.ry = y1 AND e.rx = x0
+   JOIN {out}l f ON f.image_id = c.image_id AND f.v = c.v AND f.ry = y1 AND f.rx = x1)"""
 
 
 @query("d11_clahe", fx.with_views("gray8", DIMS + clahe_cte("gray8", "cl") + "SELECT image_id, y, x, v FROM cl"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks.registry import query
+from pixtab.functions.lineage import ensure_checkpoint_dir
 from pixtab.operators import distance, metrics, neighborhood
+from pixtab.sources import tables
 
 _NB = """
 , n AS (SELECT a.image_id, a.y, a.x, count(b.image_id) AS n
@@ -62,6 +66,17 @@ def h1(spark, sf):
     return fx.rounded(metrics.tolerant_f1(fx.points_pred(spark, sf), fx.points_gt(spark, sf)))
 
 
+@query("a12_csv_report", H1_SQL)
+def a12(spark, sf):
+    """The report is written as CSV and read back: what comes back is what was measured."""
+    found = fx.rounded(metrics.tolerant_f1(fx.points_pred(spark, sf), fx.points_gt(spark, sf)))
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/report-{uuid.uuid4().hex}"
+    tables.write_report(found, path)
+    names = ["image_id bigint", *[f"{c} double" for c in tables.REPORT_COLUMNS[1:]]]
+    return spark.read.schema(", ".join(names)).option("header", True).csv(path).select(*found.columns)
+
+
 @query("h2_plain_f1", fx.with_views("points_gt points_pred", hits(2) + """
 SELECT image_id, f1_2px AS f1, precision_2px AS precision, recall_2px AS recall FROM f2"""))
 def h2(spark, sf):
