@@ -105,6 +105,12 @@ def test_edit_distance():
     for _ in range(400):
         a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 24))) for _ in range(2))
         assert lines.edit_distance(a, b) == plain_distance(a, b)
+        assert lines.similar(a, b) == (plain_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9)
+    for _ in range(300):
+        x = [r.choice(["ab", "cde", "f", "ghij"]) for _ in range(12)]
+        y = [w for w in (r.choice([w, w, w, w, w, "zz", "", w + "k"]) for w in x) if w]
+        a, b = " ".join(x), " ".join(y)
+        assert lines.similar(a, b) == (plain_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9)
 
 
 def brute_lines(texts):
