@@ -38,7 +38,7 @@ def anchors(spark, sf):
 @query("d18_patches", fx.with_views("prob", PEAKS + PATCH + """
 SELECT anchor_id, CAST(dy AS INT) AS dy, CAST(dx AS INT) AS dx, round(coalesce(v, 0), 6)::DOUBLE AS v FROM pa LEFT JOIN prob g ON g.image_id = pa.image_id AND g.y = py AND g.x = px"""))
 def d18(spark, sf):
-    return fx.rounded(patches.crop(prob_v(spark, sf), anchors(spark, sf), 2))
+    return fx.rounded(patches.crop(prob_v(spark, sf), anchors(spark, sf), 2, edge=32))
 
 
 SLOPES = """
@@ -66,8 +66,8 @@ def d19(spark, sf):
     a = materialize(anchors(spark, sf))
     px = rgb(spark, sf).select(*PIXEL, *[(F.col(c) / 255.0).alias(c) for c in "rgb"])
     d = distance.clipped_distance(fx.gray8(spark, sf).where("v > 150"), dims(spark, sf), 3.0)
-    return fx.rounded(patches.observations(a.withColumn("order", F.col("anchor_id")), px, d,
-                                           a.select(*PIXEL, F.col("anchor_id").alias("first")), 2, 2.0))
+    seen = patches.observations(a.withColumn("order", F.col("anchor_id")), px, d, a.select(*PIXEL, F.col("anchor_id").alias("first")), 2, 2.0, edge=32)
+    return fx.rounded(patches.unpacked(seen, 2, ["r", "g", "b", "visited", "dt", "gy", "gx"]))
 
 
 COVER = """

@@ -2,31 +2,83 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixtab.functions.keys import salted_join
+from pixtab.functions.keys import salted_join, spread_out
+from pixtab.functions.strips import EDGE, TILE, halo_tiles
 
 PIXEL = ["image_id", "y", "x"]
 
 
-def _window(anchors: DataFrame, half: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    reach = F.sequence(F.lit(-half), F.lit(half))
-    w = anchors.select("anchor_id", "image_id", F.col("y").alias("ay"), F.col("x").alias("ax"), *keep, F.explode(reach).alias("dy"))
-    w = w.select("*", F.explode(reach).alias("dx"))
-    return w.withColumn("y", F.col("ay") + F.col("dy")).withColumn("x", F.col("ax") + F.col("dx")).drop("ay", "ax")
+#: Patches handed to Spark at once: a patch may be large.
+_BATCH = 64
+
+
+def _cut(batches: Iterator[pd.DataFrame], names: list[str], fills: list[float], half: int, edge: int,
+         finish: Callable[[dict, pd.Series], dict], keep: list[str]) -> Iterator[pd.DataFrame]:
+    """Patches from rows that come tile by tile: first the tile's raster rows, then its anchors."""
+    size, tile, blocks, out = edge + 2 * half, None, {}, []
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            if (r.image_id, r.ty, r.tx) != tile:
+                tile, blocks = (r.image_id, r.ty, r.tx), {n: np.full((size, size), f) for n, f in zip(names, fills, strict=True)}
+            at_y, at_x = r.y - r.ty * edge, r.x - r.tx * edge
+            if r.is_anchor:
+                patch = {n: b[at_y:at_y + 2 * half + 1, at_x:at_x + 2 * half + 1] for n, b in blocks.items()}
+                out.append({"anchor_id": r.anchor_id, **{k: getattr(r, k) for k in keep}, **finish(patch, r)})
+                if len(out) == _BATCH:
+                    yield pd.DataFrame(out)
+                    out = []
+            else:
+                xs = np.asarray(r.xs) - r.tx * edge + half
+                for n in names:
+                    blocks[n][at_y + half, xs] = getattr(r, f"p_{n}")
+    if out:
+        yield pd.DataFrame(out)
+
+
+def _patches(grid: DataFrame, names: Mapping[str, float], anchors: DataFrame, half: int, channels: Sequence[str],
+             finish: Callable[[dict, pd.Series], dict], keep: Sequence[str] = (), edge: int = EDGE) -> DataFrame:
+    """One row per anchor with the array ``channels`` of its square, in (dy, dx) order.
+
+    Pixels and anchors are dealt out by tile, pixels with a halo of ``half``, and meet there as they stream by:
+    a task holds one tile, nothing is joined per pixel, and missing pixels have the value given in ``names``.
+    """
+    packed = F.collect_list(F.struct("x", *[F.col(n).cast("double").alias(n) for n in names]))
+    rows = halo_tiles(grid.select(*PIXEL, *names), half, edge).groupBy(*TILE, "y").agg(packed.alias("_p"))
+    strips = rows.select(*TILE, "y", F.lit(0).alias("x"), F.lit(False).alias("is_anchor"), F.col("_p.x").alias("xs"),
+                         *[F.col(f"_p.{n}").alias(f"p_{n}") for n in names])
+    own = anchors.select("image_id", F.floor(F.col("y") / edge).cast("int").alias("ty"), F.floor(F.col("x") / edge).cast("int").alias("tx"),
+                         F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.lit(True).alias("is_anchor"), "anchor_id", *keep)
+    met = spread_out(strips.unionByName(own, allowMissingColumns=True), *TILE).sortWithinPartitions(*TILE, "is_anchor", "y")
+    kinds = dict(anchors.dtypes)
+    shape = ", ".join([f"anchor_id {kinds['anchor_id']}", *[f"`{k}` {kinds[k]}" for k in keep], *[f"`{c}` array<double>" for c in channels]])
+    fills, fields = list(names.values()), list(names)
+    return met.mapInPandas(lambda b: _cut(b, fields, fills, half, edge, finish, list(keep)), shape)
+
+
+def unpacked(patches: DataFrame, half: int, columns: Sequence[str]) -> DataFrame:
+    """``(anchor_id, dy, dx, <columns>)``: array channels as one row per patch pixel."""
+    side = 2 * half + 1
+    out = patches.select("anchor_id", F.posexplode(F.arrays_zip(*columns)).alias("_i", "_p"))
+    return out.select("anchor_id", (F.floor(F.col("_i") / side) - half).cast("int").alias("dy"), (F.col("_i") % side - half).alias("dx"),
+                      *[F.col(f"_p.{c}").alias(c) for c in columns])
 
 
-def crop(grid: DataFrame, anchors: DataFrame, half: int) -> DataFrame:
-    """``(anchor_id, dy, dx, v)``: the square around each anchor, 0 outside the image."""
-    out = _window(anchors, half).join(grid.select(*PIXEL, "v"), PIXEL, "left")
-    return out.select("anchor_id", "dy", "dx", F.coalesce(F.col("v"), F.lit(0).cast(grid.schema["v"].dataType)).alias("v"))
+def patch_arrays(grid: DataFrame, anchors: DataFrame, half: int, edge: int = EDGE) -> DataFrame:
+    """``(anchor_id, v)``: the square around each anchor as one array in (dy, dx) order, 0 outside the image."""
+    return _patches(grid, {"v": 0.0}, anchors, half, ["v"], lambda patch, _: {"v": patch["v"].ravel()}, edge=edge)
 
 
-def packed(patch: DataFrame, column: str = "v") -> DataFrame:
-    """One array per anchor in (dy, dx) order; its length is the patch size."""
-    rows = F.array_sort(F.collect_list(F.struct("dy", "dx", column)))
-    return patch.groupBy("anchor_id").agg(F.transform(rows, lambda s: s[column]).alias(column))
+def crop(grid: DataFrame, anchors: DataFrame, half: int, edge: int = EDGE) -> DataFrame:
+    """``(anchor_id, dy, dx, v)``: the same as one row per patch pixel."""
+    rows = unpacked(patch_arrays(grid, anchors, half, edge), half, ["v"])
+    return rows.withColumn("v", F.col("v").cast(grid.schema["v"].dataType))
 
 
 def _slope(column: str, along: str, across: str) -> Column:
@@ -44,24 +96,34 @@ def toward(patch: DataFrame, column: str = "v") -> DataFrame:
 
 
 def observations(anchors: DataFrame, px: DataFrame, distance: DataFrame, visits: DataFrame, half: int,
-                 tolerance: float, vesselness: DataFrame | None = None) -> DataFrame:
-    """All channels of the patches of ``anchors(anchor_id, image_id, order, y, x)``, one row per patch pixel.
+                 tolerance: float, vesselness: DataFrame | None = None, edge: int = EDGE) -> DataFrame:
+    """All channels of the patches of ``anchors(anchor_id, image_id, order, y, x)``, one row of arrays per anchor.
 
     ``px`` holds r, g, b in [0, 1]; ``visits(image_id, y, x, first)`` the order of the first visit of a
-    pixel, which counts as visited when earlier than the anchor's own. The per-pixel tables are
-    joined once and then met by the patch rows in a single join.
+    pixel, which counts as visited when earlier than the anchor's own. ``half`` is at least 1. Anchors that share an
+    ``anchor_id`` give a row each. ``unpacked`` turns the arrays into rows.
     """
+    if half < 1:
+        raise ValueError("a direction needs patches of at least 3 x 3 pixels")
     table = px.select(*PIXEL, "r", "g", "b").join(distance.select(*PIXEL, F.col("v").alias("d")), PIXEL)
-    names = ["r", "g", "b", "d"]
+    names = {"r": 0.0, "g": 0.0, "b": 0.0, "d": 0.0}
     if vesselness is not None:
-        table = table.join(vesselness.select(*PIXEL, F.col("v").alias("vesselness")), PIXEL, "left")
-        names.append("vesselness")
-    table = table.join(visits.groupBy(*PIXEL).agg(F.min("first").alias("first")), PIXEL, "left")
-    out = _window(anchors, half, ("order",)).join(table, PIXEL, "left").na.fill(0, names)
-    seen = F.coalesce((F.col("first") < F.col("order")).cast("double"), F.lit(0.0))
-    dt = F.least(F.greatest(F.col("d") / max(tolerance, 1e-6), F.lit(0.0)), F.lit(1.0))
+        table = table.join(vesselness.select(*PIXEL, F.col("v").alias("vesselness")), PIXEL, "left").na.fill(0, ["vesselness"])
+        names["vesselness"] = 0.0
+    table = table.join(visits.groupBy(*PIXEL).agg(F.min("first").cast("double").alias("first")), PIXEL, "left")
+    table = table.withColumn("first", F.coalesce("first", F.lit(float("inf"))))
+    names["first"] = float("inf")
     extra = [] if vesselness is None else ["vesselness"]
-    return toward(out, "d").select("anchor_id", "dy", "dx", "r", "g", "b", seen.alias("visited"), dt.alias("dt"), "gy", "gx", *extra)
+
+    def finish(patch: dict, anchor: pd.Series) -> dict:
+        down, right = (-g for g in np.gradient(patch["d"]))
+        size = np.sqrt(down * down + right * right) + 1e-8
+        out = {n: patch[n] for n in ("r", "g", "b", *extra)} | {
+            "visited": (patch["first"] < anchor.order).astype(float), "dt": np.clip(patch["d"] / max(tolerance, 1e-6), 0.0, 1.0),
+            "gy": down / size, "gx": right / size}
+        return {n: v.ravel() for n, v in out.items()}
+
+    return _patches(table, names, anchors, half, ["r", "g", "b", "visited", "dt", "gy", "gx", *extra], finish, ("order",), edge)
 
 
 def tile_cover(canvas: DataFrame, size: int, stride: int) -> DataFrame:
