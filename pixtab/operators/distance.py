@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixtab.functions.keys import salted_join, spread_out
+from pixtab.functions.keys import spread_out
+from pixtab.functions.lineage import materialize
 from pixtab.functions.offsets import disk
-from pixtab.functions.strips import TILE, tile_votes
+from pixtab.functions.strips import EDGE, TILE, halo_tiles, tile_votes
 
 _CHUNK = 1 << 20  # candidate distances evaluated at once
 
@@ -87,18 +88,54 @@ def _whole_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _row_minima(held)
 
 
-def nearest_d2(queries: DataFrame, targets: DataFrame) -> DataFrame:
+def _near_tile(radius: int, edge: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    by_length = sorted(disk(radius), key=lambda o: (o[0] * o[0] + o[1] * o[1], o))
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        ty, tx = int(pdf["ty"].iloc[0]), int(pdf["tx"].iloc[0])
+        y, x = pdf["y"].to_numpy("int64") - ty * edge + radius, pdf["x"].to_numpy("int64") - tx * edge + radius
+        query = pdf["is_query"].to_numpy(bool)
+        there = np.zeros((edge + 4 * radius, edge + 4 * radius), bool)
+        there[y[~query] + radius, x[~query] + radius] = True
+        home = query & (y >= radius) & (y < edge + radius) & (x >= radius) & (x < edge + radius)
+        qy, qx = y[home] + radius, x[home] + radius
+        best, left = np.full(len(qy), -1, "int64"), np.arange(len(qy))
+        for dy, dx in by_length:
+            if not len(left):
+                break
+            hit = there[qy[left] + dy, qx[left] + dx]
+            best[left[hit]] = dy * dy + dx * dx
+            left = left[~hit]
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "y": (qy + ty * edge - 2 * radius).astype("int32"),
+                             "x": (qx + tx * edge - 2 * radius).astype("int32"), "d2": best})
+    return near
+
+
+def nearest_d2(queries: DataFrame, targets: DataFrame, radius: int = 8, edge: int = EDGE) -> DataFrame:
     """Exact squared Euclidean distance from each query pixel to the nearest target of its image.
 
-    Two separable passes. Down each (image, column): nearest target row by two running windows.
-    Along each raster row: minimum over columns. Both groups are bounded by the canvas, so a hot
-    image is many tasks, and a task holds one unfinished row at a time. Queries of images without targets are left out.
+    Queries with a target within ``radius`` are answered inside halo tiles, after one shuffle of the given pixels.
+    Only the others go on to two passes over raster rows. Queries of images without targets are left out.
     """
     key = queries.schema["image_id"].dataType.simpleString()
-    box = queries.groupBy("image_id").agg(F.min("y").alias("y0"), F.max("y").alias("y1"))
-    cols = salted_join(targets.select("image_id", "x").distinct(), box, ["image_id"], by=("x",))
-    blank = cols.select("image_id", "x", F.explode(F.expr("sequence(y0, y1)")).alias("y"),
-                        F.lit(None).cast("int").alias("t"))
+    both = (queries.select("image_id", "y", "x", F.lit(True).alias("is_query"))
+            .unionByName(targets.select("image_id", "y", "x", F.lit(False).alias("is_query"))))
+    near = materialize(halo_tiles(both, radius, edge).groupBy(*TILE).applyInPandas(
+        _near_tile(radius, edge), f"image_id {key}, y int, x int, d2 bigint"))
+    far = near.where("d2 < 0").drop("d2")
+    found = near.where("d2 >= 0")
+    return found if far.isEmpty() else found.unionByName(_far_d2(far, targets))
+
+
+def _far_d2(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """Two separable passes. Down each (image, column): nearest target row by two running windows, at the rows
+    that hold a query. Along each raster row: minimum over columns. Both groups are bounded by the canvas, so a
+    hot image is many tasks, and a task holds one unfinished row at a time.
+    """
+    key = queries.schema["image_id"].dataType.simpleString()
+    wanted = queries.select("image_id", "y").distinct()
+    blank = (targets.select("image_id", "x").distinct().join(wanted, "image_id")
+             .select("image_id", "x", "y", F.lit(None).cast("int").alias("t")))
     seen = blank.unionByName(targets.select("image_id", "x", "y", F.col("y").cast("int").alias("t")))
     col = Window.partitionBy("image_id", "x")
     run = (Window.unboundedPreceding, 0)
@@ -106,9 +143,7 @@ def nearest_d2(queries: DataFrame, targets: DataFrame) -> DataFrame:
             .withColumn("down", F.last("t", ignorenulls=True).over(col.orderBy(F.desc("y")).rangeBetween(*run)))
             .where("t IS NULL"))
     g = F.least(F.col("y") - F.col("up"), F.col("down") - F.col("y")).cast("long")
-    wanted = queries.select("image_id", "y").distinct()
-    sides = (seen.join(wanted, ["image_id", "y"], "left_semi")
-             .select("image_id", "y", "x", (g * g).alias("g2"))
+    sides = (seen.select("image_id", "y", "x", (g * g).alias("g2"))
              .unionByName(queries.select("image_id", "y", "x", F.lit(None).cast("long").alias("g2"))))
     ordered = spread_out(sides, "image_id", "y").sortWithinPartitions("image_id", "y", "x")
     return ordered.mapInPandas(_whole_rows, f"image_id {key}, y int, x int, d2 bigint")
