@@ -8,6 +8,7 @@ from checks import fixtures as fx
 from checks.registry import query
 from pixtab.operators import augment, splits
 from pixtab.operators.distance import clipped_distance
+from pixtab.plans import loader
 from pixtab.sources import images, manifest, registry, tables
 
 
@@ -68,6 +69,36 @@ def a5(spark, sf):
     return samples(spark, sf)
 
 
+LISTED = """
+WITH lay(dataset, vsuf, msuf, drive) AS (VALUES ('drive', '.gif', '_mask.gif', true), ('hrf', '.tif', '_mask.tif', false), ('AV-WIDE', '_vessels.png', NULL, false))
+, img AS (SELECT CASE c_nationkey % 4 WHEN 0 THEN 'drive' WHEN 1 THEN 'hrf' WHEN 2 THEN 'AV-WIDE' ELSE 'unknown' END AS dataset, concat(c_custkey, '_training.tif') AS name,
+    concat(c_custkey, '_training') AS image_id, c_custkey FROM customer)
+, ord AS (SELECT DISTINCT c_custkey, c_nationkey % 4 AS k, o_orderstatus FROM orders JOIN customer ON c_custkey = o_custkey)
+, ves AS (SELECT DISTINCT CASE k WHEN 0 THEN 'drive' WHEN 1 THEN 'hrf' WHEN 2 THEN 'AV-WIDE' ELSE 'unknown' END AS dataset,
+    CASE k WHEN 0 THEN concat(c_custkey, '_manual1.gif') WHEN 1 THEN concat(c_custkey, '_training.tif') ELSE concat(c_custkey, '_training_vessels.png') END AS name FROM ord WHERE o_orderstatus <> 'P')
+, mas AS (SELECT DISTINCT CASE k WHEN 0 THEN 'drive' ELSE 'hrf' END AS dataset, concat(c_custkey, '_training_mask', CASE k WHEN 0 THEN '.gif' ELSE '.tif' END) AS name FROM ord WHERE o_orderstatus = 'F' AND k < 2)
+, man AS (SELECT i.dataset, i.image_id, i.name AS image_path, v.name AS vessel_path, m.name AS mask_path,
+    row_number() OVER (PARTITION BY i.dataset ORDER BY i.image_id) AS rn, count(*) OVER (PARTITION BY i.dataset) AS n
+  FROM img i JOIN lay USING (dataset) JOIN ves v ON v.dataset = i.dataset AND v.name = concat(CASE WHEN drive THEN replace(i.image_id, '_training', '_manual1') ELSE i.image_id END, vsuf)
+  LEFT JOIN mas m ON m.dataset = i.dataset AND m.name = concat(i.image_id, msuf))
+SELECT dataset, image_id, image_path, vessel_path, mask_path, CASE WHEN rn <= CAST(floor(0.7::DOUBLE * n) AS INT) THEN 'train'
+  WHEN rn <= CAST(floor((0.7::DOUBLE + 0.15::DOUBLE) * n) AS INT) THEN 'val' ELSE 'test' END AS split FROM man"""
+
+
+@query("loader_manifest", LISTED)
+def loaded(spark, sf):
+    """Three layouts at once, as names of customers and their orders; a fourth dataset has no layout."""
+    which = "CASE {} % 4 WHEN 0 THEN 'drive' WHEN 1 THEN 'hrf' WHEN 2 THEN 'AV-WIDE' ELSE 'unknown' END AS dataset".format
+    customer = fx.table(spark, sf, "customer")
+    files = customer.selectExpr(which("c_nationkey"), "concat(c_custkey, '_training.tif') AS name")
+    ordered = fx.table(spark, sf, "orders").join(customer, F.col("c_custkey") == F.col("o_custkey")).selectExpr("c_custkey", "c_nationkey", "o_orderstatus")
+    vessels = ordered.where("o_orderstatus <> 'P'").selectExpr(
+        which("c_nationkey"), "concat(c_custkey, CASE c_nationkey % 4 WHEN 0 THEN '_manual1.gif' WHEN 1 THEN '_training.tif' ELSE '_training_vessels.png' END) AS name")
+    masks = ordered.where("o_orderstatus = 'F' AND c_nationkey % 4 < 2").selectExpr(
+        which("c_nationkey"), "concat(c_custkey, '_training_mask', CASE c_nationkey % 4 WHEN 0 THEN '.gif' ELSE '.tif' END) AS name")
+    return loader.load_manifest(registry.registry(spark), files, vessels, masks)
+
+
 @query("a6_pair_by_prefix", fx.with_views("files_image files_vessel files_mask", """
 , i AS (SELECT split_part(name, '_', 1) AS image_id, name AS image_path FROM files_image)
 SELECT image_id, image_path, (SELECT min(name) FROM files_vessel v WHERE starts_with(v.name, image_id)) AS vessel_path,

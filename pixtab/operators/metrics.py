@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixtab.functions.keys import salted_join
-from pixtab.functions.offsets import disk
-from pixtab.functions.strips import TILE, tile_votes
+from pixtab.functions.offsets import disk, offset_array
+from pixtab.functions.strips import TILE, at_home, halo_tiles, tile_votes
 from pixtab.operators.distance import nearest_d2
 
 PIXEL = ["image_id", "y", "x"]
@@ -110,12 +110,13 @@ def overlay_counts(pred: DataFrame, gt: DataFrame) -> DataFrame:
 
 def box_coverage(trajectory: DataFrame, gt: DataFrame, canvas: DataFrame, radius: int = 2) -> DataFrame:
     """Annotated pixels hit or missed by a box around the path, and box pixels off the annotation."""
-    reach = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
-    box = trajectory.select(*PIXEL).distinct().withColumn("dy", reach).withColumn("dx", reach)
-    box = (box.select("image_id", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"),
-                      F.lit(1).alias("k")))
-    merged = (box.unionByName(gt.select(*PIXEL, F.lit(2).alias("k")))
-              .groupBy(*PIXEL).agg(F.bit_or("k").alias("k")))
+    # One shuffle of the points; boxes are made and merged inside the tiles.
+    tagged = trajectory.select(*PIXEL, F.lit(1).alias("k")).distinct().unionByName(gt.select(*PIXEL, F.lit(2).alias("k")))
+    at = range(-radius, radius + 1)
+    box, point = offset_array([(dy, dx) for dy in at for dx in at]), offset_array([(0, 0)])
+    moved = halo_tiles(tagged, radius).select(*TILE, "y", "x", "k", F.explode(F.when(F.col("k") == 1, box).otherwise(point)).alias("o"))
+    moved = moved.select(*TILE, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "k")
+    merged = moved.where(at_home()).groupBy(*TILE, "y", "x").agg(F.bit_or("k").alias("k"))
     kind = F.when(F.col("k") == 3, "hit").when(F.col("k") == 2, "missed").otherwise("extra")
     counts = (salted_join(merged, canvas, ["image_id"])
               .where("y >= 0 AND x >= 0 AND y < h AND x < w"))

@@ -55,14 +55,21 @@ def drain(stream: DataFrame, key: Sequence[str], mode: str = "update") -> DataFr
 def stage_states(episodes: DataFrame, stages: Sequence[tuple[str, float, float, int]] = STAGES) -> DataFrame:
     """Stage, episodes and successes of every ``run`` after each micro-batch of ``(run, idx, success)``.
 
-    Episodes of a run must arrive in order across micro-batches; inside one they are sorted.
+    Episodes of a run must arrive in order across micro-batches, which is checked; inside one they are sorted.
+    Of a micro-batch only the numbers and outcomes of a run's episodes are held.
     """
     rules = [(rate, need) for _, _, rate, need in stages]
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stage, seen, won = state.get if state.exists else (0, 0, 0)
+        stage, seen, won, last = state.get if state.exists else (0, 0, 0, None)
         # one micro-batch of one run: bounded by maxFilesPerTrigger
-        ok = pd.concat(list(batches)).sort_values("idx")["success"].to_numpy()
+        parts = [(b["idx"].to_numpy("int64"), b["success"].to_numpy()) for b in batches]
+        idx = np.concatenate([i for i, _ in parts])
+        order = np.argsort(idx, kind="stable")
+        ok = np.concatenate([s for _, s in parts])[order]
+        if last is not None and idx[order[0]] <= last:
+            raise ValueError(f"run {key[0]}: episode {idx[order[0]]} came after episode {last}")
+        last = int(idx[order[-1]])
         while len(ok):
             n, w = seen + np.arange(1, len(ok) + 1), won + np.cumsum(ok)
             done = np.flatnonzero((n >= rules[stage][1]) & (w / n >= rules[stage][0])) if stage < len(rules) - 1 else []
@@ -70,10 +77,10 @@ def stage_states(episodes: DataFrame, stages: Sequence[tuple[str, float, float,
                 seen, won = int(n[-1]), int(w[-1])
                 break
             stage, seen, won, ok = stage + 1, 0, 0, ok[done[0] + 1:]
-        state.update((stage, seen, won))
+        state.update((stage, seen, won, last))
         yield pd.DataFrame({"run": [key[0]], "stage": [stage], "episodes": [seen], "successes": [won]})
 
     kind = episodes.schema["run"].dataType.simpleString()
     return episodes.groupBy("run").applyInPandasWithState(
         advance, f"run {kind}, stage int, episodes bigint, successes bigint",
-        "stage int, episodes bigint, successes bigint", "update", GroupStateTimeout.NoTimeout)
+        "stage int, episodes bigint, successes bigint, last bigint", "update", GroupStateTimeout.NoTimeout)
