@@ -91,7 +91,13 @@ def d21(spark, sf):
     return fx.rounded(patches.blend_tiles(px.withColumn("v", F.col("v") * (1 + F.col("ty") / 100)), 24))
 
 
-@query("d22_random_tiles")
+@query("d22_random_tiles", fx.with_views("points_gt", """
+, cand AS (SELECT image_id, s AS sample, k, CAST(CAST('0x' || substr(md5(concat_ws(':', 3, 0, image_id, s, k)), 1, 12) AS BIGINT) % 144 AS INT) AS ty,
+     CAST(CAST('0x' || substr(md5(concat_ws(':', 3, 1, image_id, s, k)), 1, 12) AS BIGINT) % 144 AS INT) AS tx
+   FROM (SELECT DISTINCT user_id AS image_id FROM events), range(0, 2) AS a(s), range(0, 10) AS b(k))
+, n AS (SELECT c.*, (SELECT count(*) FROM points_gt p WHERE p.image_id = c.image_id AND p.y >= ty AND p.y < ty + 48 AND p.x >= tx AND p.x < tx + 48) AS n FROM cand c)
+SELECT image_id, CAST(sample AS INT) AS sample, arg_min(ty, r) AS ty, arg_min(tx, r) AS tx, arg_min(n, r) AS points
+FROM (SELECT *, CASE WHEN n > 10 THEN k ELSE 20 - k END AS r FROM n) GROUP BY image_id, sample"""))
 def d22(spark, sf):
     return patches.random_tiles(fx.points_gt(spark, sf), fx.curve_canvas(spark, sf), 48, per_image=2, seed=3)
 

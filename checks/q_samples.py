@@ -251,10 +251,17 @@ def b8(spark, sf):
     return splits.start_positions(gt, gt.where("y < 0"), fx.curve_canvas(spark, sf))
 
 
-@query("b8_seeded_start")
+@query("b8_seeded_start", fx.with_views("points_gt", START + """
+, pool AS (SELECT * FROM c WHERE image_id % 3 <> 0 UNION ALL
+   SELECT u.image_id, CAST(u.image_id % 50 + i AS INT), CAST(40 + i AS INT), 2 FROM (SELECT DISTINCT user_id AS image_id FROM events) u, range(0, 4) AS r(i) WHERE u.image_id % 2 = 0)
+SELECT e.image_id, coalesce(arg_min(y, concat(k, md5(concat_ws(':', 7, image_id, y, x)))), 96) AS y, coalesce(arg_min(x, concat(k, md5(concat_ws(':', 7, image_id, y, x)))), 96) AS x
+FROM (SELECT DISTINCT user_id AS image_id FROM events) e LEFT JOIN pool USING (image_id) GROUP BY 1"""))
 def b8s(spark, sf):
-    gt = fx.points_gt(spark, sf)
-    return splits.start_positions(gt, gt.where("y < 0"), fx.curve_canvas(spark, sf), seed=7)
+    """Some images have no curve, and of those some have no field of view either."""
+    canvas = fx.curve_canvas(spark, sf)
+    fov = canvas.where("image_id % 2 = 0").selectExpr("image_id", "explode(sequence(0, 3)) AS i").selectExpr(
+        "image_id", "cast(image_id % 50 + i as int) AS y", "cast(40 + i as int) AS x")
+    return splits.start_positions(fx.points_gt(spark, sf).where("image_id % 3 <> 0"), fov, canvas, seed=7)
 
 
 @query("b9_existing_ids", "SELECT c_custkey AS image_id FROM customer SEMI JOIN orders ON c_custkey = o_custkey")

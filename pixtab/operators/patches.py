@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixtab.functions.draws import draw_below
 from pixtab.functions.keys import salted_join, spread_out
 from pixtab.functions.strips import EDGE, TILE, halo_tiles
 
@@ -154,7 +155,7 @@ def random_tiles(points: DataFrame, canvas: DataFrame, size: int, per_image: int
     big = (F.col("h") > size) & (F.col("w") > size)
     cand = canvas.select("*", F.explode(F.sequence(F.lit(0), F.lit(per_image - 1))).alias("sample"))
     cand = cand.select("*", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("k"))
-    draw = lambda n, axis: F.when(big, F.pmod(F.xxhash64(F.lit(seed), F.lit(axis), "image_id", "sample", "k"), F.greatest(F.col(n) - size, F.lit(1)))).otherwise(F.lit(0)).cast("int")
+    draw = lambda n, axis: F.when(big, draw_below(F.greatest(F.col(n) - size, F.lit(1)), seed, F.lit(axis), "image_id", "sample", "k")).otherwise(F.lit(0))
     cand = cand.withColumn("ty", draw("h", 0)).withColumn("tx", draw("w", 1)).select("image_id", "sample", "k", "ty", "tx")
     cell = lambda c: F.explode(F.sequence(F.floor(F.col(c) / size), F.floor((F.col(c) + size - 1) / size)))
     spread = cand.withColumn("cy", cell("ty")).withColumn("cx", cell("tx"))

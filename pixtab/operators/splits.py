@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixtab.functions import draws
 from pixtab.functions.keys import first_of_each, ranked, salted_join
 from pixtab.operators.neighborhood import endpoints
 
@@ -83,7 +84,7 @@ def start_positions(centerline: DataFrame, fov: DataFrame, canvas: DataFrame, se
     ends = endpoints(centerline).withColumn("k", F.lit(0))
     cand = (ends.unionByName(centerline.select("image_id", "y", "x", F.lit(1).alias("k")))
             .unionByName(fov.select("image_id", "y", "x", F.lit(2).alias("k"))))
-    draw = F.lit(0).cast("bigint") if seed is None else F.xxhash64(F.lit(seed), "image_id", "y", "x")
+    draw = F.lit("") if seed is None else draws.draw(seed, "image_id", "y", "x")
     best = cand.groupBy("image_id").agg(F.min(F.struct("k", draw.alias("draw"), "y", "x")).alias("b"))
     return (canvas.join(best, "image_id", "left").select(
         "image_id", F.coalesce("b.y", F.floor(F.col("h") / 2).cast("int")).alias("y"),
