@@ -18,8 +18,8 @@ from pixtab.functions.lineage import ensure_checkpoint_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows of one output batch; keeps what is held at once small beside the texts themselves.
-ROWS_OUT = 2000
+#: Rows turned into Python objects at once, and rows of one output batch: what is held beside Spark's batch is small.
+ROWS_IN, ROWS_OUT = 256, 1000
 
 
 def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
@@ -72,10 +72,12 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
             return out
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.extend(f(*row))
-                if len(held) >= ROWS_OUT:
-                    yield flush()
+            for lo in range(0, batch.num_rows, ROWS_IN):
+                part = batch.slice(lo, ROWS_IN)
+                for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    held.extend(f(*row))
+                    if len(held) >= ROWS_OUT:
+                        yield flush()
         yield flush()
 
     return df.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from pixtab.llm.bpe import KEY, packed
 
 #: Tokens of a sequence, bins open at a time, sequences of a task, and the most tasks.
 SIZE, OPEN, SEQUENCES, TASKS = 4096, 1024, 4096, 20_000
-END, CACHE = 1, 800_000
+END, CACHE = 1, 600_000
 
 
 class WordIds(dict):
