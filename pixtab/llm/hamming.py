@@ -13,7 +13,7 @@ from pixtab.functions.lineage import materialize
 
 ALL = (1 << 64) - 1
 BUCKET, SMALL = 256, 128
-#: Sizes of buckets are broadcast if there can be no more buckets than this.
+#: The list of full buckets is broadcast if there can be no more buckets than this.
 KEYS = 1 << 19
 
 
@@ -141,18 +141,18 @@ def links(nodes: DataFrame, radius: int, family: Callable[[int, int], list[int]]
         own = masks if len(paths) == 1 else F.filter(masks, lambda m: m["of"] == F.col("free"))
         rows = level.select("fp", "at", F.inline(own)).select(
             "fp", F.col("rest").alias("free"), F.xxhash64("at", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("at"))
-        sizes = rows.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sizes = rows.groupBy("at").agg(F.count(F.lit(1)).alias("n"))
         if sum(1 << len(bits_of(m)) for *_, m, _ in table) <= KEYS:
-            sizes = F.broadcast(materialize(sizes))  # no more rows than there are keys
-            held = rows.join(sizes, "at")
+            full = F.broadcast(materialize(sizes.where(F.col("n") > bucket).select("at")))  # fewer than there are keys
+            fits, level = rows.join(full, "at", "left_anti"), rows.join(full, "at").select("fp", "free", "at")
         else:
-            held = materialize(rows.join(sizes, "at"))
-        fits = held if final else held.where(F.col("n") <= bucket)
+            held = materialize(rows.join(sizes.where("n > 1"), "at"))
+            fits = held if final else held.where(F.col("n") <= bucket)
+            level = held.where(F.col("n") > bucket).select("fp", "free", "at")
         n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         found = fits.select("at", "fp").repartition(n, "at").sortWithinPartitions("at").mapInArrow(
             lambda batches: search_sorted(batches, radius), "a bigint, b bigint")
         out = found if out is None else out.unionByName(found)
-        level = held.where(F.col("n") > bucket).select("fp", "free", "at")
         if final or level.isEmpty():
             return out.distinct()
         paths = list(dict.fromkeys(rest for *_, rest in table))
