@@ -1,0 +1,69 @@
+"""Candidates by MinHash bands: members that share a bucket, with a bounded work for each row."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pixtab.functions.lineage import materialize
+
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+class Bands:
+    """Keys of ``count`` bands of ``rows`` minima each, over sets of 64-bit hashes.
+
+    Sets of similarity s share a band with probability 1 - (1 - s^rows)^count.
+    """
+
+    def __init__(self, rows: int, count: int, seed: int):
+        r = np.random.Generator(np.random.PCG64(seed))
+        self.rows, self.count = rows, count
+        self.flip = r.integers(0, 1 << 32, rows * count, dtype=np.uint32)
+        self.times = r.integers(0, 1 << 31, rows * count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+    def keys(self, hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """One row of signed keys for each of the sets that begin at ``cuts``, none of them empty."""
+        h = (hashes >> np.uint64(32)).astype(np.uint32)
+        out = np.zeros((cuts.size, self.count), np.uint64)
+        for k, (flip, times) in enumerate(zip(self.flip, self.times, strict=True)):
+            t = k // self.rows
+            out[:, t] = (out[:, t] ^ np.minimum.reduceat((h ^ flip) * times, cuts)) * _MIX
+            out[:, t] ^= out[:, t] >> np.uint64(29)
+        return out.view(np.int64)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    h = (h ^ (h >> np.uint64(29))) * _MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def met(nodes: DataFrame, node: str, columns: Sequence[str], weight: str) -> DataFrame:
+    """``(g, node, size, weight)``: every bucket g of several nodes, ``size`` its summed weight; equal buckets once.
+
+    Null keys are left out. Buckets are counted first, so only rows of shared ones are joined, whatever their size.
+    """
+    rows = nodes.select(node, weight, F.posexplode(F.array(*columns)).alias("t", "k")).where("k is not null").select(
+        node, weight, F.xxhash64("t", "k").alias("at"))
+    shared = materialize(rows.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("at"))
+    inside = materialize(rows.join(shared, "at"))
+    named = inside.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(node)).alias("x"), F.sum(F.col(weight).cast("long")).alias("size"))
+    named = named.withColumn("g", F.xxhash64("n", "x"))
+    one = named.groupBy("g").agg(F.min("at").alias("at"), F.min("size").alias("size"))
+    return materialize(inside.join(one, "at").select("g", node, "size", weight))
+
+
+def connect(ids: Sequence[int], may: Callable[[int, np.ndarray], np.ndarray], alike: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+    """Links that connect what is alike. Pairs that are connected already are not compared; ``may`` drops pairs by bounds."""
+    group = np.arange(len(ids))
+    for i in range(len(ids)):
+        rest = np.flatnonzero(group[i + 1:] != group[i]) + i + 1
+        if rest.size:
+            for j in may(i, rest).tolist():
+                if group[i] != group[j] and alike(i, j):
+                    yield ids[i], ids[j]
+                    group[group == group[j]] = group[i]

@@ -168,3 +168,28 @@ def test_long_lines_count_in_segments():
         each = {w: int(hashes.words(w + b" ")[0]) for w in words}
         want = sum(1 << b for b in range(64) if 2 * sum(each[w] >> b & 1 for w in words) > len(words))
         assert fp & hamming.ALL == want
+
+
+def variants(words, r):
+    """Lines with an edit similarity of 0.8 or more to ``words``, by few letters or whole words."""
+    one = list(words)
+    k = r.randrange(len(one))
+    one[k] += r.choice("abcdefgh")
+    two = list(words)
+    for k in r.sample(range(len(two)), max(1, len(two) // 10)):
+        two[k] = two[k][:-1] + "z"
+    return " ".join(one), " ".join(two)
+
+
+def test_links_of_lines_by_edit_similarity_alone():
+    r = random.Random(8)
+    found = total = 0
+    for n in (6, 12, 20, 40, 80):
+        for _ in range(40):
+            base = ["".join(r.choice("abcdefghijklmnoprstu") for _ in range(r.randint(3, 8))) for _ in range(n)]
+            own, *others = [list(lines.line_bands(t.encode()))[0][2:] for t in (" ".join(base), *variants(base, r))]
+            for text, keys in zip(variants(base, r), others, strict=True):
+                assert lines.similar(" ".join(base), text)
+            found += sum(any(a is not None and a == b for a, b in zip(own, keys, strict=True)) for keys in others)
+            total += len(others)
+    assert found >= 0.95 * total, (found, total)
