@@ -3,7 +3,7 @@ import random
 import pytest
 from helpers import awkward, awkward_texts, nothing, rows_of
 
-from pixtab.llm import hamming, lines, simhash
+from pixtab.llm import hamming, lines, shingles, simhash
 from pixtab.llm.stars import min_roots
 
 
@@ -193,3 +193,22 @@ def test_links_of_lines_by_edit_similarity_alone():
             found += sum(any(a is not None and a == b for a, b in zip(own, keys, strict=True)) for keys in others)
             total += len(others)
     assert found >= 0.95 * total, (found, total)
+
+
+def test_near_copies_by_shingle_similarity(spark):
+    r = random.Random(6)
+    texts = []
+    for i in range(40):
+        own = [f"w{r.randrange(5000)}" for _ in range(150)]
+        copy = list(own)
+        for k in r.sample(range(150), 3):
+            copy[k] = "changed"
+        a, b = (shingles.shingles(" ".join(t).encode()) for t in (own, copy))
+        assert shingles.jaccard(a, b) >= 0.8
+        texts += [(i, " ".join(own)), (100 + i, " ".join(copy))]
+    texts += [(900, "too short"), (901, "Too  short"), (902, None), (903, " ")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = sorted(x["doc_id"] for x in shingles.one_of_similar(docs).collect())
+    assert kept == [*range(40), 900, 902]
+    assert len(simhash.one_of_each(docs).collect()) > len(kept)  # what three bits leave
+    assert shingles.one_of_similar(nothing(spark)).count() == 0
