@@ -37,8 +37,15 @@ RESERVED = ("example", "test", "invalid", "localhost")
 SPECIAL_NETS = (0, 10, 100, 127, 169, 172, 192, 198, 203)
 
 PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|[.-]\d)")
+#: International numbers by groups of 1 to 8 digits or none, national ones with a leading 0, and 3-3-4. Digits are counted after.
+INTERNATIONAL = re.compile(r"(?<![\w+])\+\d{1,15}(?:[ .-]?\(\d{1,4}\)[ .-]?\d{1,8})?(?:[ ./-]\d{1,8}){0,6}(?!\w|[.-]\d)")
+NATIONAL = re.compile(r"(?<![\w+.,/:-])(?:\(0\d{1,5}\)[ ]?\d{1,8}(?:[ ./-]\d{1,8}){0,5}|0\d{1,5}(?:[ ./-]\d{1,8}){1,6}|0\d{9,10})(?!\w|[.-]\d)")
+GROUPED = re.compile(r"(?<![\w+.,/:-])\d{3} \d{3} \d{4}(?!\w|[.-]\d)")
+DATE = re.compile(r"\d{2}([./ -])\d{2}\1\d{4}(?!\d)")
+#: Country codes of one and two digits; all others have three.
+CODES = {"1", "7", "20", "27", *map(str, (*range(30, 35), 36, 39, 40, 41, *range(43, 50), *range(51, 59), *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98))}
 ADDRESS = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)")
-NUMBER = re.compile(r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{3}-\d{2}-\d{4})(?!\w|[.-]\d)")
+NUMBER = re.compile(r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{3}-\d{2}-\d{4})(?!\w|[.-]\d)")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)")
 LOCAL = re.compile(r"[\w.+%-]{1,64}$")
 DOMAIN = re.compile(r"(?:[\w-]{1,63}\.)+[^\W\d_]{2,24}")
@@ -61,6 +68,24 @@ def iban_check(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
+def phones(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of telephone numbers. One with more digits than a number has ends before the group that is too much."""
+    yield from (m.span() for m in PHONE.finditer(text))
+    yield from (m.span() for m in GROUPED.finditer(text))
+    for pattern, least, most in ((INTERNATIONAL, 7, 15), (NATIONAL, 9, 13)):
+        for m in pattern.finditer(text):
+            if pattern is NATIONAL and DATE.match(m[0]):
+                continue
+            end, n = 0, 0
+            for group in re.finditer(r"\d+\)?", m[0]):
+                n += sum(c.isdigit() for c in group[0])
+                if n > most:
+                    break
+                end = group.end()
+            if sum(c.isdigit() for c in m[0][:end]) >= least:
+                yield m.start(), m.start() + end
+
+
 def detect(text: str) -> list[Span]:
     """``(start, end, kind, detail)`` of the entities of a text, by start, not overlapping; the longer wins.
 
@@ -76,7 +101,7 @@ def detect(text: str) -> list[Span]:
             if start < at and text[at - 1] != ".":
                 found.append((start, tail.end(), "email", ""))
         at = text.find("@", at + 1)
-    found += [(m.start(), m.end(), "phone", "") for m in PHONE.finditer(text)]
+    found += [(a, b, "phone", "") for a, b in phones(text)]
     found += [(m.start(), m.end(), "address", "") for m in ADDRESS.finditer(text)
               if all(str(int(o)) == o and int(o) < 256 for o in m[0].split("."))]
     found += [(m.start(), m.end(), "number", "") for m in NUMBER.finditer(text)]
@@ -165,6 +190,11 @@ class Surrogates:
 
     def phone(self, value: str) -> str:
         code = len(re.match(r"\+(\d{1,3})[ .(-]", value)[1]) if re.match(r"\+\d{1,3}[ .(-]", value) else 0
+        if not code and value[0] == "+":
+            own = re.match(r"\+(\d+)", value)[1]
+            code = next((k for k in (1, 2) if own[:k] in CODES), min(3, len(own)))
+        elif not code:
+            code = int(re.match(r"\(?0", value) is not None)  # the leading 0 of a national number
         groups = [m.span() for m in re.finditer(r"\d+", value)]
         places = [i for i, c in enumerate(value) if c.isdigit()]
         # The exchange 555 is nobody's: it stays so.

@@ -170,3 +170,16 @@ def test_names_give_way_and_stay_the_same_everywhere(spark, monkeypatch):
     new = {n: got[i].split(" wrote")[0].split()[-1] for i, n in enumerate(names)}
     assert len(set(new.values())) == len(names) and all(got[i] == got[i + len(names)] for i in range(len(names)))
     assert not {v.lower() for v in new.values()} & {n.split()[-1].lower() for n in names}
+
+
+def test_phone_and_card_forms():
+    own = pii.Surrogates()
+    for value in ("+14155552671", "+491701234567", "+49 30 12345678", "+33 1 23 45 67 89", "06 12 34 56 78", "030 12345678", "(030) 12345678", "0612345678",
+                  "555 123 4567", "+1 (415) 555-2671", "+34 912 345 678", "+351 21 123 4567", "415-555-2671"):
+        assert pii.detect(f"call {value}, now") == [(5, 5 + len(value), "phone", "")], value
+        new = own.replace(value, "phone", "")
+        assert new != value and pii.detect(f"call {new}, now") == [(5, 5 + len(value), "phone", "")], (value, new)
+    assert own.phone("+14155552671").startswith("+1") and own.phone("+491701234567").startswith("+49") and own.phone("06 12 34 56 78")[0] == "0"
+    assert pii.detect("card 3782 822463 10005.") == [(5, 22, "number", "")] and pii.detect("+49 30 12345678 123456 99")[0][:2] == (0, 15)
+    for text in ("on 01.02.2024 12:30", "05-06-2024", "+5 or +12 34", "0.12345678 of 007", "100 200 300", "08:30 to 09:45"):
+        assert [x for x in pii.detect(text) if x[2] == "phone"] == [], text
