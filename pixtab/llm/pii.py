@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator, Mapping, Sequence
+import sys
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,10 +52,26 @@ LOCAL = re.compile(r"[\w.+%-]{1,64}$")
 DOMAIN = re.compile(r"(?:[\w-]{1,63}\.)+[^\W\d_]{2,24}")
 _TITLE = "|".join(sorted({t for own in TITLES.values() for t in own}, key=lambda t: (-len(t), t)))
 _GIVEN = "|".join(sorted({g for own in GIVEN.values() for g in own}, key=lambda g: (-len(g), g)))
-_UPPER = "A-ZÀ-ÖØ-ÞА-ЯΑ-Ω"
+
+
+def _ranges(chars: Iterable[int]) -> str:
+    """A regular expression's class of these characters, without the brackets."""
+    out: list[list[int]] = []
+    for c in chars:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
+_UPPER = _ranges(c for c in range(sys.maxunicode + 1) if chr(c).isalpha() and (chr(c).isupper() or chr(c).istitle()))
 _NAME = rf"[{_UPPER}][^\W\d_]+(?:[-'’][^\W\d_]+)?"
 NAMED = re.compile(rf"(?<!\w)(?:(?P<title>{_TITLE})\.?[ ]+(?P<who>{_NAME}(?:[ ]{_NAME}){{0,2}})|(?P<given>{_GIVEN})[ ](?P<sur>{_NAME}))(?!\w)")
 
+KNOWN = {g for own in GIVEN.values() for g in own}
+WORD = re.compile(r"\w")
+
 Span = tuple[int, int, str, str]
 
 
@@ -89,6 +106,7 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
 def detect(text: str) -> list[Span]:
     """``(start, end, kind, detail)`` of the entities of a text, by start, not overlapping; the longer wins.
 
+    A surname seen once with a title or given name is found in every later whole-word mention of the text.
     Kinds: email, phone, address, number, iban, name. The detail of a name is its gender (m, f or empty).
     """
     found: list[Span] = []
@@ -109,6 +127,7 @@ def detect(text: str) -> list[Span]:
         plain = m[0].replace(" ", "")
         if iban_check(plain[4:] + plain[:4]) == 1:
             found.append((m.start(), m.end(), "iban", ""))
+    surnames: dict[str, tuple[int, str]] = {}
     for m in NAMED.finditer(text):
         if m["title"]:
             gender = next(g for g, own in TITLES.items() if m["title"] in own)
@@ -116,6 +135,18 @@ def detect(text: str) -> list[Span]:
         else:
             gender = next(g for (_, g), own in GIVEN.items() if m["given"] in own)
             found.append((m.start("given"), m.end("sur"), "name", gender))
+        surname = (m["who"] or m["sur"]).split(" ")[-1]
+        if surname not in KNOWN:
+            for form in {surname, surname.upper()}:
+                surnames.setdefault(form, (m.end(), gender))
+    # Later mentions of a surname alone; a longer one that holds it is found at the same place or before.
+    for surname, (at, gender) in surnames.items():
+        at = text.find(surname, at)
+        while at >= 0:
+            end = at + len(surname)
+            if not WORD.match(text[at - 1]) and not WORD.match(text[end:end + 1]):
+                found.append((at, end, "name", gender))
+            at = text.find(surname, end)
     out: list[Span] = []
     for s in sorted(found, key=lambda s: (s[0], s[0] - s[1], s[2])):
         if not out or s[0] >= out[-1][1]:
@@ -263,8 +294,7 @@ def cased(like: str, word: str) -> str:
 
 
 def surname_parts(text: str) -> set[str]:
-    known = {g for own in GIVEN.values() for g in own}
-    return {p.lower() for m in NAMED.finditer(text) for p in re.findall(r"[^\W\d_]+", m["who"] or m["sur"]) if p not in known}
+    return {p.lower() for m in NAMED.finditer(text) for p in re.findall(r"[^\W\d_]+", m["who"] or m["sur"]) if p not in KNOWN}
 
 
 def settle(docs: DataFrame, text: str, key: str) -> DataFrame:

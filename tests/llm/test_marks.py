@@ -183,3 +183,13 @@ def test_phone_and_card_forms():
     assert pii.detect("card 3782 822463 10005.") == [(5, 22, "number", "")] and pii.detect("+49 30 12345678 123456 99")[0][:2] == (0, 15)
     for text in ("on 01.02.2024 12:30", "05-06-2024", "+5 or +12 34", "0.12345678 of 007", "100 200 300", "08:30 to 09:45"):
         assert [x for x in pii.detect(text) if x[2] == "phone"] == [], text
+
+
+def test_later_mentions_of_a_surname():
+    text = "Mr John Keller met Dr Šimek. Keller said so to KELLER, Kellermann and Šimek's friend (Šimek). Kellers"
+    own = pii.Surrogates()
+    out, spans = pii.rewritten(text, own)
+    new, other = own.name_part("Keller", "m"), own.name_part("Šimek", "")
+    assert [text[a:b] for a, b, _, _ in spans] == ["John Keller", "Šimek", "Keller", "KELLER", "Šimek", "Šimek"]
+    assert out == f"Mr {own.name_part('John', 'm')} {new} met Dr {other}. {new} said so to {new.upper()}, Kellermann and {other}'s friend ({other}). Kellers"
+    assert pii.detect("Before Novák, Frau Novák and Herr Łukasz")[0][:2] == (19, 24)
