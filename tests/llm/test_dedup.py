@@ -212,3 +212,9 @@ def test_near_copies_by_shingle_similarity(spark):
     assert kept == [*range(40), 900, 902]
     assert len(simhash.one_of_each(docs).collect()) > len(kept)  # what three bits leave
     assert shingles.one_of_similar(nothing(spark)).count() == 0
+
+
+def test_rows_of_other_numbers_stay(spark):
+    rows = ["2024-03-05 12:30:01", "1999-11-27 08:45:59", "2024-03-05, 12:30:01"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert rows_of(lines.dedup_lines(docs), "doc_id", "text") == [(0, rows[0]), (1, rows[1]), (2, "")]
