@@ -218,3 +218,9 @@ def test_rows_of_other_numbers_stay(spark):
     rows = ["2024-03-05 12:30:01", "1999-11-27 08:45:59", "2024-03-05, 12:30:01"]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert rows_of(lines.dedup_lines(docs), "doc_id", "text") == [(0, rows[0]), (1, rows[1]), (2, "")]
+
+
+def test_exact_repeats_of_short_lines_go(spark):
+    rows = ["all rights reserved\nread more\nof edti oner here", "All rights reserved.\nread more\nof edti oner her"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert rows_of(lines.dedup_lines(docs), "doc_id", "text") == [(0, rows[0]), (1, "read more\nof edti oner her")]
