@@ -38,6 +38,8 @@ WIDER = (
 KINDS = BASE + WIDER
 #: A value with more owners than this is a copied example.
 OWNERS = 2
+#: So is one that stands in more repositories than this, also with one owner. An owner's own secret may be in several.
+REPOS = 20
 SPAN = "array<struct<start:bigint,kind:int,`end`:bigint,hash:string,live:boolean>>"
 
 
@@ -101,13 +103,14 @@ def label(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", owner: str = "source", repo: str = "doc_id", keep: tuple[str, ...] = ("doc_id",),
-         most_owners: int = OWNERS) -> DataFrame:
+         most_owners: int = OWNERS, most_repos: int = REPOS) -> DataFrame:
     """``keep`` columns, ``spans`` and ``wider``, with the ownership of every value; a row for each row of ``docs``.
 
     ``spans`` holds the base spans; ``wider`` holds what the method adds: candidates of the wider
-    kinds, not inside a base span, whose value at most ``most_owners`` owners have in the whole corpus
-    and that look live. ``n_live`` counts spans of either sort with such values, ``n_copied`` those
-    whose value more owners have. Null text counts as empty, a null owner or repository as one of its
+    kinds, not inside a base span, whose value at most ``most_owners`` owners and ``most_repos`` repositories
+    have in the whole corpus and that look live. ``n_live`` counts spans of either sort with such values,
+    ``n_copied`` those whose value more owners or more repositories have: an example copied all over the
+    documents of one hot owner is copied, too. Null text counts as empty, a null owner or repository as one of its
     own. Null ids and repeated rows give rows of their own; an empty table gives an empty result.
     Only the named columns are read, so others don't clash. Texts are scanned whole.
     """
@@ -117,7 +120,7 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", repo: str =
     # The number of a row is part of the stored table, so it is the same wherever it is read.
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
     found = rows.where(F.size("spans") > 0).select("row", "owner", "repo", F.inline("spans"))
-    judged = found.join(owned(found), "hash").withColumn("own", F.col("live") & (F.col("n_owners") <= most_owners))
+    judged = found.join(owned(found), "hash").withColumn("own", F.col("live") & (F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos))
     span = F.struct("start", "kind", "end", "own", "n_owners", "n_repos")
     per_row = judged.groupBy("row").agg(F.collect_list(span).alias("judged"))
     none = F.array().cast("array<struct<start:bigint,kind:int,`end`:bigint,own:boolean,n_owners:bigint,n_repos:bigint>>")
@@ -130,7 +133,7 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", repo: str =
     both = F.concat("spans", "wider")
     return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], "spans", "wider",
                       F.size(F.filter(both, lambda s: s["own"])).cast("long").alias("n_live"),
-                      F.size(F.filter(both, lambda s: s["n_owners"] > most_owners)).cast("long").alias("n_copied"))
+                      F.size(F.filter(both, lambda s: (s["n_owners"] > most_owners) | (s["n_repos"] > most_repos))).cast("long").alias("n_copied"))
 
 
 def op3_secrets(docs: DataFrame) -> DataFrame:

@@ -193,3 +193,10 @@ def test_later_mentions_of_a_surname():
     assert [text[a:b] for a, b, _, _ in spans] == ["John Keller", "Šimek", "Keller", "KELLER", "Šimek", "Šimek"]
     assert out == f"Mr {own.name_part('John', 'm')} {new} met Dr {other}. {new} said so to {new.upper()}, Kellermann and {other}'s friend ({other}). Kellers"
     assert pii.detect("Before Novák, Frau Novák and Herr Łukasz")[0][:2] == (19, 24)
+
+
+def test_copies_of_a_hot_owner_are_copied(spark):
+    live, copied = "ghp_a8Kd93LmQz71XcVb20Np", "ghp_B7uYt65ReWq09ZxMk33J"
+    rows = [(i, f"{'token = ' if i else 'see '}{copied}", "hot") for i in range(secrets.REPOS + 1)] + [(100 + i, f"see {live}", "hot") for i in range(secrets.REPOS)]
+    got = secrets.op3_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {(r["doc_id"] < 100, r["spans"], r["n_live"], r["n_copied"]) for r in got} == {(True, "", 0, 0), (True, "assign:0:32", 0, 1), (False, "vendor:4:28", 1, 0)}
