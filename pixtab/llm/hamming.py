@@ -142,7 +142,8 @@ def links(nodes: DataFrame, radius: int, family: Callable[[int, int], list[int]]
         rows = level.select("fp", "at", F.inline(own)).select(
             "fp", F.col("rest").alias("free"), F.xxhash64("at", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("at"))
         sizes = rows.groupBy("at").agg(F.count(F.lit(1)).alias("n"))
-        if sum(1 << len(bits_of(m)) for *_, m, _ in table) <= KEYS:
+        # Below the first level, keys of the levels above count as well, so the bound holds only there.
+        if not final and paths == [ALL] and sum(1 << len(bits_of(m)) for *_, m, _ in table) <= KEYS:
             full = F.broadcast(materialize(sizes.where(F.col("n") > bucket).select("at")))  # fewer than there are keys
             fits, level = rows.join(full, "at", "left_anti"), rows.join(full, "at").select("fp", "free", "at")
         else:

@@ -224,3 +224,9 @@ def test_exact_repeats_of_short_lines_go(spark):
     rows = ["all rights reserved\nread more\nof edti oner here", "All rights reserved.\nread more\nof edti oner her"]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert rows_of(lines.dedup_lines(docs), "doc_id", "text") == [(0, rows[0]), (1, "read more\nof edti oner her")]
+
+
+def test_full_buckets_of_the_last_level_are_searched(spark):
+    nodes = spark.createDataFrame([(1 << k,) for k in range(6)], "fp long")
+    found = hamming.links(nodes, 3, lambda free, radius: [free & (0xFFFF << 40)], bucket=2, last=48)
+    assert {r["node"] for r in min_roots(found).collect()} == {1 << k for k in range(6)}
