@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixtab.llm import bpe, lines, packing, pii, quality, runs, secrets, simhash, topk, toxicity, urls
+from pixtab.llm import bpe, lines, packing, pii, quality, ring, runs, secrets, simhash, topk, toxicity, urls
 
 
 def tokenizer(name: str) -> str:
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lines": lambda s, d: lines.op8_lines(table(s, d, "documents")),
     "op9_pii": lambda s, d: pii.op9_pii(table(s, d, "documents")),
     "op10_packing": lambda s, d: packing.op10_packing(table(s, d, "documents"), tokenizer("word_bpe_49k.json")),
+    "op11_ring": lambda s, d: ring.op11_ring(table(s, d, "documents")),
     "op13_runs": lambda s, d: runs.op13_runs(table(s, d, "documents")),
 }
 
