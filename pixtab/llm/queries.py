@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixtab.llm import bpe, lines, packing, pii, quality, ring, runs, secrets, simhash, topk, toxicity, urls
+from pixtab.llm import bpe, lexical, lines, packing, pii, quality, ring, runs, secrets, simhash, topk, toxicity, urls
 
 
 def tokenizer(name: str) -> str:
@@ -32,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": lambda s, d: pii.op9_pii(table(s, d, "documents")),
     "op10_packing": lambda s, d: packing.op10_packing(table(s, d, "documents"), tokenizer("word_bpe_49k.json")),
     "op11_ring": lambda s, d: ring.op11_ring(table(s, d, "documents")),
+    "op12_lexical": lambda s, d: lexical.op12_lexical(table(s, d, "documents"), table(s, d, "benchmark")),
     "op13_runs": lambda s, d: runs.op13_runs(table(s, d, "documents")),
 }
 
@@ -43,4 +44,4 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = _pipeline
-ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE, "op7_quality": quality.ORACLE}
+ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE, "op7_quality": quality.ORACLE, "op12_lexical": lexical.ORACLE}
