@@ -292,6 +292,40 @@ def test_near_copies_by_shingle_similarity(spark):
     assert shingles.one_of_similar(nothing(spark)).count() == 0
 
 
+def test_recall_of_near_copies():
+    """Sets of shingles at and above the least similarity: 9 in 10 of those just above it meet, nearly all of the closer ones."""
+    r = random.Random(12)
+    tables = [agree.feature_bits(1 << shingles.CLASSES, k) for k in range(2)]
+
+    def prints_of(own):
+        classes = (own >> np.uint64(64 - shingles.CLASSES)).astype(np.int64)
+        return [agree.add_up(t, classes, np.array([own.size]))[0].view(np.uint8).tolist() for t in tables]
+    for changes, least in ((2, 0.99), (5, 0.98)):
+        met = total = 0
+        for _ in range(150):
+            own = [f"w{r.randrange(5000)}" for _ in range(250)]
+            copy = list(own)
+            for k in r.sample(range(250), changes):
+                copy[k] = "changed"
+            a, b = (shingles.shingles(" ".join(t).encode()) for t in (own, copy))
+            if shingles.jaccard(a, b) >= 0.8:
+                total += 1
+                met += any(print_linked(x, y, shingles.RADIUS) for x, y in zip(prints_of(a), prints_of(b), strict=True))
+        assert total > 100 and met >= least * total, (changes, met, total)
+
+
+def test_near_copies_of_awkward_rows(spark):
+    docs = awkward(spark)
+    sets = [(i, shingles.shingles(None if t is None else t.encode())) for i, t in awkward_texts()]
+    of = components(range(len(sets)), lambda a, b: shingles.jaccard(sets[a][1], sets[b][1]) >= 0.8)
+    groups = {}
+    for k, (i, _) in enumerate(sets):
+        groups.setdefault(of[k], []).append((i is None, i or 0))
+    out = shingles.one_of_similar(docs)
+    assert out.columns == docs.columns
+    assert rows_of(out, "doc_id") == sorted(((None if n else i,) for n, i in map(min, groups.values())), key=repr)
+
+
 def test_rows_of_other_numbers_stay(spark):
     rows = ["2024-03-05 12:30:01", "1999-11-27 08:45:59", "2024-03-05, 12:30:01"]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
