@@ -170,8 +170,7 @@ def test_large_groups_are_compared_in_parts(spark, monkeypatch):
             own[r.randrange(30)] = f"other{r.randrange(9)}"
         texts.append((i, " ".join(own)))
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    monkeypatch.setattr(agree, "GROUP", 6)  # a third block, and windows
-    monkeypatch.setattr(agree, "WINDOW", 8)
+    monkeypatch.setattr(agree, "WIDTH", 6)
     assert rows_of(lines.dedup_lines(docs), "doc_id", "text") == sorted(brute_lines(texts), key=repr)
 
 
@@ -205,7 +204,7 @@ def test_dense_groups_stay_connected_without_all_pairs(spark):
         x = centres[i % 2] ^ sum(1 << b for b in r.sample(range(128), r.randint(0, 6)))
         rows.append((i, hamming.signed(x & hamming.ALL), hamming.signed(x >> 64)))
     found = pairs_of(spark, rows, 40)
-    assert len(found) < 700 * len(rows)
+    assert len(found) <= 16 * agree.NEAREST * len(rows)
     roots = min_roots(spark.createDataFrame(sorted(found), "a long, b long")).collect()
     assert len(roots) == 1500 and all(x["root"] == x["node"] % 2 for x in roots)
 
