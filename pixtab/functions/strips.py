@@ -97,13 +97,21 @@ def to_strips(grid: DataFrame, halo: int, values: Sequence[str] = ("v",), edge:
         if canvas is None:
             raise ValueError("fill needs the canvas")
         rows = _all_rows(canvas, halo, edge).join(strips, [*TILE, "y"], "left")
-        at = F.map_from_arrays(F.coalesce(F.transform("_p", _field("x")), F.array().cast("array<int>")),
-                               F.coalesce("_p", F.slice("_p", 1, 0), F.array().cast(strips.schema["_p"].dataType)))
+        given = F.filter(F.coalesce("_p", F.array().cast(strips.schema["_p"].dataType)), lambda p: p["x"].between(F.col("_lo"), F.col("_hi")))
+        rows = rows.withColumn("_g", given)
 
         def filled(n: str) -> Column:
-            kind = grid.schema[n].dataType
-            return F.transform(F.sequence("_lo", "_hi"), lambda x: F.coalesce(F.try_element_at("_m", x)[n], F.lit(fill).cast(kind)))
-        rows = rows.withColumn("_m", at).select(*TILE, "y", F.col("_lo").alias("x0"), *[filled(n).alias(n) for n in values])
+            """Each given value after the fill of the gap before it, and the fill up to the end: one pass over the row."""
+            one = F.lit(fill).cast(grid.schema[n].dataType)
+
+            def piece(p: Column, i: Column) -> Column:
+                before = F.coalesce(F.when(i > 0, F.get("_g", i - 1)["x"]), F.col("_lo") - 1)
+                return F.concat(F.array_repeat(one, p["x"] - before - 1), F.array(p[n]))
+            last = F.coalesce(F.get("_g", F.size("_g") - 1)["x"], F.col("_lo") - 1)
+            row = F.flatten(F.concat(F.transform("_g", piece), F.array(F.array_repeat(one, F.col("_hi") - last))))
+            twice = F.raise_error(F.lit("a pixel of the grid is given twice")).cast(f"array<{grid.schema[n].dataType.simpleString()}>")
+            return F.when(F.size(row) == F.col("_hi") - F.col("_lo") + 1, row).otherwise(twice)
+        rows = rows.select(*TILE, "y", F.col("_lo").alias("x0"), *[filled(n).alias(n) for n in values])
         strips = spread_out(rows, *TILE)
     if canvas is not None:
         strips = salted_join(strips, canvas, ["image_id"], by=("ty", "tx"))

@@ -2,54 +2,55 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pixtab.functions.keys import salted_join
+from pixtab.functions.lineage import materialize
 from pixtab.functions.scan import neighbour, running
 
-_SUPER = 10  # blocks folded together: 2**10
+def _links(decay: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Per sorted batch of rows ``(_run, _delta, _alive)``: suffix sums inside the batch's runs, and what links them.
 
-
-def _fold(df: DataFrame, keys: Sequence[str], index: str) -> tuple[DataFrame, DataFrame]:
-    """Chain ``value = head + a * next`` from the last index back, inside each bounded group.
-
-    Returns per row ``p, q`` with ``incoming = p + q * (incoming of the group)``, and the group's
-    own ``head, a``.
+    A row stands for the map ``A -> head + a * A`` of the advantage after it; maps compose associatively. The rows come from the
+    last step back, so the map of a run's rows so far is the one pair that is carried on from batch to batch.
     """
-    rows = F.array_sort(F.collect_list(F.struct((-F.col(index)).cast("long").alias("o"), "head", "a")))
-    start = F.expr("named_struct('p', 0.0D, 'q', 1.0D, 'out', "
-                   "cast(array() as array<struct<o:bigint,p:double,q:double>>))")
-
-    def step(acc: Column, s: Column) -> Column:
-        seen = F.struct(s["o"].alias("o"), acc["p"].alias("p"), acc["q"].alias("q"))
-        return F.struct((s["head"] + s["a"] * acc["p"]).alias("p"), (s["a"] * acc["q"]).alias("q"),
-                        F.concat(acc["out"], F.array(seen)).alias("out"))
-
-    folded = df.groupBy(*keys).agg(F.aggregate(rows, start, step).alias("_f"))
-    inner = folded.select(*keys, F.explode("_f.out").alias("_o")).select(
-        *keys, (-F.col("_o.o")).alias(index), F.col("_o.p").alias("p"), F.col("_o.q").alias("q"))
-    return inner, folded.select(*keys, F.col("_f.p").alias("head"), F.col("_f.q").alias("a"))
-
-
-def _block_bits(decay: float) -> int:
-    """Largest block (up to 256 rows) in which ``decay ** rows`` stays far from underflow."""
-    if decay >= 1.0:
-        return 8
-    return max(0, min(8, int(math.floor(math.log2(max(1.0, 200.0 / -math.log10(decay)))))))
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, head, a = None, 0.0, 1.0
+        for pdf in batches:
+            names, delta, keep = pdf["_run"].to_numpy(), pdf["_delta"].to_numpy("float64"), decay * pdf["_alive"].to_numpy("float64")
+            heads, scales = np.empty(len(pdf)), np.empty(len(pdf))
+            for i, (n, d, k) in enumerate(zip(names.tolist(), delta.tolist(), keep.tolist(), strict=True)):
+                if n != run:
+                    run, head, a = n, 0.0, 1.0
+                head, a = d + k * head, k * a
+                heads[i], scales[i] = head, a
+            pdf["_head"], pdf["_a"] = heads, scales
+            yield pdf
+    return scan
+
+
+def _incoming(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("_part")
+    into, now = np.zeros(len(pdf)), 0.0
+    for i, (head, a) in enumerate(zip(pdf["_head"].tolist(), pdf["_a"].tolist(), strict=True)):
+        into[i], now = now, head + a * now
+    return pdf.drop(columns=["_head", "_a"]).assign(_in=into)
 
 
 def advantages(rollout: DataFrame, keys: Sequence[str], order: str = "step", gamma: float = 0.99,
                lam: float = 0.95, bootstrap: DataFrame | None = None) -> DataFrame:
     """Generalised advantage estimates and returns (``reward, value, done`` -> ``advantage, ret``).
 
-    ``A_t = delta_t + gamma * lam * (1 - done_t) * A_{t+1}`` is a suffix scan. It runs in three
-    levels: a window in blocks of at most 256 steps, a fold over 1,024 block summaries, and a fold
-    over those (at most 2^13 per rollout for an INT order). ``bootstrap(keys, last_value)`` gives
-    the value after the last step, 0 when missing.
+    ``A_t = delta_t + gamma * lam * (1 - done_t) * A_{t+1}`` is a suffix scan of affine maps, which compose associatively. Steps are
+    range-partitioned by (keys, order), so a long rollout spans many partitions; each is scanned once from its last step back, with one
+    pair of numbers carried along. A second pass over one pair per rollout and partition tells what comes into each
+    partition. Nothing is collected per rollout. ``bootstrap(keys, last_value)`` gives the value after the last step, 0 when missing.
     """
     keys = list(keys)
     df = neighbour(rollout, keys, order, {"_next": "value"}, ahead=True)
@@ -58,32 +59,31 @@ def advantages(rollout: DataFrame, keys: Sequence[str], order: str = "step", gam
         df = salted_join(df, bootstrap.select(*keys, "last_value"), keys, how="left", by=(order,))
         after = F.coalesce(after, F.col("last_value"))
     alive = 1 - F.col("done")
-    df = df.withColumn("_delta", F.col("reward") + gamma * F.coalesce(after, F.lit(0.0)) * alive - F.col("value"))
+    df = df.withColumn("_alive", alive.cast("double")).withColumn(
+        "_delta", (F.col("reward") + gamma * F.coalesce(after, F.lit(0.0)) * alive - F.col("value")).cast("double"))
+    out = df.drop("_next", "last_value")
     decay = gamma * lam
     if decay == 0.0:
-        out = df.withColumn("advantage", F.col("_delta"))
-    else:
-        bits = _block_bits(decay)
-        df = df.withColumn("_blk", F.shiftright(order, bits))
-        back = Window.partitionBy(*keys, "_blk").orderBy(F.desc(order))
-        upto = back.rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumn("_i", F.row_number().over(back)).withColumn("_seg", F.sum("done").over(upto))
-        seg = Window.partitionBy(*keys, "_blk", "_seg").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-        scale = F.pow(F.lit(decay), F.col("_i").cast("double"))
-        df = df.withColumn("_local", scale * F.sum(F.col("_delta") / scale).over(seg))
-        blocks = df.groupBy(*keys, "_blk").agg(
-            F.max_by("_local", "_i").alias("head"),
-            F.when(F.max("_seg") > 0, F.lit(0.0)).otherwise(F.pow(F.lit(decay), F.max("_i").cast("double"))).alias("a"))
-        blocks = blocks.withColumn("_sup", F.shiftright("_blk", _SUPER))
-        inner, sup = _fold(blocks, [*keys, "_sup"], "_blk")
-        outer, _ = _fold(sup, keys, "_sup")
-        carry = (inner.join(outer.select(*keys, "_sup", F.col("p").alias("_top")), [*keys, "_sup"])
-                 .select(*keys, F.col("_blk").cast("int").alias("_blk"), (F.col("p") + F.col("q") * F.col("_top")).alias("_in")))
-        out = df.withColumn("_blk", F.col("_blk").cast("int")).join(carry, [*keys, "_blk"])
-        out = out.withColumn("advantage", F.col("_local") + F.when(
-            F.col("_seg") == 0, scale * F.col("_in")).otherwise(F.lit(0.0)))
-    return (out.withColumn("ret", F.col("advantage") + F.col("value"))
-            .drop("_next", "last_value", "_delta", "_blk", "_i", "_seg", "_local", "_in"))
+        out = out.withColumn("advantage", F.col("_delta")).drop("_alive", "_delta")
+        return out.withColumn("ret", F.col("advantage") + F.col("value"))
+    back = [*keys, F.desc(order)]
+    # Stored, because range bounds are sampled: the place of a row must be the same each time.
+    laid = materialize(out.repartitionByRange(*back).sortWithinPartitions(*back).withColumn("_pos", F.monotonically_increasing_id()))
+    laid = laid.withColumn("_part", F.shiftright("_pos", 33)).withColumn("_run", F.xxhash64(*keys))
+    wide = StructType([*laid.schema, *StructType.fromDDL("_head double, _a double")])
+    scanned = materialize(laid.mapInPandas(_links(decay), wide))
+    # One row for each rollout and partition: the map of all its steps there, that of the row that comes last in it.
+    ends = scanned.groupBy(*keys, "_part").agg(F.max_by(F.struct("_head", "_a"), "_pos").alias("_m"))
+    shape = StructType([*ends.select(*keys, "_part").schema, *StructType.fromDDL("_in double")])
+    # At most one row a partition: each gets what the partitions before it, which hold later steps, compose to.
+    carry = ends.select(*keys, "_part", "_m.*").groupBy(*keys).applyInPandas(_incoming, shape).select(
+        *[F.col(k).alias(f"_on{i}") for i, k in enumerate(keys)], F.col("_part").alias("_at"), "_in")
+    same = F.col("_part") == F.col("_at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_on{i}"))
+    out = scanned.join(carry, same).withColumn("advantage", F.col("_head") + F.col("_a") * F.col("_in"))
+    out = out.drop("_alive", "_delta", "_pos", "_part", "_run", "_head", "_a", "_at", "_in", *[f"_on{i}" for i in range(len(keys))])
+    return out.withColumn("ret", F.col("advantage") + F.col("value"))
 
 
 def standardised(df: DataFrame, keys: Sequence[str], column: str = "advantage", by: Sequence[str] = ("step",)) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pixtab.functions import strips as st
 from pixtab.functions.keys import ranked
 from pixtab.functions.scan import neighbour, rolling_mean, running
 from pixtab.operators import curriculum, returns, steplog
@@ -103,3 +105,30 @@ def test_action_remap_equals_turned_moves(spark):
         moved = s.join(t, "a").select("a", steplog.action_of(F.col("y") - F.col("y0"), F.col("x") - F.col("x0")).alias("got"),
                                       remap_action(F.col("a"), F.lit(name)).alias("want"))
         assert moved.where("got <> want").count() == 0
+
+
+def test_advantages_of_one_long_rollout(spark):
+    n, gamma, lam = 2_000_000, 0.99, 0.95
+    df = spark.range(n).select(F.lit(1).alias("episode"), F.col("id").cast("int").alias("step"), (F.col("id") % 7 / 3.0).alias("reward"),
+                               (F.col("id") % 5 / 2.0).alias("value"), F.when(F.col("id") % 300_007 == 9, 1).otherwise(0).alias("done"))
+    out = returns.advantages(df.repartition(16), ["episode"], gamma=gamma, lam=lam)
+    step = np.arange(n)
+    reward, value, done = step % 7 / 3.0, step % 5 / 2.0, step % 300_007 == 9
+    delta = reward + gamma * np.r_[value[1:], 0.0] * ~done - value
+    want, after = np.empty(n), 0.0
+    for i in range(n - 1, -1, -1):
+        want[i] = after = delta[i] + gamma * lam * (not done[i]) * after
+    seen = {r["step"]: r["advantage"] for r in out.where("step % 9973 = 0 or step > 1999990 or step % 300007 between 8 and 11").collect()}
+    assert len(seen) > 200 and out.count() == n
+    assert all(abs(a - want[s]) < 1e-9 for s, a in seen.items())
+
+
+def test_filled_strips_of_sparse_rows(spark):
+    grid = spark.createDataFrame([("a", 0, 3, 2.0), ("a", 0, 39, 5.0), ("a", 7, 0, 1.0)], "image_id string, y int, x int, v double")
+    canvas = spark.createDataFrame([("a", 9, 40), ("b", 2, 3)], "image_id string, h int, w int")
+    strips = st.to_strips(grid, 2, edge=16, canvas=canvas, fill=0)
+    px = {(r["image_id"], r["y"], r["x"]): r["v"] for r in st.to_pixels(strips, edge=16).collect()}
+    assert len(px) == 9 * 40 + 6 and {k: v for k, v in px.items() if v} == {("a", 0, 3): 2.0, ("a", 0, 39): 5.0, ("a", 7, 0): 1.0}
+    twice = grid.unionByName(grid)
+    with pytest.raises(Exception, match="given twice"):
+        st.to_strips(twice, 2, edge=16, canvas=canvas, fill=0).collect()
