@@ -1,16 +1,22 @@
 """Skeleton graphs: nodes, edges, degrees, expert traces and spur removal.
 
-Chains of ordinary pixels are ranked by pointer doubling: each pixel, in each direction, learns in
-about log2(length) joins which node lies ahead, how far, and through which last pixel.
+Chains of ordinary pixels are contracted inside tiles: each pixel, in each direction, learns which node lies ahead in its tile, how
+far, and through which last pixel, or where its chain leaves the tile. Only the pixels where chains enter a tile are then ranked
+by pointer doubling, in about log2(borders crossed) joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixtab.functions.keys import id_x, id_y, pixel_id, ranked, salted_join
+from pixtab.functions.keys import id_x, id_y, pixel_id, ranked, salted_join, spread_out
 from pixtab.functions.lineage import materialize
+from pixtab.functions.strips import EDGE, TILE
 from pixtab.operators.components import min_labels
 from pixtab.operators.neighborhood import special_points
 from pixtab.operators.thinning import adjacency, thin
@@ -29,7 +35,66 @@ def _gap(a: Column, b: Column) -> Column:
     return F.when(straight, F.lit(1.0)).otherwise(F.sqrt(F.lit(2.0)))
 
 
-def _chains(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _contract_tile(edge: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Follows all states of a tile at once, by pointer jumping over its block; closed rings are dropped."""
+    def contract(pdf: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = int(pdf["ty"].iloc[0]) * edge, int(pdf["tx"].iloc[0]) * edge
+        a, b, na, nb, end, last = (pdf[c].to_numpy("int64").copy() for c in ("a", "b", "na", "nb", "end", "last"))
+        d, e = np.ones(len(pdf), "int64"), pdf["e"].to_numpy("float64").copy()
+
+        def places(before: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """Number of the state (before -> at): the pixel's place in the block and the side it is entered from."""
+            y, x = at >> 32, at & 0xFFFFFFFF
+            side = ((before >> 32) - y + 1) * 3 + (before & 0xFFFFFFFF) - x + 1
+            return np.where((y // edge * edge == y0) & (x // edge * edge == x0), ((y - y0) * edge + x - x0) * 9 + side, -1)
+        state = np.full(edge * edge * 9, -1, "int64")
+        state[places(a, b)] = np.arange(len(pdf))
+        ahead = np.where(na >= 0, places(na, nb), -1)
+        ahead = np.where(ahead >= 0, state[ahead], -1)
+        for _ in range(len(pdf).bit_length() + 1):
+            i = np.flatnonzero(ahead >= 0)
+            if not i.size:
+                break
+            j = ahead[i]
+            d[i] += d[j]
+            e[i] += e[j]
+            end[i], last[i], na[i], nb[i], ahead[i] = end[j], last[j], na[j], nb[j], ahead[j]
+        out = pd.DataFrame({"a": a, "b": b, "d": d, "e": e, "end": end, "last": last, "na": na, "nb": nb})[ahead < 0]
+        out.insert(0, "image_id", pdf["image_id"].iloc[0])
+        return out
+    return contract
+
+
+def contracted(states: DataFrame, edge: int = EDGE) -> tuple[DataFrame, DataFrame]:
+    """States followed to their node or to the border of their tile, and the table of entries that the doubling starts from.
+
+    An entry is a state that some chain reaches from another tile, so a chain has at most two of them, one each way, for
+    every tile border it crosses.
+    """
+    key = states.schema["image_id"].dataType.simpleString()
+    tiled = states.select("*", F.floor(id_y(F.col("b")) / edge).cast("int").alias("ty"), F.floor(id_x(F.col("b")) / edge).cast("int").alias("tx"))
+    filled = tiled.na.fill(-1, ["end", "last", "na", "nb"])  # as missing numbers, 64-bit ids would not stay exact
+    local = spread_out(filled, *TILE).groupBy(*TILE).applyInPandas(
+        _contract_tile(edge), f"image_id {key}, a bigint, b bigint, d bigint, e double, end bigint, last bigint, na bigint, nb bigint")
+    local = materialize(local.select("image_id", "a", "b", F.col("d").cast("int").alias("d"), "e", *[
+        F.when(F.col(c) >= 0, F.col(c)).alias(c) for c in ("end", "last", "na", "nb")]))
+    reached = local.where("end IS NULL").select("image_id", F.col("na").alias("a"), F.col("nb").alias("b")).distinct()
+    return local, materialize(local.join(reached, ["image_id", "a", "b"], "left_semi"))
+
+
+def _ahead(s: DataFrame) -> DataFrame:
+    return s.select("image_id", F.col("a").alias("na"), F.col("b").alias("nb"), F.col("d").alias("d2"), F.col("e").alias("e2"),
+                    F.col("end").alias("end2"), F.col("last").alias("last2"), F.col("na").alias("na2"), F.col("nb").alias("nb2"))
+
+
+def _moved(s: DataFrame, ahead: DataFrame) -> DataFrame:
+    """Open states taken on to where the states ahead of them have come."""
+    return s.where("end IS NULL").join(ahead, ["image_id", "na", "nb"]).select(
+        "image_id", "a", "b", (F.col("d") + F.col("d2")).alias("d"), (F.col("e") + F.col("e2")).alias("e"),
+        F.col("end2").alias("end"), F.col("last2").alias("last"), F.col("na2").alias("na"), F.col("nb2").alias("nb"))
+
+
+def _chains(points: DataFrame, edge: int = EDGE) -> tuple[DataFrame, DataFrame]:
     """Pixels of chains between nodes, and pairs of adjacent nodes.
 
     Chain pixels: ``(image_id, src, dst, first, length, extent, seq, pid)`` with ``src < dst``; ``first``
@@ -46,22 +111,19 @@ def _chains(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     s = inner.select("image_id", F.col("pid").alias("b"), way.alias("w")).select("image_id", "w.a", "b", "w.c")
     s = s.join(hubs.withColumn("hub", F.lit(True)), ["image_id", "c"], "left")
     # state (a -> b): pixel b entered from a; next state (b -> c), or the end at node c
-    s = s.select("image_id", "a", "b", F.lit(1).alias("d"), _gap(F.col("b"), F.col("c")).alias("e"),
+    s = s.select("image_id", "a", "b", _gap(F.col("b"), F.col("c")).alias("e"),
                  F.when(F.col("hub"), F.col("c")).alias("end"), F.when(F.col("hub"), F.col("b")).alias("last"),
                  F.when(F.col("hub").isNull(), F.col("b")).alias("na"), F.when(F.col("hub").isNull(), F.col("c")).alias("nb"))
-    s = materialize(s)
-    open_ = s.where("end IS NULL").count()
+    local, entries = contracted(s, edge)
+    open_ = entries.where("end IS NULL").count()
     while open_:
-        ahead = s.select("image_id", F.col("a").alias("na"), F.col("b").alias("nb"), F.col("d").alias("d2"), F.col("e").alias("e2"),
-                         F.col("end").alias("end2"), F.col("last").alias("last2"), F.col("na").alias("na2"), F.col("nb").alias("nb2"))
-        moved = s.where("end IS NULL").join(ahead, ["image_id", "na", "nb"]).select(
-            "image_id", "a", "b", (F.col("d") + F.col("d2")).alias("d"), (F.col("e") + F.col("e2")).alias("e"),
-            F.col("end2").alias("end"), F.col("last2").alias("last"), F.col("na2").alias("na"), F.col("nb2").alias("nb"))
-        s = materialize(s.where("end IS NOT NULL").unionByName(moved))
-        now = s.where("end IS NULL").count()
+        moved = _moved(entries, _ahead(entries))
+        entries = materialize(entries.where("end IS NOT NULL").unionByName(moved))
+        now = entries.where("end IS NULL").count()
         if now == open_:  # only closed rings without a node are left
             break
         open_ = now
+    s = materialize(local.where("end IS NOT NULL").unionByName(_moved(local, _ahead(entries.where("end IS NOT NULL")))))
     arms = s.where("end IS NOT NULL").groupBy("image_id", F.col("b").alias("pid")).agg(
         F.array_sort(F.collect_list(F.struct("end", "last", "d", "e"))).alias("t"))
     lo, hi = F.col("t")[0], F.col("t")[1]
@@ -71,13 +133,13 @@ def _chains(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chain, direct
 
 
-def edges_and_points(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+def edges_and_points(points: DataFrame, edge: int = EDGE) -> tuple[DataFrame, DataFrame]:
     """One edge per node pair and its pixels in order.
 
     Edges: ``(image_id, src, dst, length)``, the shortest chain of each pair, length in pixels with
     both ends. Points: ``(image_id, src, dst, seq, y, x)`` - one row per pixel, never packed.
     """
-    chain, direct = _chains(points)
+    chain, direct = _chains(points, edge)
     chain = materialize(chain)
     ways = (chain.where("seq = 1").select("image_id", "src", "dst", "length", "first")
             .unionByName(direct.select("image_id", "src", "dst", F.lit(2).alias("length"), F.col("dst").alias("first"))))
@@ -95,13 +157,6 @@ def edges(points: DataFrame) -> DataFrame:
     return edges_and_points(points)[0]
 
 
-def packed_paths(path: DataFrame) -> DataFrame:
-    """Optional packed form: one array of ``struct(y, x)`` per edge (as long as the edge)."""
-    rows = F.array_sort(F.collect_list(F.struct("seq", "y", "x")))
-    return path.groupBy("image_id", "src", "dst").agg(
-        F.transform(rows, lambda s: F.struct(s["y"].alias("y"), s["x"].alias("x"))).alias("path"))
-
-
 def degrees(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     """Edges per node, 0 for isolated ones."""
     ends = edge_table.select("image_id", F.explode(F.array("src", "dst")).alias("node_id"))

@@ -1,5 +1,6 @@
 """Micro-rasters with hand-made expectations, tile borders and brute force."""
 
+import math
 import random
 
 import pytest
@@ -164,3 +165,25 @@ def test_morphology_order_and_tiles(spark, points):
         want = [(y, x) for y in range(20) for x in range(20) if all(
             not (0 <= y + a < 20 and 0 <= x + b < 20) or (y + a, x + b) in set(pts) for a, b in off)]
         assert cells(morphology.erode(p, tiled, canvas)) == want
+
+
+def test_chains_across_tiles_are_contracted_first(spark, points, monkeypatch):
+    wave = [(40 + round(30 * math.sin(x / 9)), x) for x in range(400)]
+    joined = {p for (y0, x), (y1, _) in zip(wave, wave[1:]) for p in [(y, x) for y in range(min(y0, y1), max(y0, y1) + 1)]}
+    ring = [(y, x) for y in range(100, 141) for x in range(10, 51) if y in (100, 140) or x in (10, 50)]
+    px = points({"a": sorted(joined), "b": [(5, x) for x in range(90)] + [(y, 45) for y in range(6, 70)], "c": ring})
+    px = thinning.thin(px)
+    want, want_path = (sorted(map(tuple, df.collect())) for df in graph.edges_and_points(px))
+    rows = []
+    real = graph.contracted
+
+    def spy(states, edge):
+        local, entries = real(states, edge)
+        rows.append((states.count(), entries.count(), sum(1 for r in states.select("a", "b").collect()
+                     if (r["a"] >> 32) // edge != (r["b"] >> 32) // edge or (r["a"] & 0xFFFFFFFF) // edge != (r["b"] & 0xFFFFFFFF) // edge)))
+        return local, entries
+    monkeypatch.setattr(graph, "contracted", spy)
+    got, got_path = (sorted(map(tuple, df.collect())) for df in graph.edges_and_points(px, edge=16))
+    assert want and got == want and got_path == want_path
+    states, entries, crossings = rows[0]
+    assert 0 < entries <= crossings < states / 5  # only where a chain enters a tile
