@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -111,6 +112,26 @@ def _near_tile(radius: int, edge: int) -> Callable[[pd.DataFrame], pd.DataFrame]
     return near
 
 
+def visited_d2(places: DataFrame, points: DataFrame, radius: float, edge: int = EDGE) -> DataFrame:
+    """``(image_id, y, x, d2)`` for the distinct ``places`` that have a point within ``radius``, exactly.
+
+    Points go with their halo copies to the tiles that have a place, and are looked up in the tile's block: nothing is spread over a disk,
+    and points of tiles nobody visits do not move on.
+    """
+    key = points.schema["image_id"].dataType.simpleString()
+    reach = math.ceil(radius)
+    home = [F.floor(F.col(c) / edge).cast("int").alias(t) for c, t in (("y", "ty"), ("x", "tx"))]
+    asked = places.select("image_id", "y", "x").distinct().select("image_id", "y", "x", *home, F.lit(True).alias("is_query"))
+    copies = points.select("image_id", "y", "x")
+    for c, t in (("y", "ty"), ("x", "tx")):
+        first, last = (F.floor((F.col(c) + d) / edge) for d in (-reach, reach))
+        copies = copies.withColumn(t, F.explode(F.sequence(first, last).cast("array<int>")))
+    near = copies.join(asked.select(*TILE).distinct(), TILE, "left_semi").select("image_id", "y", "x", "ty", "tx", F.lit(False).alias("is_query"))
+    found = spread_out(asked.unionByName(near), *TILE).groupBy(*TILE).applyInPandas(
+        _near_tile(reach, edge), f"image_id {key}, y int, x int, d2 bigint")
+    return found.where((F.col("d2") >= 0) & (F.col("d2") <= radius * radius))
+
+
 def nearest_d2(queries: DataFrame, targets: DataFrame, radius: int = 8, edge: int = EDGE) -> DataFrame:
     """Exact squared Euclidean distance from each query pixel to the nearest target of its image.
 

@@ -5,15 +5,18 @@ Tables: ``steps(episode, step INT, action, y, x[, image_id])``; ``step`` counts
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixtab.functions.keys import salted_join
 from pixtab.functions.offsets import disk, spread
 from pixtab.functions.scan import neighbour, running
-from pixtab.operators.distance import near_d2
+from pixtab.functions.strips import EDGE, TILE, halo_tiles
+from pixtab.operators.distance import visited_d2
 
 STOP = 8
 # fixed values: (dy, dx) of actions 0..7 = N, NE, E, SE, S, SW, W, NW
@@ -76,7 +79,7 @@ def with_revisit(steps: DataFrame, starts: DataFrame | None = None) -> DataFrame
 
 def with_distance(steps: DataFrame, gt: DataFrame, tolerance: float, clip: float) -> DataFrame:
     """``distance`` to the annotation clipped at ``clip``, and ``on_track`` (within ``tolerance``)."""
-    near = near_d2(gt, clip)
+    near = visited_d2(steps, gt, clip)
     d = F.coalesce(F.least(F.sqrt(F.col("d2").cast("double")), F.lit(float(clip))), F.lit(float(clip)))
     return (steps.join(near, PIXEL, "left").withColumn("distance", d).drop("d2")
             .withColumn("on_track", F.col("distance") <= tolerance))
@@ -107,12 +110,52 @@ def upto_end(steps: DataFrame, ends: DataFrame) -> DataFrame:
             .withColumn("reason", F.when(F.col("step") == F.col("end_step"), F.col("reason"))).drop("end_step"))
 
 
+def _reached(radius: float, edge: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Per row ``(episode, ty, tx, seen, there)``: how many of the pixels ``there`` each step of ``seen`` is the first to come near."""
+    offs, halo = disk(radius), int(radius)
+    never = np.iinfo("int64").max
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            names, steps, counts = [], [np.empty(0, "int64")], [np.empty(0, "int64")]
+            for episode, ty, tx, seen, there in pdf[["episode", "ty", "tx", "seen", "there"]].itertuples(index=False):
+                y0, x0 = ty * edge - halo, tx * edge - halo
+                block = np.full((edge + 2 * halo, edge + 2 * halo), never)
+                p = np.array([(r["y"], r["x"], r["step"]) for r in seen], "int64")
+                block[p[:, 0] - y0, p[:, 1] - x0] = p[:, 2]
+                g = np.array([(r["y"], r["x"]) for r in there], "int64") - (y0, x0)
+                first = np.full(len(g), never)
+                for dy, dx in offs:
+                    np.minimum(first, block[g[:, 0] + dy, g[:, 1] + dx], out=first)
+                own, n = np.unique(first[first < never], return_counts=True)
+                names += [episode] * len(own)
+                steps.append(own)
+                counts.append(n)
+            yield pd.DataFrame({"episode": pd.Series(names, dtype=object), "step": np.concatenate(steps), "n": np.concatenate(counts)})
+    return count
+
+
+def first_reached(seen: DataFrame, gt: DataFrame, tolerance: float, edge: int = EDGE) -> DataFrame:
+    """``(episode, step, new_coverage)``: annotated pixels that no earlier step of the episode came within ``tolerance`` of.
+
+    ``seen`` has the first visit of each pixel. Visits go to their tile, with halo copies, once, as one row per episode and tile; annotated
+    pixels are one row per tile. Both are bounded by the tile, and the disk is only looked up inside it.
+    """
+    kind, order = seen.schema["episode"].dataType.simpleString(), seen.schema["step"].dataType.simpleString()
+    visits = halo_tiles(seen, int(tolerance), edge).groupBy("episode", *TILE).agg(F.collect_list(F.struct("y", "x", "step")).alias("seen"))
+    there = gt.select(*PIXEL).distinct().groupBy("image_id", F.floor(F.col("y") / edge).cast("int").alias("ty"), F.floor(F.col("x") / edge).cast("int").alias("tx")).agg(
+        F.collect_list(F.struct("y", "x")).alias("there"))
+    counted = visits.join(there, TILE).select("episode", "ty", "tx", "seen", "there").mapInPandas(
+        _reached(tolerance, edge), f"episode {kind}, step {order}, n bigint")
+    return counted.groupBy("episode", "step").agg(F.sum("n").alias("new_coverage"))
+
+
 def with_coverage(steps: DataFrame, gt: DataFrame, tolerance: float, starts: DataFrame | None = None) -> DataFrame:
     """``new_coverage`` (annotated pixels first reached by this step), ``covered`` and ``coverage_ratio``.
 
     Steps that stop, or are out of bounds (where ``is_valid`` is known), do not move and cover nothing.
     What lies around ``starts(episode, image_id, y, x)`` is covered before the first step. Only the first
-    visit of a pixel can cover anything, so positions are reduced to it before they are spread over the disk.
+    visit of a pixel can cover anything, so positions are reduced to it; they are spread over the disk inside tiles (``first_reached``).
     """
     moves = steps.where(F.col("action") != STOP) if "action" in steps.columns else steps
     moves = moves.where("is_valid") if "is_valid" in steps.columns else moves
@@ -120,12 +163,7 @@ def with_coverage(steps: DataFrame, gt: DataFrame, tolerance: float, starts: Dat
     if starts is not None:
         moves = moves.unionByName(starts.select("episode", "image_id", "y", "x", F.lit(-1).alias("step")))
     seen = moves.groupBy("episode", "image_id", "y", "x").agg(F.min("step").alias("step"))
-    offs = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in disk(tolerance)])
-    reach = seen.select("episode", "image_id", "step", "y", "x", F.explode(offs).alias("o")).select(
-        "episode", "image_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "step")
-    reach = reach.groupBy("episode", *PIXEL).agg(F.min("step").alias("step"))
-    gained = (reach.join(gt.select(*PIXEL), PIXEL, "left_semi").groupBy("episode", "step")
-              .agg(F.count(F.lit(1)).alias("new_coverage")))
+    gained = first_reached(seen, gt, tolerance)
     out = steps.join(gained, ["episode", "step"], "left").na.fill(0, ["new_coverage"])
     out = running(out, ["episode"], "step", {"covered": ("sum", F.col("new_coverage"))})
     if starts is not None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pixtab.functions import strips as st
 from pixtab.functions.keys import ranked
 from pixtab.functions.scan import neighbour, rolling_mean, running
-from pixtab.operators import curriculum, returns, steplog
+from pixtab.operators import curriculum, distance, returns, steplog
 from pixtab.operators.augment import ACTION_REMAP, remap_action, transform_points
 
 
@@ -132,3 +132,26 @@ def test_filled_strips_of_sparse_rows(spark):
     twice = grid.unionByName(grid)
     with pytest.raises(Exception, match="given twice"):
         st.to_strips(twice, 2, edge=16, canvas=canvas, fill=0).collect()
+
+
+def test_distances_and_coverage_across_tiles(spark):
+    rng = random.Random(4)
+    gt = {(rng.randrange(60), rng.randrange(60)) for _ in range(120)}
+    walk = [(e, t, rng.randrange(60), rng.randrange(60)) for e in ("a", "b") for t in range(80)]
+    steps = spark.createDataFrame([(*w, "i") for w in walk], "episode string, step int, y int, x int, image_id string")
+    points = spark.createDataFrame([("i", y, x) for y, x in gt], "image_id string, y int, x int")
+    for radius in (2, 2.5, 4):
+        want = {(y, x): min((y - a) ** 2 + (x - b) ** 2 for a, b in gt) for _, _, y, x in walk}
+        got = {(r["y"], r["x"]): r["d2"] for r in distance.visited_d2(steps, points, radius, edge=16).collect()}
+        assert got == {k: d for k, d in want.items() if d <= radius * radius}
+        seen = steps.groupBy("episode", "image_id", "y", "x").agg(F.min("step").alias("step"))
+        first = {}
+        for e, t, y, x in walk:
+            for a, b in gt:
+                if (y - a) ** 2 + (x - b) ** 2 <= radius * radius:
+                    first.setdefault((e, a, b), t)
+        count = {}
+        for (e, _, _), t in first.items():
+            count[e, t] = count.get((e, t), 0) + 1
+        reached = {(r["episode"], r["step"]): r["new_coverage"] for r in steplog.first_reached(seen, points, radius, edge=16).collect()}
+        assert reached == count
