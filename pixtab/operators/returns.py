@@ -12,35 +12,45 @@ from pyspark.sql.types import StructType
 
 from pixtab.functions.keys import salted_join
 from pixtab.functions.lineage import materialize
-from pixtab.functions.scan import neighbour, running
+from pixtab.functions.scan import running
 
-def _links(decay: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Per sorted batch of rows ``(_run, _delta, _alive)``: suffix sums inside the batch's runs, and what links them.
+def _links(gamma: float, decay: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Per sorted batch of rows ``(_run, reward, value, done)``: each row's advantage as ``_head + _a * A + _b * v``.
 
-    A row stands for the map ``A -> head + a * A`` of the advantage after it; maps compose associatively. The rows come from the
-    last step back, so the map of a run's rows so far is the one pair that is carried on from batch to batch.
+    A and v are the advantage and the value of the step after the run's last one here, which another partition holds. The rows come
+    from the last step back; such maps compose associatively, so one of them is all that is carried on from batch to batch.
     """
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, head, a = None, 0.0, 1.0
+        run, head, a, b, after = None, 0.0, 1.0, 0.0, None
         for pdf in batches:
-            names, delta, keep = pdf["_run"].to_numpy(), pdf["_delta"].to_numpy("float64"), decay * pdf["_alive"].to_numpy("float64")
-            heads, scales = np.empty(len(pdf)), np.empty(len(pdf))
-            for i, (n, d, k) in enumerate(zip(names.tolist(), delta.tolist(), keep.tolist(), strict=True)):
-                if n != run:
-                    run, head, a = n, 0.0, 1.0
-                head, a = d + k * head, k * a
-                heads[i], scales[i] = head, a
-            pdf["_head"], pdf["_a"] = heads, scales
+            out = np.empty((3, len(pdf)))
+            rows = zip(pdf["_run"].tolist(), pdf["reward"].tolist(), pdf["value"].tolist(), pdf["done"].tolist(), strict=True)
+            for i, (name, reward, value, done) in enumerate(rows):
+                alive = 1.0 - done
+                if name != run:
+                    run, head, a, b = name, reward - value, decay * alive, gamma * alive
+                else:
+                    k = decay * alive
+                    head, a, b = reward + gamma * after * alive - value + k * head, k * a, k * b
+                after = value
+                out[0, i], out[1, i], out[2, i] = head, a, b
+            pdf["_head"], pdf["_a"], pdf["_b"] = out
             yield pdf
     return scan
 
 
-def _incoming(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("_part")
-    into, now = np.zeros(len(pdf)), 0.0
-    for i, (head, a) in enumerate(zip(pdf["_head"].tolist(), pdf["_a"].tolist(), strict=True)):
-        into[i], now = now, head + a * now
-    return pdf.drop(columns=["_head", "_a"]).assign(_in=into)
+def _incoming(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What comes into each partition of a rollout from the partitions before it, which hold later steps; rows in that order."""
+    run, now, after = None, 0.0, 0.0
+    for pdf in batches:
+        into = np.zeros((2, len(pdf)))
+        rows = zip(*(pdf[c].tolist() for c in ("_run", "_head", "_a", "_b", "_v", "last_value")), strict=True)
+        for i, (name, head, a, b, value, last) in enumerate(rows):
+            if name != run:
+                run, now, after = name, 0.0, last
+            into[:, i] = now, after
+            now, after = head + a * now + b * after, value
+        yield pdf.drop(columns=["_head", "_a", "_b", "_v", "last_value"]).assign(_in=into[0], _after=into[1])
 
 
 def advantages(rollout: DataFrame, keys: Sequence[str], order: str = "step", gamma: float = 0.99,
@@ -49,41 +59,32 @@ def advantages(rollout: DataFrame, keys: Sequence[str], order: str = "step", gam
 
     ``A_t = delta_t + gamma * lam * (1 - done_t) * A_{t+1}`` is a suffix scan of affine maps, which compose associatively. Steps are
     range-partitioned by (keys, order), so a long rollout spans many partitions; each is scanned once from its last step back, with one
-    pair of numbers carried along. A second pass over one pair per rollout and partition tells what comes into each
+    map carried along. A second pass over one map per rollout and partition tells what comes into each
     partition. Nothing is collected per rollout. ``bootstrap(keys, last_value)`` gives the value after the last step, 0 when missing.
     """
     keys = list(keys)
-    df = neighbour(rollout, keys, order, {"_next": "value"}, ahead=True)
-    after = F.col("_next")
-    if bootstrap is not None:
-        df = salted_join(df, bootstrap.select(*keys, "last_value"), keys, how="left", by=(order,))
-        after = F.coalesce(after, F.col("last_value"))
-    alive = 1 - F.col("done")
-    df = df.withColumn("_alive", alive.cast("double")).withColumn(
-        "_delta", (F.col("reward") + gamma * F.coalesce(after, F.lit(0.0)) * alive - F.col("value")).cast("double"))
-    out = df.drop("_next", "last_value")
-    decay = gamma * lam
-    if decay == 0.0:
-        out = out.withColumn("advantage", F.col("_delta")).drop("_alive", "_delta")
-        return out.withColumn("ret", F.col("advantage") + F.col("value"))
     back = [*keys, F.desc(order)]
+    laid = (rollout.withColumns({c: F.col(c).cast("double") for c in ("reward", "value")}).repartitionByRange(*back).sortWithinPartitions(*back)
+            .withColumn("_pos", F.monotonically_increasing_id()).withColumn("_run", F.xxhash64(*keys)))
+    wide = StructType([*laid.schema, *StructType.fromDDL("_head double, _a double, _b double")])
     # Stored, because range bounds are sampled: the place of a row must be the same each time.
-    laid = materialize(out.repartitionByRange(*back).sortWithinPartitions(*back).withColumn("_pos", F.monotonically_increasing_id()))
-    laid = laid.withColumn("_part", F.shiftright("_pos", 33)).withColumn("_run", F.xxhash64(*keys))
-    wide = StructType([*laid.schema, *StructType.fromDDL("_head double, _a double")])
-    scanned = materialize(laid.mapInPandas(_links(decay), wide))
+    scanned = materialize(laid.mapInPandas(_links(gamma, gamma * lam), wide)).withColumn("_part", F.shiftright("_pos", 33))
     # One row for each rollout and partition: the map of all its steps there, that of the row that comes last in it.
-    ends = scanned.groupBy(*keys, "_part").agg(F.max_by(F.struct("_head", "_a"), "_pos").alias("_m"))
-    shape = StructType([*ends.select(*keys, "_part").schema, *StructType.fromDDL("_in double")])
-    # At most one row a partition: each gets what the partitions before it, which hold later steps, compose to.
-    carry = ends.select(*keys, "_part", "_m.*").groupBy(*keys).applyInPandas(_incoming, shape).select(
-        *[F.col(k).alias(f"_on{i}") for i, k in enumerate(keys)], F.col("_part").alias("_at"), "_in")
+    ends = scanned.groupBy(*keys, "_part").agg(F.max_by(F.struct("_head", "_a", "_b", F.col("value").alias("_v")), "_pos").alias("_m")).select(
+        *keys, "_part", F.xxhash64(*keys).alias("_run"), "_m.*")
+    if bootstrap is None:
+        ends = ends.withColumn("last_value", F.lit(0.0))
+    else:
+        ends = ends.join(bootstrap.select(*keys, F.col("last_value").cast("double").alias("last_value")), keys, "left").na.fill(0.0, ["last_value"])
+    ends = ends.select(*keys, "_part", "_run", "_head", "_a", "_b", "_v", "last_value")
+    shape = StructType([*ends.select(*keys, "_part", "_run").schema, *StructType.fromDDL("_in double, _after double")])
+    carry = ends.repartition(*keys).sortWithinPartitions(*keys, "_part").mapInPandas(_incoming, shape).drop("_run")
+    carry = carry.withColumnsRenamed({"_part": "_at"} | {k: f"_on{i}" for i, k in enumerate(keys)})
     same = F.col("_part") == F.col("_at")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_on{i}"))
-    out = scanned.join(carry, same).withColumn("advantage", F.col("_head") + F.col("_a") * F.col("_in"))
-    out = out.drop("_alive", "_delta", "_pos", "_part", "_run", "_head", "_a", "_at", "_in", *[f"_on{i}" for i in range(len(keys))])
-    return out.withColumn("ret", F.col("advantage") + F.col("value"))
+    out = scanned.join(carry, same).withColumn("advantage", F.col("_head") + F.col("_a") * F.col("_in") + F.col("_b") * F.col("_after"))
+    return out.select(*rollout.columns, "advantage").withColumn("ret", F.col("advantage") + F.col("value"))
 
 
 def standardised(df: DataFrame, keys: Sequence[str], column: str = "advantage", by: Sequence[str] = ("step",)) -> DataFrame:

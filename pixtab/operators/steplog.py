@@ -110,23 +110,24 @@ def upto_end(steps: DataFrame, ends: DataFrame) -> DataFrame:
             .withColumn("reason", F.when(F.col("step") == F.col("end_step"), F.col("reason"))).drop("end_step"))
 
 
-def _reached(radius: float, edge: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Per row ``(episode, ty, tx, seen, there)``: how many of the pixels ``there`` each step of ``seen`` is the first to come near."""
+def _reached(radius: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Per row ``(episode, y, x, step, gy, gx)``: how many of the pixels ``(gy, gx)`` each step is the first to come near."""
     offs, halo = disk(radius), int(radius)
     never = np.iinfo("int64").max
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             names, steps, counts = [], [np.empty(0, "int64")], [np.empty(0, "int64")]
-            for episode, ty, tx, seen, there in pdf[["episode", "ty", "tx", "seen", "there"]].itertuples(index=False):
-                y0, x0 = ty * edge - halo, tx * edge - halo
-                block = np.full((edge + 2 * halo, edge + 2 * halo), never)
-                p = np.array([(r["y"], r["x"], r["step"]) for r in seen], "int64")
-                block[p[:, 0] - y0, p[:, 1] - x0] = p[:, 2]
-                g = np.array([(r["y"], r["x"]) for r in there], "int64") - (y0, x0)
-                first = np.full(len(g), never)
+            for episode, y, x, step, gy, gx in pdf.itertuples(index=False):
+                y0, x0 = y.min() - 2 * halo, x.min() - 2 * halo
+                block = np.full((y.max() - y0 + 2 * halo + 1, x.max() - x0 + 2 * halo + 1), never)
+                block[y - y0, x - x0] = step
+                gy, gx = gy - y0, gx - x0
+                near = (gy >= halo) & (gx >= halo) & (gy < block.shape[0] - halo) & (gx < block.shape[1] - halo)
+                gy, gx = gy[near], gx[near]
+                first = np.full(len(gy), never)
                 for dy, dx in offs:
-                    np.minimum(first, block[g[:, 0] + dy, g[:, 1] + dx], out=first)
+                    np.minimum(first, block[gy + dy, gx + dx], out=first)
                 own, n = np.unique(first[first < never], return_counts=True)
                 names += [episode] * len(own)
                 steps.append(own)
@@ -145,8 +146,9 @@ def first_reached(seen: DataFrame, gt: DataFrame, tolerance: float, edge: int =
     visits = halo_tiles(seen, int(tolerance), edge).groupBy("episode", *TILE).agg(F.collect_list(F.struct("y", "x", "step")).alias("seen"))
     there = gt.select(*PIXEL).distinct().groupBy("image_id", F.floor(F.col("y") / edge).cast("int").alias("ty"), F.floor(F.col("x") / edge).cast("int").alias("tx")).agg(
         F.collect_list(F.struct("y", "x")).alias("there"))
-    counted = visits.join(there, TILE).select("episode", "ty", "tx", "seen", "there").mapInPandas(
-        _reached(tolerance, edge), f"episode {kind}, step {order}, n bigint")
+    counted = visits.join(there, TILE).select(
+        "episode", "seen.y", "seen.x", "seen.step", F.col("there.y").alias("gy"), F.col("there.x").alias("gx")).mapInPandas(
+        _reached(tolerance), f"episode {kind}, step {order}, n bigint")
     return counted.groupBy("episode", "step").agg(F.sum("n").alias("new_coverage"))
 
 
