@@ -121,15 +121,45 @@ def visited_d2(places: DataFrame, points: DataFrame, radius: float, edge: int =
     key = points.schema["image_id"].dataType.simpleString()
     reach = math.ceil(radius)
     home = [F.floor(F.col(c) / edge).cast("int").alias(t) for c, t in (("y", "ty"), ("x", "tx"))]
-    asked = places.select("image_id", "y", "x").distinct().select("image_id", "y", "x", *home, F.lit(True).alias("is_query"))
+    asked = places.select("image_id", "y", "x").distinct().select("image_id", "y", "x", *home)
     copies = points.select("image_id", "y", "x")
     for c, t in (("y", "ty"), ("x", "tx")):
         first, last = (F.floor((F.col(c) + d) / edge) for d in (-reach, reach))
         copies = copies.withColumn(t, F.explode(F.sequence(first, last).cast("array<int>")))
-    near = copies.join(asked.select(*TILE).distinct(), TILE, "left_semi").select("image_id", "y", "x", "ty", "tx", F.lit(False).alias("is_query"))
-    found = spread_out(asked.unionByName(near), *TILE).groupBy(*TILE).applyInPandas(
-        _near_tile(reach, edge), f"image_id {key}, y int, x int, d2 bigint")
-    return found.where((F.col("d2") >= 0) & (F.col("d2") <= radius * radius))
+    asked = asked.groupBy(*TILE).agg(F.collect_list(F.struct("y", "x")).alias("q"))
+    near = copies.join(asked.select(*TILE), TILE, "left_semi").groupBy(*TILE).agg(F.collect_list(F.struct("y", "x")).alias("p"))
+    found = asked.join(near, TILE).select("image_id", "q.y", "q.x", F.col("p.y").alias("py"), F.col("p.x").alias("px")).mapInPandas(
+        _look_up(reach), f"image_id {key}, y int, x int, d2 bigint")
+    return found.where(F.col("d2") <= radius * radius)
+
+
+def _look_up(reach: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Per tile ``(image_id, y, x, py, px)``: the places that have a point within ``reach``; offsets are tried from short to long."""
+    by_length = sorted(disk(reach), key=lambda o: (o[0] * o[0] + o[1] * o[1], o))
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            names, parts = [], [np.empty((3, 0), "int64")]
+            for image, y, x, py, px in pdf.itertuples(index=False):
+                y, x, py, px = (c.astype("int64") for c in (y, x, py, px))
+                y0, x0 = y.min() - reach, x.min() - reach
+                there = np.zeros((y.max() - y0 + reach + 1, x.max() - x0 + reach + 1), bool)
+                py, px = py - y0, px - x0
+                inside = (py >= 0) & (px >= 0) & (py < there.shape[0]) & (px < there.shape[1])
+                there[py[inside], px[inside]] = True
+                d2, left = np.full(len(y), -1, "int64"), np.arange(len(y))
+                for dy, dx in by_length:
+                    if not len(left):
+                        break
+                    hit = there[y[left] - y0 + dy, x[left] - x0 + dx]
+                    d2[left[hit]] = dy * dy + dx * dx
+                    left = left[~hit]
+                keep = d2 >= 0
+                names += [image] * int(keep.sum())
+                parts.append(np.stack([y[keep], x[keep], d2[keep]]))
+            y, x, d2 = np.concatenate(parts, axis=1)
+            yield pd.DataFrame({"image_id": pd.Series(names, dtype=object), "y": y.astype("int32"), "x": x.astype("int32"), "d2": d2})
+    return look
 
 
 def nearest_d2(queries: DataFrame, targets: DataFrame, radius: int = 8, edge: int = EDGE) -> DataFrame:
