@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixtab.functions.keys import spread_out
@@ -16,6 +16,8 @@ from pixtab.functions.offsets import disk
 from pixtab.functions.strips import EDGE, TILE, halo_tiles, tile_votes
 
 _CHUNK = 1 << 20  # candidate distances evaluated at once
+#: Edge of the lowest cells of the pyramid, and how many of them make up the edge of a cell above.
+LEAF, FAN = 32, 4
 
 
 def near_d2(points: DataFrame, radius: float) -> DataFrame:
@@ -41,54 +43,6 @@ def clipped_distance(points: DataFrame, canvas: DataFrame, tolerance: float) ->
             .select("image_id", "y", "x", F.coalesce(d, F.lit(float(tolerance))).alias("v")))
 
 
-def _row_minima(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Min over columns of ``(x - x')^2 + g2`` for the query pixels of complete raster rows, sorted."""
-    image, y, x = pdf["image_id"].to_numpy(), pdf["y"].to_numpy("int64"), pdf["x"].to_numpy("int64")
-    row = np.cumsum(np.r_[False, (image[1:] != image[:-1]) | (y[1:] != y[:-1])])
-    is_q = pdf["g2"].isna().to_numpy()
-    sx, srow, g2 = x[~is_q], row[~is_q], pdf["g2"].to_numpy("float64")[~is_q].astype("int64")
-    qx, qrow, qi = x[is_q], row[is_q], np.flatnonzero(is_q)
-    best = np.full(len(qx), -1, "int64")
-    if len(sx) and len(qx):
-        base = x.max() + 1
-        code, want = srow * base + sx, qrow * base + qx
-        lo_row, hi_row = np.searchsorted(srow, qrow, "left"), np.searchsorted(srow, qrow, "right")
-        has = hi_row > lo_row
-        # an upper bound from the next column limits how far left and right a better one can lie
-        at = np.minimum(np.clip(np.searchsorted(code, want), lo_row, np.maximum(hi_row - 1, lo_row)), len(sx) - 1)
-        reach = np.floor(np.sqrt(np.where(has, (sx[at] - qx) ** 2 + g2[at], 0))).astype("int64") + 1
-        lo = np.maximum(np.searchsorted(code, want - np.minimum(reach, qx)), lo_row)
-        hi = np.minimum(np.searchsorted(code, want + np.minimum(reach, base - 1 - qx), "right"), hi_row)
-        size = np.where(has, np.maximum(hi - lo, 0), 0)
-        cuts = np.unique(np.searchsorted(np.cumsum(size), np.arange(_CHUNK, size.sum() + _CHUNK, _CHUNK), "right"))
-        for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(qx)]):
-            part = np.arange(s, e)[size[s:e] > 0]
-            if len(part) == 0:
-                continue
-            n = size[part]
-            start = np.cumsum(n) - n
-            owner = np.repeat(part, n)
-            cand = np.arange(n.sum()) - np.repeat(start, n) + np.repeat(lo[part], n)
-            best[part] = np.minimum.reduceat((sx[cand] - qx[owner]) ** 2 + g2[cand], start)
-    keep = qi[best >= 0]
-    return pd.DataFrame({"image_id": image[keep], "y": y[keep], "x": x[keep], "d2": best[best >= 0]})
-
-
-def _whole_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cut sorted batches between raster rows; only the unfinished row is held back."""
-    held = None
-    for pdf in batches:
-        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-        image, y = pdf["image_id"].to_numpy(), pdf["y"].to_numpy()
-        ends = np.flatnonzero((image[1:] != image[:-1]) | (y[1:] != y[:-1]))
-        cut = ends[-1] + 1 if len(ends) else 0
-        held = pdf.iloc[cut:]
-        if cut:
-            yield _row_minima(pdf.iloc[:cut])
-    if held is not None and len(held):
-        yield _row_minima(held)
-
-
 def _near_tile(radius: int, edge: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     by_length = sorted(disk(radius), key=lambda o: (o[0] * o[0] + o[1] * o[1], o))
 
@@ -166,7 +120,7 @@ def nearest_d2(queries: DataFrame, targets: DataFrame, radius: int = 8, edge: in
     """Exact squared Euclidean distance from each query pixel to the nearest target of its image.
 
     Queries with a target within ``radius`` are answered inside halo tiles, after one shuffle of the given pixels.
-    Only the others go on to two passes over raster rows. Queries of images without targets are left out.
+    Only the others go down a pyramid of occupied cells. Queries of images without targets are left out.
     """
     key = queries.schema["image_id"].dataType.simpleString()
     both = (queries.select("image_id", "y", "x", F.lit(True).alias("is_query"))
@@ -178,26 +132,85 @@ def nearest_d2(queries: DataFrame, targets: DataFrame, radius: int = 8, edge: in
     return found if far.isEmpty() else found.unionByName(_far_d2(far, targets))
 
 
+def _leaves(px: DataFrame) -> DataFrame:
+    """``(image_id, cy, cx, at, y0, y1, x0, x1)``: pixels of every occupied cell of the lowest level, and their box."""
+    cell = [F.floor(F.col(c) / LEAF).cast("int").alias(n) for c, n in (("y", "cy"), ("x", "cx"))]
+    ends = [f(c).alias(f"{c}{i}") for c in ("y", "x") for i, f in enumerate((F.min, F.max))]
+    return px.groupBy("image_id", *cell).agg(F.collect_list(F.struct("y", "x")).alias("at"), *ends)
+
+
+def _cells(leaves: DataFrame, size: int, side: str) -> DataFrame:
+    """Occupied cells of edge ``size`` as ``(image_id, {side}cell, {side}above, {side}box)``."""
+    def at(edge: int) -> Column:
+        return F.struct(*[F.floor(F.col(c) * LEAF / edge).cast("int").alias(c) for c in ("cy", "cx")])
+
+    ends = [f(f"{c}{i}").alias(f"{c}{i}") for c in ("y", "x") for i, f in enumerate((F.min, F.max))]
+    return leaves.groupBy("image_id", at(size).alias(f"{side}cell"), at(size * FAN).alias(f"{side}above")).agg(*ends).select(
+        "image_id", f"{side}cell", f"{side}above", F.struct("y0", "y1", "x0", "x1").alias(f"{side}box"))
+
+
+def _not_beaten(pairs: DataFrame) -> DataFrame:
+    """Pairs of cells, less those whose nearest places lie farther apart than the farthest ones of another pair of the query cell."""
+    gap, reach = [], []
+    for c in ("y", "x"):
+        after, before = F.col(f"tbox.{c}0") - F.col(f"qbox.{c}1"), F.col(f"qbox.{c}0") - F.col(f"tbox.{c}1")
+        gap.append(F.greatest(after, before, F.lit(0)).cast("long"))
+        reach.append(F.greatest(F.col(f"tbox.{c}1") - F.col(f"qbox.{c}0"), F.col(f"qbox.{c}1") - F.col(f"tbox.{c}0")).cast("long"))
+    bound = F.min("_hi").over(Window.partitionBy("image_id", "qcell"))
+    return (pairs.withColumn("_hi", reach[0] * reach[0] + reach[1] * reach[1]).withColumn("_bound", bound)
+            .where(gap[0] * gap[0] + gap[1] * gap[1] <= F.col("_bound")).select("image_id", "qcell", "tcell"))
+
+
+def opened_cells(asked: DataFrame, there: DataFrame) -> DataFrame:
+    """``(image_id, qcell, tcell)``: for every leaf of queries, the leaves of targets that may hold a nearest one.
+
+    Both sides go down a pyramid of occupied cells. At each level a pair of cells is opened only if its least distance does
+    not exceed the smallest upper bound of its query cell, so the pairs that are left lie in a ring around the nearest target.
+    """
+    span = asked.unionByName(there).agg(*[(F.max(f"{c}1") - F.min(f"{c}0")).alias(c) for c in ("y", "x")]).first()
+    size = LEAF
+    while size * FAN <= max(span.y or 0, span.x or 0):
+        size *= FAN
+    # at most FAN + 1 cells along an edge, so 25 a side and image in the first join
+    pairs = _not_beaten(_cells(asked, size, "q").join(_cells(there, size, "t"), "image_id"))
+    while size > LEAF:
+        size //= FAN
+        above = pairs.select("image_id", F.col("qcell").alias("qabove"), F.col("tcell").alias("tabove"))
+        below = above.join(_cells(asked, size, "q"), ["image_id", "qabove"]).join(_cells(there, size, "t"), ["image_id", "tabove"])
+        pairs = _not_beaten(below)
+    return pairs
+
+
+def _least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per leaf ``(image_id, y, x, ty, tx)``: the least squared distance of each query to the targets of the opened cells."""
+    for pdf in batches:
+        names, parts = [], [np.empty((3, 0), "int64")]
+        for image, *arrays in pdf.itertuples(index=False):
+            y, x, ty, tx = (c.astype("int64") for c in arrays)
+            d2, step = np.empty(len(y), "int64"), max(1, _CHUNK // len(ty))
+            for s in range(0, len(y), step):
+                part = slice(s, s + step)
+                d2[part] = ((y[part, None] - ty) ** 2 + (x[part, None] - tx) ** 2).min(axis=1)
+            names += [image] * len(y)
+            parts.append(np.stack([y, x, d2]))
+        y, x, d2 = np.concatenate(parts, axis=1)
+        yield pd.DataFrame({"image_id": pd.Series(names, dtype=object), "y": y.astype("int32"), "x": x.astype("int32"), "d2": d2})
+
+
 def _far_d2(queries: DataFrame, targets: DataFrame) -> DataFrame:
-    """Two separable passes. Down each (image, column): nearest target row by two running windows, at the rows
-    that hold a query. Along each raster row: minimum over columns. Both groups are bounded by the canvas, so a
-    hot image is many tasks, and a task holds one unfinished row at a time.
+    """Nearest targets at any distance: a leaf of queries is compared with the pixels of the cells it opens, and no others.
+
+    Nothing is joined by image alone but the top of the pyramid; a hot image is as many rows as it has leaves.
     """
     key = queries.schema["image_id"].dataType.simpleString()
-    wanted = queries.select("image_id", "y").distinct()
-    blank = (targets.select("image_id", "x").distinct().join(wanted, "image_id")
-             .select("image_id", "x", "y", F.lit(None).cast("int").alias("t")))
-    seen = blank.unionByName(targets.select("image_id", "x", "y", F.col("y").cast("int").alias("t")))
-    col = Window.partitionBy("image_id", "x")
-    run = (Window.unboundedPreceding, 0)
-    seen = (seen.withColumn("up", F.last("t", ignorenulls=True).over(col.orderBy("y").rangeBetween(*run)))
-            .withColumn("down", F.last("t", ignorenulls=True).over(col.orderBy(F.desc("y")).rangeBetween(*run)))
-            .where("t IS NULL"))
-    g = F.least(F.col("y") - F.col("up"), F.col("down") - F.col("y")).cast("long")
-    sides = (seen.select("image_id", "y", "x", (g * g).alias("g2"))
-             .unionByName(queries.select("image_id", "y", "x", F.lit(None).cast("long").alias("g2"))))
-    ordered = spread_out(sides, "image_id", "y").sortWithinPartitions("image_id", "y", "x")
-    return ordered.mapInPandas(_whole_rows, f"image_id {key}, y int, x int, d2 bigint")
+    asked, there = materialize(_leaves(queries)), materialize(_leaves(targets.select("image_id", "y", "x").distinct()))
+    leaf = F.struct("cy", "cx")
+    goals = (opened_cells(asked, there).join(there.select("image_id", leaf.alias("tcell"), "at"), ["image_id", "tcell"])
+             .groupBy("image_id", "qcell").agg(F.flatten(F.collect_list("at")).alias("t")))
+    met = asked.select("image_id", leaf.alias("qcell"), "at").join(goals, ["image_id", "qcell"])
+    return spread_out(met, "image_id", "qcell").select(
+        "image_id", "at.y", "at.x", F.col("t.y").alias("ty"), F.col("t.x").alias("tx")).mapInPandas(
+        _least, f"image_id {key}, y int, x int, d2 bigint")
 
 
 def distance_map(points: DataFrame, canvas: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,26 @@ def test_nearest_distance_matches_brute_force(points):
     assert got == {(y, x): min((y - v) ** 2 + (x - u) ** 2 for v, u in b) for y, x in a}
 
 
+def test_far_distances_open_few_cells(spark, points):
+    rng = random.Random(8)
+    a = sorted({(rng.randrange(4096), rng.randrange(4096)) for _ in range(2000)})
+    b = sorted({(rng.randrange(4096), rng.randrange(4096)) for _ in range(2000)})
+    one, moved = [(4000, 17)], [(y - 2000, x - 3000) for y, x in b]
+    asked, there = points({"a": a, "one": a, "moved": a, "none": a[:3]}), points({"a": b + b[:9], "one": one, "moved": moved})
+
+    def want(x, y):
+        x, y = np.array(x), np.array(y)
+        return {tuple(p): int(((y - p) ** 2).sum(axis=1).min()) for p in x}
+
+    got = {}
+    for r in distance.nearest_d2(asked, there).collect():
+        got.setdefault(r.image_id, {})[(r.y, r.x)] = r.d2
+    assert got == {"a": want(a, b), "one": want(a, one), "moved": want(a, moved)}
+    leaves = [distance._leaves(p.where("image_id = 'a'")) for p in (asked, there)]
+    opened, cells_asked = distance.opened_cells(*leaves).count(), leaves[0].count()
+    assert cells_asked <= opened < 16 * cells_asked  # of 1,900 occupied cells
+
+
 def test_distance_maps(spark, points):
     canvas = spark.createDataFrame([("a", 3, 4), ("empty", 2, 2)], "image_id string, h int, w int")
     d = distance.clipped_distance(points({"a": [(0, 0)]}), canvas, 2.0)
