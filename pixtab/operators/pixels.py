@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FractionalType
 
 from pixtab.functions.keys import salted_join
+from pixtab.functions.strips import EDGE
 
 PIXEL = ["image_id", "y", "x"]
 
@@ -58,35 +63,83 @@ def replace_green(px: DataFrame, grid: DataFrame) -> DataFrame:
     return px.join(new, PIXEL).select(*PIXEL, "r", F.col("_g").alias("g"), "b")
 
 
-def _targets(canvas: DataFrame) -> DataFrame:
-    """Target pixels (ty, tx) of ``canvas(image_id, h, w, nh, nw)``."""
-    rows = canvas.select("*", F.explode(F.expr("sequence(0, nh - 1)")).alias("ty")).repartition("image_id", "ty")
-    return rows.select("*", F.explode(F.expr("sequence(0, nw - 1)")).alias("tx"))
-
-
-def resample(grid: DataFrame, canvas: DataFrame, nearest: bool = False) -> DataFrame:
+def _takers(c: str, n: str, m: str, nearest: bool) -> Column:
+    """The target places that sample source place ``c`` on an axis resized from ``n`` to ``m``, as an array."""
+    scale, step = F.col(m) / F.col(n), F.col(n) / F.col(m)
+    first = F.greatest(F.ceil((F.col(c) - 0.5) * scale - 0.5) - 1, F.lit(0))
+    last = F.least(F.floor((F.col(c) + 1.5) * scale - 0.5) + 1, F.col(m) - 1)
+
+    def takes(t: Column) -> Column:
+        if nearest:
+            return F.least(F.floor(t * step), F.col(n) - 1) == F.col(c)
+        base = F.floor((t + 0.5) * step - 0.5)
+        return F.col(c).isin(*[F.least(F.greatest(base + i, F.lit(0)), F.col(n) - 1) for i in (0, 1)])
+
+    return F.when(first <= last, F.filter(F.sequence(first.cast("int"), last.cast("int")), takes))
+
+
+def _nearest(px: DataFrame) -> DataFrame:
+    """Every source pixel names the target pixels that take it."""
+    for c, n, m in (("y", "h", "nh"), ("x", "w", "nw")):
+        px = px.withColumn(f"t{c}", F.explode(_takers(c, n, m, True)))
+    return px.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "v")
+
+
+def _blend_tile(edge: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def taps(first: int, n: int, m: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        t = np.arange(first, min(first + edge, m))
+        at = (t + 0.5) * (n / m) - 0.5
+        base = np.floor(at)
+        ends = [np.clip(base + i, 0, n - 1).astype("int64") for i in (0, 1)]
+        return t, ends, [1 - (at - base), at - base]
+
+    def blend(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf.iloc[0]
+        ty, y_at, y_k = taps(int(one["ty"]) * edge, int(one["h"]), int(one["nh"]))
+        tx, x_at, x_k = taps(int(one["tx"]) * edge, int(one["w"]), int(one["nw"]))
+        # source rows and columns that a target names, in order: the block has no others
+        rows, cols = np.unique(np.concatenate(y_at)), np.unique(np.concatenate(x_at))
+        y, x = pdf["y"].to_numpy("int64"), pdf["x"].to_numpy("int64")
+        i, j = np.searchsorted(rows, y), np.searchsorted(cols, x)
+        used = (i < len(rows)) & (j < len(cols))
+        used[used] = (rows[i[used]] == y[used]) & (cols[j[used]] == x[used])
+        i, j, known = i[used], j[used], pdf["known"].to_numpy(bool)[used]
+        there, valued, value = (np.zeros((len(rows), len(cols)), k) for k in (bool, bool, float))
+        there[i, j] = True
+        valued[i[known], j[known]] = True
+        value[i[known], j[known]] = pdf["v"].to_numpy("float64")[used][known]
+        total = np.zeros((len(ty), len(tx)))
+        some, any_value = np.zeros(total.shape, bool), np.zeros(total.shape, bool)
+        for a, ka in zip(y_at, y_k, strict=True):
+            for b, kb in zip(x_at, x_k, strict=True):
+                block = np.ix_(np.searchsorted(rows, a), np.searchsorted(cols, b))
+                total += np.where(valued[block], ka[:, None] * kb * value[block], 0)
+                some |= there[block]
+                any_value |= valued[block]
+        oy, ox = np.nonzero(some)
+        v = pd.array(total[oy, ox], dtype="Float64")
+        v[~any_value[oy, ox]] = pd.NA
+        return pd.DataFrame({"image_id": one["image_id"], "y": ty[oy].astype("int32"), "x": tx[ox].astype("int32"), "v": v})
+    return blend
+
+
+def resample(grid: DataFrame, canvas: DataFrame, nearest: bool = False, edge: int = EDGE) -> DataFrame:
     """Resize each image from ``(h, w)`` to ``(nh, nw)``.
 
-    Every target pixel names its one (nearest) or four (bilinear) source pixels and meets them in an
-    equi-join. Nearest takes ``floor(t * h / nh)``; bilinear samples at pixel centres.
+    Nearest takes ``floor(t * h / nh)`` and needs no shuffle of its own. Bilinear samples at pixel centres: source pixels go to the
+    target tiles that sample them, at most a rim of them twice, and a tile gathers its four taps from its block. Source pixels that no
+    target samples do not move, so a block holds at most two source rows and columns for each of the tile, however much an image shrinks.
+    Missing pixels and null values count as 0; a target pixel without any source pixel is left out, one whose source pixels are all null is null.
     """
-    t = _targets(canvas)
+    px = salted_join(grid.select(*PIXEL, "v"), canvas.select("image_id", "h", "w", "nh", "nw"), ["image_id"])
     if nearest:
-        src = lambda c, n, m: F.least(F.floor(F.col(c) * (F.col(n) / F.col(m))), F.col(n) - 1).cast("int")
-        t = t.select("image_id", "ty", "tx", src("ty", "h", "nh").alias("y"), src("tx", "w", "nw").alias("x"))
-        return t.join(grid.select(*PIXEL, "v"), PIXEL).select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "v")
-
-    def taps(c: str, n: str, m: str) -> Column:
-        at = (F.col(c) + 0.5) * (F.col(n) / F.col(m)) - 0.5
-        base = F.floor(at)
-        edge = lambda i: F.least(F.greatest(i, F.lit(0)), F.col(n) - 1).cast("int")
-        return F.explode(F.array(F.struct(edge(base).alias("i"), (1 - (at - base)).alias("k")),
-                                 F.struct(edge(base + 1).alias("i"), (at - base).alias("k"))))
-
-    t = t.withColumn("_a", taps("ty", "h", "nh")).withColumn("_b", taps("tx", "w", "nw"))
-    t = t.select("image_id", "ty", "tx", F.col("_a.i").alias("y"), F.col("_b.i").alias("x"), (F.col("_a.k") * F.col("_b.k")).alias("k"))
-    met = t.join(grid.select(*PIXEL, "v"), PIXEL)
-    return met.groupBy("image_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.sum(F.col("k") * F.col("v")).alias("v"))
+        return _nearest(px)
+    key = grid.schema["image_id"].dataType.simpleString()
+    for c, n, m, t in (("y", "h", "nh", "ty"), ("x", "w", "nw", "tx")):
+        tiles = F.array_distinct(F.transform(_takers(c, n, m, False), lambda p: F.floor(p / edge).cast("int")))
+        px = px.withColumn(t, F.explode(tiles))
+    tiled = px.select(*PIXEL, "ty", "tx", "h", "w", "nh", "nw", F.col("v").cast("double").alias("v"), F.col("v").isNotNull().alias("known"))
+    return tiled.groupBy("image_id", "ty", "tx").applyInPandas(_blend_tile(edge), f"image_id {key}, y int, x int, v double")
 
 
 def resample_mask(grid: DataFrame, canvas: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixtab.functions.offsets import ellipse
-from pixtab.operators import components, distance, graph, metrics, morphology, neighborhood, thinning
+from pixtab.operators import components, distance, graph, metrics, morphology, neighborhood, pixels, thinning
 
 
 def rows(df):
@@ -134,6 +134,34 @@ def test_far_distances_open_few_cells(spark, points):
     assert cells_asked <= opened < 16 * cells_asked  # of 1,900 occupied cells
 
 
+@pytest.mark.parametrize("h,w,nh,nw", [(13, 17, 29, 5), (40, 30, 6, 7), (1, 9, 4, 9), (5, 5, 5, 5)])
+def test_resampling_in_tiles_matches_brute_force(spark, h, w, nh, nw):
+    rng = random.Random(h)
+    src = {(y, x): rng.randrange(256) for y in range(h) for x in range(w) if rng.random() < 0.8}
+    if h == 40:
+        src |= {p: None for p in list(src)[::3]}
+    grid = spark.createDataFrame([("a", y, x, v) for (y, x), v in src.items()], "image_id string, y int, x int, v int")
+    canvas = spark.createDataFrame([("a", h, w, nh, nw)], "image_id string, h int, w int, nh int, nw int")
+    near, blend = {}, {}
+    for ty in range(nh):
+        for tx in range(nw):
+            at = min(math.floor(ty * (h / nh)), h - 1), min(math.floor(tx * (w / nw)), w - 1)
+            if at in src:
+                near[ty, tx] = src[at]
+            fy, fx = (ty + 0.5) * (h / nh) - 0.5, (tx + 0.5) * (w / nw) - 0.5
+            by, bx = math.floor(fy), math.floor(fx)
+            taps = [((min(max(by + i, 0), h - 1), min(max(bx + j, 0), w - 1)), abs(1 - i - fy + by) * abs(1 - j - fx + bx))
+                    for i in (0, 1) for j in (0, 1)]
+            taps = [(src[p], k) for p, k in taps if p in src]
+            if taps:
+                blend[ty, tx] = None if all(v is None for v, _ in taps) else sum(v * k for v, k in taps if v is not None)
+    assert {(r.y, r.x): r.v for r in pixels.resample(grid, canvas, nearest=True).collect()} == near
+    for edge in (4, 256):
+        got = {(r.y, r.x): r.v for r in pixels.resample(grid, canvas, edge=edge).collect()}
+        assert got.keys() == blend.keys() and all((got[p] is None) == (blend[p] is None) for p in got)
+        assert all(got[p] == pytest.approx(blend[p]) for p in got if got[p] is not None)
+
+
 def test_distance_maps(spark, points):
     canvas = spark.createDataFrame([("a", 3, 4), ("empty", 2, 2)], "image_id string, h int, w int")
     d = distance.clipped_distance(points({"a": [(0, 0)]}), canvas, 2.0)
