@@ -80,7 +80,7 @@ def test_top_k_with_bad_vectors_ties_and_repeats(spark):
 
 
 def test_small_blocks_and_strips_change_nothing(spark, monkeypatch):
-    for name, n in (("BLOCK", 20), ("QUERIES", 3), ("STRIP", 2)):
+    for name, n in (("BLOCK", 20), ("QUERIES", 3), ("HELD", 320)):
         monkeypatch.setattr(topk, name, n)
     r = np.random.default_rng(3)
     own = {i: [int(x) for x in r.integers(-90, 90, 8)] for i in range(300)}
@@ -88,6 +88,22 @@ def test_small_blocks_and_strips_change_nothing(spark, monkeypatch):
     assert rows_of(topk.op1_topk(df), "query_id", "rank", "vec_id", "score") == sorted(brute_top(own, lambda a: a % 50 == 0, 5), key=repr)
 
 
+def test_vectors_move_once_and_queries_to_every_strip(spark, monkeypatch):
+    monkeypatch.setattr(topk, "HELD", 4 * 20 * 6)
+    df = spark.createDataFrame([(i, [float(i)] * (6 if i % 3 else 2)) for i in range(1500)], "vec_id long, embedding array<double>")
+    own = topk.integer_vectors(df, "vec_id", "embedding")
+    monkeypatch.setattr(topk, "BLOCK", 20)
+    met = topk.strips(topk.in_blocks(own, 20), topk.in_blocks(own.where("id % 50 = 0"), 8)).collect()
+    ids = sorted(i for r in met if not r.asks for i in r.ids)
+    assert ids == list(range(1500))
+    for dim in (2, 6):
+        of = {s: sorted(i for r in met if r.asks and (r.dim, r.strip) == (dim, s) for i in r.ids)
+              for s in {r.strip for r in met if r.dim == dim}}
+        assert len(of) > 3 and all(v == [i for i in range(0, 1500, 50) if (i % 3 > 0) == (dim == 6)] for v in of.values())
+        held = {s: sum(len(r.ids) * dim for r in met if not r.asks and (r.dim, r.strip) == (dim, s)) for s in of}
+        assert max(held.values()) < 2 * topk.HELD
+
+
 @pytest.mark.parametrize("scale", [1, 1 << 40])
 def test_reading_lists_loses_no_member(scale):
     r = np.random.default_rng(2)
