@@ -2,60 +2,131 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixtab.functions.keys import id_x, id_y, pixel_id
 from pixtab.functions.lineage import materialize
-from pixtab.functions.offsets import NEIGHBOURS8, offset_array
-from pixtab.functions.strips import EDGE, TILE, at_home, halo_tiles, tile_votes
+from pixtab.functions.offsets import NEIGHBOURS8
+from pixtab.functions.strips import EDGE, TILE, halo_tiles, tile_votes
 from pixtab.operators.components import remove_small
 from pixtab.operators.morphology import dilate, ellipse_spans
 
 PIXEL = ["image_id", "y", "x"]
 # neighbours clockwise from north; bit i of a pixel's code says neighbour i is present
 _RING = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
-_SELF = 256
-
-
-def _pass(points: DataFrame, first: bool) -> DataFrame:
-    """One parallel deletion pass inside tiles; aggregation keys contain the tile, so nothing moves."""
-    back = offset_array([(-dy, -dx) for dy, dx in _RING] + [(0, 0)], [1 << i for i in range(8)] + [_SELF])
-    votes = points.select(*TILE, "y", "x", F.explode(back).alias("o")).select(
-        *TILE, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.col("o.k").alias("k"))
-    coded = votes.groupBy(*TILE, "y", "x").agg(F.sum("k").cast("int").alias("c")).where(F.col("c") >= _SELF)
-    code = F.col("c").bitwiseAND(255)
-    turned = F.shiftright(code, 1).bitwiseOR(F.shiftleft(code, 7)).bitwiseAND(255)
-    rises = F.bit_count(F.bitwise_not(code).bitwiseAND(turned))
+
+
+def _deletable(first: bool) -> np.ndarray:
+    """For each code of eight neighbours, whether a pass deletes the pixel."""
+    code = np.arange(256)
+    bits = code[:, None] >> np.arange(8) & 1
+    rises = ((bits == 0) & (np.roll(bits, -1, axis=1) == 1)).sum(axis=1)
     n, e, s, w = 1, 4, 16, 64
     faces = ((n | e | s), (e | s | w)) if first else ((n | e | w), (n | s | w))
-    delete = (F.bit_count(code).between(2, 6) & (rises == 1)
-              & (code.bitwiseAND(faces[0]) != faces[0]) & (code.bitwiseAND(faces[1]) != faces[1]))
-    return coded.where(~delete).drop("c")
+    many = bits.sum(axis=1)
+    return (many >= 2) & (many <= 6) & (rises == 1) & (code & faces[0] != faces[0]) & (code & faces[1] != faces[1])
+
+
+def _thin_tile(passes: int, edge: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    tables, halo = (_deletable(True), _deletable(False)), 2 * passes
+    wide = edge + 2 * halo
+
+    side = wide + 2  # a border of nothing around the block
+    away = [dy * side + dx for dy, dx in _RING]
+
+    def thinned(px: np.ndarray, rims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = (px // edge + halo + 1) * side + px % edge + halo + 1
+        there = np.zeros(side * side, bool)
+        there[own] = there[(rims // wide + 1) * side + rims % wide + 1] = True
+        left = np.flatnonzero(there) if len(px) else own
+        for _ in range(passes):
+            for table in tables:
+                code = np.zeros(len(left), np.uint8)
+                for i, off in enumerate(away):
+                    code |= there[left + off].astype(np.uint8) << i
+                gone = table[code]
+                there[left[gone]] = False
+                left = left[~gone]
+        return px, px[there[own]]
+
+    def thin_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ends = [thinned(np.asarray(px, "int64"), np.asarray(c, "int64")) for px, c in zip(pdf["px"], pdf["codes"], strict=True)]
+            occupied = np.array([len(before) > 0 for before, _ in ends], bool)
+            out = pdf.loc[occupied, TILE].copy()
+            out["px"] = pd.Series([after for before, after in ends if len(before)], index=out.index, dtype=object)
+            out["changed"] = [len(after) < len(before) for before, after in ends if len(before)]
+            yield out
+    return thin_tiles
+
+
+def _same_tile(left: DataFrame, right: DataFrame) -> Column:
+    return left["image_id"].eqNullSafe(right["_image"]) & (left["ty"] == right["_ty"]) & (left["tx"] == right["_tx"])
+
+
+def thinning_rounds(points: DataFrame, per_round: int = 2, edge: int = EDGE) -> Iterator[DataFrame]:
+    """``(image_id, ty, tx, px, changed)`` after each round, up to the first that changes nothing: one row per occupied tile.
+
+    A round runs ``per_round`` double passes in the blocks of the active tiles, those that changed in the last round or touch one that
+    did; any other tile would see what it saw before. Only pixels of active tiles and the rims that their neighbours
+    send them are shuffled. The list of active tiles is met by a join that Spark broadcasts as its size allows.
+    """
+    if not 1 <= 2 * per_round <= edge:
+        raise ValueError(f"{per_round} double passes need a halo of {2 * per_round} pixels, tiles have {edge}")
+    halo, key = 2 * per_round, points.schema["image_id"].dataType.simpleString()
+    wide, shape = edge + 2 * halo, f"image_id {key}, ty int, tx int, px array<int>, changed boolean"
+    tile = [F.floor(F.col(c) / edge).cast("int").alias(t) for c, t in (("y", "ty"), ("x", "tx"))]
+    code = F.pmod("y", F.lit(edge)) * edge + F.pmod("x", F.lit(edge))
+    state = materialize(points.groupBy("image_id", *tile).agg(F.collect_set(code.cast("int")).alias("px")).withColumn("changed", F.lit(True)))
+    around = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
+
+    def seen_from(px: Column, dy: Column, dx: Column) -> Column:
+        """Codes inside the block of the tile that lies (dy, dx) tiles off."""
+        def at(p: Column) -> tuple[Column, Column]:
+            return F.floor(p / edge).cast("int") - dy * edge + halo, p % edge - dx * edge + halo
+
+        inside = F.filter(px, lambda p: at(p)[0].between(0, wide - 1) & at(p)[1].between(0, wide - 1))
+        return F.transform(inside, lambda p: at(p)[0] * wide + at(p)[1])
+
+    def on_rim(p: Column) -> Column:
+        x = p % edge
+        return (p < halo * edge) | (p >= (edge - halo) * edge) | (x < halo) | (x >= edge - halo)
+
+    whole = True
+    while state.where("changed").limit(1).count():
+        active = state.where("changed").select("image_id", "ty", "tx", around.alias("o")).select(
+            F.col("image_id").alias("_image"), (F.col("ty") + F.col("o.dy")).alias("_ty"), (F.col("tx") + F.col("o.dx")).alias("_tx")).distinct()
+        codes, none = seen_from(F.col("rim"), F.col("o.dy"), F.col("o.dx")), F.array().cast("array<int>")
+        rims = state.withColumn("rim", F.filter("px", on_rim)).where(F.size("rim") > 0).select("*", around.alias("o")).where(
+            "o.dy <> 0 OR o.dx <> 0").select("image_id", (F.col("ty") + F.col("o.dy")).alias("ty"), (F.col("tx") + F.col("o.dx")).alias("tx"),
+                                             none.alias("px"), codes.alias("codes")).where(F.size("codes") > 0)
+        sent = state.select(*TILE, "px", none.alias("codes")).unionByName(rims)
+        if not whole:
+            sent = sent.join(active, _same_tile(sent, active), "left_semi")
+        blocks = sent.groupBy(*TILE).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("px", "codes")]).where(F.size("px") > 0)
+        done = blocks.mapInPandas(_thin_tile(per_round, edge), shape)
+        if not whole:
+            rest = state.join(active, _same_tile(state, active), "left_anti").withColumn("changed", F.lit(False))
+            done = rest.unionByName(done)
+        state, whole = materialize(done), False
+        yield state
 
 
 def thin(points: DataFrame, per_round: int = 2, edge: int = EDGE) -> DataFrame:
-    """Zhang-Suen thinning of all images at once.
-
-    Each round tiles the pixels with a halo and runs ``per_round`` double passes after a single
-    shuffle; rounds stop when nothing was deleted. A pass spoils one more pixel of the halo, which
-    is dropped at the end of the round.
-    """
-    current = materialize(points.select(*PIXEL).distinct())
-    left = current.count()
-    while left:
-        tiled = halo_tiles(current, 2 * per_round, edge)
-        for _ in range(per_round):
-            tiled = _pass(_pass(tiled, True), False)
-        current = materialize(tiled.where(at_home(edge)).select(*PIXEL))
-        now = current.count()
-        if now == left:
-            break
-        left = now
-    return current
+    """Zhang-Suen thinning of all images at once, in rounds over the tiles that still change (see ``thinning_rounds``)."""
+    last = None
+    for last in thinning_rounds(points.select(*PIXEL), per_round, edge):
+        pass
+    if last is None:
+        return points.select(*PIXEL).limit(0)
+    at = last.select("image_id", "ty", "tx", F.explode("px").alias("p"))
+    return at.select("image_id", (F.col("ty") * edge + F.floor(F.col("p") / edge)).cast("int").alias("y"),
+                     (F.col("tx") * edge + F.col("p") % edge).cast("int").alias("x"))
 
 
 def adjacency(points: DataFrame) -> DataFrame:

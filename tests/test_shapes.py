@@ -134,6 +134,20 @@ def test_far_distances_open_few_cells(spark, points):
     assert cells_asked <= opened < 16 * cells_asked  # of 1,900 occupied cells
 
 
+def test_thinning_goes_on_in_active_tiles_only(points):
+    rng = random.Random(2)
+    blob = {(y, x) for y in range(40) for x in range(40) if (y - 20) ** 2 + (x - 20) ** 2 < 330}
+    specks = {(rng.randrange(-90, 200), rng.randrange(60, 300)) for _ in range(900)}
+    p = points({"a": sorted(blob | specks), "b": sorted(blob), "c": [(0, 0)]})
+    seen = [(state.count(), state.where("changed").count()) for state in thinning.thinning_rounds(p, per_round=1, edge=8)]
+    tiles, changed = seen[0][0], [n for _, n in seen]
+    assert len(changed) > 5 and changed[-1] == 0
+    # specks are done after a round or two, only the shrinking rims of the blobs go on
+    assert all(a >= b for a, b in zip(changed, changed[1:], strict=False)) and max(changed) < tiles / 4 and changed[-2] < changed[0] / 2
+    assert rows(thinning.thin(p, per_round=1, edge=8)) == rows(thinning.thin(p, per_round=3)) == rows(thinning.thin(p, edge=5))
+    assert thinning.thin(points({"a": [(0, 0)]}).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("h,w,nh,nw", [(13, 17, 29, 5), (40, 30, 6, 7), (1, 9, 4, 9), (5, 5, 5, 5)])
 def test_resampling_in_tiles_matches_brute_force(spark, h, w, nh, nw):
     rng = random.Random(h)
