@@ -116,6 +116,18 @@ def test_edit_distance():
         assert lines.similar(a, b) == (plain_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9)
 
 
+def test_edit_distance_up_to_a_bound():
+    r = random.Random(16)
+    for _ in range(600):
+        a = "".join(r.choice("abcd \u4e2d") for _ in range(r.choice([1, 4, 5, 9, 10, 30, 31, 70])))
+        rate = r.choice([1, 4, 8, 16])
+        b = "".join(r.choice([c] * rate + ["", c + "k", "z"]) for c in a) if r.random() < 0.9 else a[::-1]
+        want, most = plain_distance(a, b), r.randint(0, 30)
+        assert lines.edit_distance(a, b) == want
+        got = lines.edit_distance(a, b, most)
+        assert got == want if want <= most else got > most
+
+
 def line_print(line):
     """The SimHash by its definition: the bits that are set in more than half of the n-grams."""
     own = b" " * (lines.GRAM - 2) + line + b" " * (lines.GRAM - 2)
