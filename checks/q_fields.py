@@ -86,8 +86,7 @@ def d20(spark, sf):
 SELECT image_id, y, x, round(sum(k * v) / (sum(k) + 1e-8), 6) AS v FROM t GROUP BY ALL"""))
 def d21(spark, sf):
     tiles = patches.tile_cover(dims(spark, sf), 24, 10)
-    px = tiles.select("*", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("j"))
-    px = px.select("image_id", "ty", "tx", (F.col("ty") + F.col("i")).alias("y"), (F.col("tx") + F.col("j")).alias("x")).join(prob_v(spark, sf), PIXEL)
+    px = patches.pixels_in(prob_v(spark, sf), tiles, 24)
     return fx.rounded(patches.blend_tiles(px.withColumn("v", F.col("v") * (1 + F.col("ty") / 100)), 24))
 
 

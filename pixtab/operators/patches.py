@@ -137,6 +137,20 @@ def tile_cover(canvas: DataFrame, size: int, stride: int) -> DataFrame:
     return canvas.select("image_id", "w", starts("h").alias("ty")).select("image_id", "ty", starts("w").alias("tx"))
 
 
+def pixels_in(grid: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
+    """Columns of ``tiles`` (corners ``ty, tx``) beside the pixels that lie in them, one row per tile and pixel.
+
+    Tiles and pixels meet on grid cells of the tile size, of which a tile touches at most four. No position is made per tile: Spark
+    does not see such rows in its size estimate and would send them all through the driver. So the tiles are merged, not broadcast.
+    """
+    cell = lambda c: F.explode(F.sequence(F.floor(F.col(c) / size), F.floor((F.col(c) + size - 1) / size)))
+    spread = tiles.withColumn("_cy", cell("ty")).withColumn("_cx", cell("tx")).hint("merge")
+    px = grid.withColumn("_cy", F.floor(F.col("y") / size)).withColumn("_cx", F.floor(F.col("x") / size))
+    hit = F.col("y").between(F.col("ty"), F.col("ty") + size - 1) & F.col("x").between(F.col("tx"), F.col("tx") + size - 1)
+    values = [c for c in grid.columns if c not in PIXEL]
+    return px.join(spread, ["image_id", "_cy", "_cx"]).where(hit).select(*tiles.columns, "y", "x", *values)
+
+
 def blend_tiles(predictions: DataFrame, size: int) -> DataFrame:
     """Weighted mean of overlapping tile values ``(image_id, ty, tx, y, x, v)``; weights fall off as exp(-2 u^2)."""
     u = lambda at, start: F.lit(-1.0) + (F.col(at) - F.col(start)) * (2.0 / (size - 1))
@@ -169,11 +183,10 @@ def random_tiles(points: DataFrame, canvas: DataFrame, size: int, per_image: int
 
 
 def crop_tiles(grid: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
-    """Pixels of each tile: positions are generated per tile and met on the pixel key."""
-    t = tiles.select("image_id", "sample", "ty", "tx", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("dy"))
-    t = t.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("dx"))
-    t = t.withColumn("y", F.col("ty") + F.col("dy")).withColumn("x", F.col("tx") + F.col("dx"))
-    return t.join(grid, PIXEL).drop("y", "x", "ty", "tx")
+    """Pixels of each tile, at their places in it."""
+    t = pixels_in(grid, tiles.select("image_id", "sample", "ty", "tx"), size)
+    values = [c for c in grid.columns if c not in PIXEL]
+    return t.select("image_id", "sample", (F.col("y") - F.col("ty")).alias("dy"), (F.col("x") - F.col("tx")).alias("dx"), *values)
 
 
 def with_margin(grid: DataFrame, canvas: DataFrame, margin: int) -> DataFrame:
