@@ -9,12 +9,15 @@ is many tiles, and no task holds more than a tile.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pixtab.functions.keys import salted_join, spread_out
 from pixtab.functions.offsets import offset_array
@@ -29,17 +32,88 @@ def _cover(c: str, halo: int, edge: int) -> Column:
     return F.sequence(lo, hi).cast("array<int>")
 
 
+def halo_copies(px: DataFrame, halo: int, edge: int = EDGE) -> DataFrame:
+    """Each pixel in its own tile and in tiles it is a halo pixel of; nothing is shuffled yet."""
+    return (px.withColumn("ty", F.explode(_cover("y", halo, edge)))
+            .withColumn("tx", F.explode(_cover("x", halo, edge))))
+
+
 def halo_tiles(px: DataFrame, halo: int, edge: int = EDGE) -> DataFrame:
-    """Copy each pixel to its own tile and to tiles it is a halo pixel of; one shuffle by tile."""
-    copies = (px.withColumn("ty", F.explode(_cover("y", halo, edge)))
-              .withColumn("tx", F.explode(_cover("x", halo, edge))))
-    return spread_out(copies, *TILE)
+    """The same after one shuffle by tile."""
+    return spread_out(halo_copies(px, halo, edge), *TILE)
 
 
 def at_home(edge: int = EDGE) -> Column:
     return (F.floor(F.col("y") / edge) == F.col("ty")) & (F.floor(F.col("x") / edge) == F.col("tx"))
 
 
+#: Columns of whole tiles and the first row of each tile, to the number of a row of the same tile for every row made, and the columns made.
+TileWork = Callable[[dict[str, np.ndarray], np.ndarray], tuple[np.ndarray, dict]]
+
+
+def _whole_tiles(batches: Iterator[pa.RecordBatch], work: TileWork, schema: StructType) -> Iterator[pa.RecordBatch]:
+    shape, held = to_arrow_schema(schema), []
+
+    def made(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        at, out = work({c: rows[c].to_numpy() for c in rows.column_names if c != "image_id"}, starts)
+        images = rows["image_id"].combine_chunks().take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays([images if t.name == "image_id" else pa.array(out[t.name], t.type) for t in shape], schema=shape)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch])
+        image = rows["image_id"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        turns = np.zeros(len(image) - 1, bool)
+        for key in (image, rows["ty"].to_numpy(), rows["tx"].to_numpy()):
+            turns |= key[1:] != key[:-1]
+        starts = np.concatenate([[0], np.flatnonzero(turns) + 1])
+        if len(starts) > 1:
+            yield made(rows.slice(0, starts[-1]), starts[:-1])
+        held = rows.slice(starts[-1]).to_batches()  # the last tile may go on
+    if held:
+        yield made(pa.Table.from_batches(held), np.zeros(1, "int64"))
+
+
+def map_tiles(tiled: DataFrame, work: TileWork, schema: str) -> DataFrame:
+    """Rows that ``work`` makes of whole tiles, with the ``image_id`` of the tile; ``tiled(image_id, ty, tx, ...)`` holds numbers without nulls.
+
+    Partitions are sorted by tile and stream by in batches that are cut behind the last whole tile, so many small tiles cost one call.
+    A task holds one batch and one tile.
+    """
+    shape = StructType.fromDDL(schema)
+    return spread_out(tiled, *TILE).sortWithinPartitions(*TILE).mapInArrow(lambda batches: _whole_tiles(batches, work, shape), shape)
+
+
+def tile_of_rows(starts: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` rows the number of its tile."""
+    return np.repeat(np.arange(len(starts)), np.diff(starts, append=n))
+
+
+#: Edge of a packed block: its pixels are the bits of a BIGINT.
+BLOCK = 8
+
+
+_AT_BIT = f"cast(pmod(y, {BLOCK}) * {BLOCK} + pmod(x, {BLOCK}) as int)"
+
+
+def packed(points: DataFrame) -> DataFrame:
+    """``(image_id, by, bx, bits)``: a set of pixels as one number per occupied block of 8 x 8, made before the shuffle.
+
+    Bit ``8 * (y % 8) + x % 8`` of ``bits`` stands for the pixel. A dense mask is a few hundred rows an image instead of one per pixel.
+    """
+    at = [F.floor(F.col(c) / BLOCK).cast("int").alias(n) for c, n in (("y", "by"), ("x", "bx"))]
+    return points.select("image_id", *at, F.expr(f"shiftleft(1L, {_AT_BIT})").alias("bit")).groupBy(
+        "image_id", "by", "bx").agg(F.bit_or("bit").alias("bits"))
+
+
+def with_membership(px: DataFrame, mask: DataFrame, name: str) -> DataFrame:
+    """``px`` with the boolean ``name``: whether the row's pixel is in ``mask``, which is met in packed blocks."""
+    at = [F.floor(F.col(c) / BLOCK).cast("int").alias(n) for c, n in (("y", "by"), ("x", "bx"))]
+    met = px.select("*", *at).join(packed(mask), ["image_id", "by", "bx"], "left")
+    return met.select(*px.columns, F.coalesce(F.expr(f"(shiftright(bits, {_AT_BIT}) & 1) = 1"), F.lit(False)).alias(name))
+
+
 def tile_votes(points: DataFrame, offsets: Sequence[tuple[int, int]], extra: Sequence[int] | None = None,
                keep: Sequence[Column | str] = (), edge: int = EDGE) -> DataFrame:
     """Every point at every offset, inside halo tiles: ``(image_id, ty, tx, y, x[, k], <keep>)``.

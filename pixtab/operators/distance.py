@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixtab.functions.keys import spread_out
 from pixtab.functions.lineage import materialize
 from pixtab.functions.offsets import disk
-from pixtab.functions.strips import EDGE, TILE, halo_tiles, tile_votes
+from pixtab.functions.strips import EDGE, TILE, TileWork, halo_copies, halo_tiles, map_tiles, tile_of_rows, tile_votes
 
 _CHUNK = 1 << 20  # candidate distances evaluated at once
 #: Edge of the lowest cells of the pyramid, and how many of them make up the edge of a cell above.
@@ -35,34 +36,84 @@ def pixels_of(canvas: DataFrame) -> DataFrame:
     return rows.select("image_id", "y", F.explode(F.expr("sequence(0, w - 1)")).alias("x"))
 
 
-def clipped_distance(points: DataFrame, canvas: DataFrame, tolerance: float) -> DataFrame:
-    """Distance map clipped at ``tolerance``; an image without points is ``tolerance`` everywhere."""
-    near = near_d2(points, tolerance)
+def _clipped_rows(radius: float, edge: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per tile ``(image_id, ty, tx, h, w, py, px)``: its raster rows with the squared distance to a point within ``radius``, or -1."""
+    reach = int(math.floor(radius))
+    far_first = sorted(disk(radius), key=lambda o: (-(o[0] * o[0] + o[1] * o[1]), o))
+    side = edge + 4 * reach  # the halo, and what points of the halo reach
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["image_id", "y", "x0", "d2"]
+        for batch in batches:
+            at, parts, size = [], [], 0
+            ty, tx, h, w = (batch.column(c).to_numpy() for c in ("ty", "tx", "h", "w"))
+            for i in range(batch.num_rows):
+                block = np.full((side, side), -1, "int32")
+                if batch.column("py")[i].is_valid:
+                    y = batch.column("py")[i].values.to_numpy() - ty[i] * edge + 2 * reach
+                    x = batch.column("px")[i].values.to_numpy() - tx[i] * edge + 2 * reach
+                    for dy, dx in far_first:
+                        block[y + dy, x + dx] = dy * dy + dx * dx
+                high, wide = min(edge, h[i] - ty[i] * edge), min(edge, w[i] - tx[i] * edge)
+                at.append((i, ty[i] * edge, tx[i] * edge, high, wide))
+                parts.append(block[2 * reach:2 * reach + high, 2 * reach:2 * reach + wide].ravel())
+                size += parts[-1].size
+                if size >= _CHUNK or i + 1 == batch.num_rows:
+                    tile, y0, x0, highs, wides = np.array(at, "int64").T
+                    first = np.concatenate([np.arange(n) for n in highs])
+                    ends = np.concatenate([[0], np.cumsum(np.repeat(wides, highs))])
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column("image_id").take(pa.array(np.repeat(tile, highs))),
+                        pa.array((np.repeat(y0, highs) + first).astype("int32")), pa.array(np.repeat(x0, highs).astype("int32")),
+                        pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(np.concatenate(parts)))], names=names)
+                    at, parts, size = [], [], 0
+    return rows
+
+
+def clipped_distance(points: DataFrame, canvas: DataFrame, tolerance: float, edge: int = EDGE) -> DataFrame:
+    """Distance map clipped at ``tolerance``; an image without points is ``tolerance`` everywhere.
+
+    Only the points and one row per tile are shuffled. The pixels of a canvas are unpacked from raster rows where their tile is.
+    """
+    key, kind = (canvas.schema[c].dataType.simpleString() for c in ("image_id", "h"))
+    cells = lambda n: F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / edge).cast("int")))
+    tiles = canvas.where("h > 0 AND w > 0").select("image_id", F.col("h").cast("long").alias("h"), F.col("w").cast("long").alias("w"))
+    tiles = spread_out(tiles.withColumn("ty", cells("h")).withColumn("tx", cells("w")), *TILE)
+    near = halo_tiles(points.select("image_id", "y", "x"), int(math.floor(tolerance)), edge).groupBy(*TILE).agg(
+        F.collect_list(F.struct("y", "x")).alias("p"))
+    rows = tiles.join(near, TILE, "left").select(*TILE, "h", "w", F.col("p.y").alias("py"), F.col("p.x").alias("px")).mapInArrow(
+        _clipped_rows(tolerance, edge), f"image_id {key}, y int, x0 int, d2 array<int>")
+    px = rows.select("image_id", "y", "x0", F.posexplode("d2").alias("_i", "d2"))
     d = F.least(F.sqrt(F.col("d2").cast("double")), F.lit(float(tolerance)))
-    return (pixels_of(canvas).join(near, ["image_id", "y", "x"], "left")
-            .select("image_id", "y", "x", F.coalesce(d, F.lit(float(tolerance))).alias("v")))
+    return px.select("image_id", F.col("y").cast(kind).alias("y"), (F.col("x0") + F.col("_i")).cast(kind).alias("x"),
+                     F.when(F.col("d2") >= 0, d).otherwise(F.lit(float(tolerance))).alias("v"))
 
 
-def _near_tile(radius: int, edge: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _near_tiles(radius: int, edge: int) -> TileWork:
     by_length = sorted(disk(radius), key=lambda o: (o[0] * o[0] + o[1] * o[1], o))
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        ty, tx = int(pdf["ty"].iloc[0]), int(pdf["tx"].iloc[0])
-        y, x = pdf["y"].to_numpy("int64") - ty * edge + radius, pdf["x"].to_numpy("int64") - tx * edge + radius
-        query = pdf["is_query"].to_numpy(bool)
-        there = np.zeros((edge + 4 * radius, edge + 4 * radius), bool)
-        there[y[~query] + radius, x[~query] + radius] = True
-        home = query & (y >= radius) & (y < edge + radius) & (x >= radius) & (x < edge + radius)
-        qy, qx = y[home] + radius, x[home] + radius
-        best, left = np.full(len(qy), -1, "int64"), np.arange(len(qy))
-        for dy, dx in by_length:
-            if not len(left):
-                break
-            hit = there[qy[left] + dy, qx[left] + dx]
-            best[left[hit]] = dy * dy + dx * dx
-            left = left[~hit]
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "y": (qy + ty * edge - 2 * radius).astype("int32"),
-                             "x": (qx + tx * edge - 2 * radius).astype("int32"), "d2": best})
+    side, most = edge + 4 * radius, 128  # tiles whose blocks are held at once
+
+    def near(own: dict[str, np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, dict]:
+        n = len(own["y"])
+        tile, query = tile_of_rows(starts, n), own["is_query"] == 1
+        y = own["y"].astype("int64") - own["ty"].astype("int64") * edge + 2 * radius
+        x = own["x"].astype("int64") - own["tx"].astype("int64") * edge + 2 * radius
+        home = query & (y >= 2 * radius) & (y < edge + 2 * radius) & (x >= 2 * radius) & (x < edge + 2 * radius)
+        at = ((tile % most) * side + y) * side + x
+        best = np.full(n, -1, "int64")
+        for first in range(0, len(starts), most):
+            lo, hi = starts[first], starts[first + most] if first + most < len(starts) else n
+            there = np.zeros(min(most, len(starts) - first) * side * side, bool)
+            there[at[lo:hi][~query[lo:hi]]] = True
+            left = lo + np.flatnonzero(home[lo:hi])
+            for dy, dx in by_length:
+                if not len(left):
+                    break
+                hit = there[at[left] + dy * side + dx]
+                best[left[hit]] = dy * dy + dx * dx
+                left = left[~hit]
+        asked = np.flatnonzero(home)
+        return asked, {"y": own["y"][asked], "x": own["x"][asked], "d2": best[asked]}
     return near
 
 
@@ -123,10 +174,9 @@ def nearest_d2(queries: DataFrame, targets: DataFrame, radius: int = 8, edge: in
     Only the others go down a pyramid of occupied cells. Queries of images without targets are left out.
     """
     key = queries.schema["image_id"].dataType.simpleString()
-    both = (queries.select("image_id", "y", "x", F.lit(True).alias("is_query"))
-            .unionByName(targets.select("image_id", "y", "x", F.lit(False).alias("is_query"))))
-    near = materialize(halo_tiles(both, radius, edge).groupBy(*TILE).applyInPandas(
-        _near_tile(radius, edge), f"image_id {key}, y int, x int, d2 bigint"))
+    both = (queries.select("image_id", "y", "x", F.lit(1).alias("is_query"))
+            .unionByName(targets.select("image_id", "y", "x", F.lit(0).alias("is_query"))))
+    near = materialize(map_tiles(halo_copies(both, radius, edge), _near_tiles(radius, edge), f"image_id {key}, y int, x int, d2 bigint"))
     far = near.where("d2 < 0").drop("d2")
     found = near.where("d2 >= 0")
     return found if far.isEmpty() else found.unionByName(_far_d2(far, targets))
