@@ -11,6 +11,7 @@ from checks.q_shapes import CLDICE, CLDICE_VALUE, label_cte
 from checks.q_steplog import SMALL_STAGES
 from checks.registry import query
 from pixtab.functions import strips as st
+from pixtab.functions.keys import spread_out
 from pixtab.functions.lineage import materialize
 from pixtab.operators import distance, filters, linking, losses, metrics, patches, seeds, steplog, summaries
 from pixtab.plans import centerlines, enhance, evaluation
@@ -146,9 +147,10 @@ UNION ALL SELECT DISTINCT user_id, 1, 96, 96, 0.5::DOUBLE FROM events WHERE user
 def f3_heat(spark, sf):
     """Heatmap, border suppression and peaks one after the other: a heatmap has touched pixels only."""
     canvas = fx.curve_canvas(spark, sf)
-    fov = canvas.selectExpr("image_id", "h", "explode(sequence(48, 144)) AS x").selectExpr("image_id", "x", "explode(sequence(0, h - 1)) AS y")
+    rows = spread_out(canvas, "image_id").selectExpr("image_id", "h", "explode(sequence(48, 144)) AS x")
+    fov = rows.selectExpr("image_id", "x", "explode(sequence(0, h - 1)) AS y")
     heat = fx.rounded(seeds.seed_heatmap(fx.points_gt(spark, sf), canvas, 2.0))
-    heat = materialize(seeds.suppress_border(heat, fov, canvas, kernel=3, margin=6))
+    heat = seeds.suppress_border(heat, fov, canvas, kernel=3, margin=6)
     return seeds.select_peaks(heat, canvas, 0.3, 5, 12, exclude_border=False)
 
 

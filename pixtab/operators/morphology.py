@@ -7,15 +7,17 @@ span of every row, so a radius-40 ellipse costs 81 rows per point instead of 5,0
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixtab.functions.keys import salted_join
+from pixtab.functions.keys import salted_join, spread_out
 from pixtab.functions.offsets import ellipse_rows
-from pixtab.functions.strips import TILE, at_home, halo_tiles
+from pixtab.functions.strips import BLOCK, EDGE, TILE, at_home, halo_tiles, packed
 
 PIXEL = ["image_id", "y", "x"]
 REFERENCE_DIAGONAL = 812.0
@@ -26,11 +28,12 @@ class Element(NamedTuple):
 
     spans: Column
     reach: int | None
+    rows: tuple[tuple[int, int, int], ...] = ()
 
 
 def element(rows: Sequence[tuple[int, int, int]]) -> Element:
     text = ", ".join(f"named_struct('dy', {dy}, 'lo', {lo}, 'hi', {hi})" for dy, lo, hi in rows)
-    return Element(F.expr(f"array({text})"), max(max(abs(v) for v in row) for row in rows))
+    return Element(F.expr(f"array({text})"), max(max(abs(v) for v in row) for row in rows), tuple(rows))
 
 
 def ellipse_spans(size: int) -> Element:
@@ -129,6 +132,65 @@ def erode(points: DataFrame, shape: Element, canvas: DataFrame | None = None) ->
     return got.where(F.col("_n") == need).select(*PIXEL)
 
 
+def _whole_around(rows: Sequence[tuple[int, int, int]], reach: int, edge: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per tile ``(image_id, ty, tx, h, w, at, y, x, by, bx, bits)``: for each place whether the whole element around it lies in the packed mask."""
+    side = edge + 2 * reach
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ty, tx, h, w = (batch.column(c).to_numpy() for c in ("ty", "tx", "h", "w"))
+            found = []
+            for i in range(batch.num_rows):
+                y0, x0 = int(ty[i]) * edge - reach, int(tx[i]) * edge - reach
+                there = np.zeros((side, side), bool)
+                if batch.column("by")[i].is_valid:
+                    by, bx, bits = (batch.column(c)[i].values.to_numpy() for c in ("by", "bx", "bits"))
+                    block, bit = np.nonzero(np.unpackbits(bits.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                    y, x = by[block] * BLOCK + bit // BLOCK - y0, bx[block] * BLOCK + bit % BLOCK - x0
+                    near = (y >= 0) & (y < side) & (x >= 0) & (x < side)
+                    there[y[near], x[near]] = True
+                there[:max(0, -y0)] = there[max(0, int(h[i]) - y0):] = True  # what lies off the canvas does not count
+                there[:, :max(0, -x0)] = there[:, max(0, int(w[i]) - x0):] = True
+                missing = np.zeros((side, side + 1), "int32")
+                np.cumsum(~there, axis=1, out=missing[:, 1:])
+                y, x = (batch.column(c)[i].values.to_numpy() - o for c, o in (("y", y0), ("x", x0)))
+                whole = np.ones(len(y), bool)
+                for dy, lo, hi in rows:
+                    whole &= missing[y + dy, x + hi + 1] == missing[y + dy, x + lo]
+                found.append(whole)
+            ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype("int32")
+            inside = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.empty(0, bool)])))
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("w"), batch.column("at"), inside], names=["h", "w", "at", "inside"])
+    return judge
+
+
+def whole_around(places: DataFrame, points: DataFrame, shape: Element, canvas: DataFrame, edge: int = EDGE) -> DataFrame:
+    """``places`` with ``h, w`` and the boolean ``inside``: whether ``erode(points, shape, canvas)`` holds the row's pixel.
+
+    The mask is packed before it is shuffled, and looked at only around the places, in the tile. Places of images without a canvas drop out;
+    their coordinates are not null.
+    """
+    if shape.reach is None:
+        raise ValueError("an element of one size for all images is needed")
+
+    def cover(c: str) -> Column:
+        first = F.col(c) * BLOCK
+        return F.explode(F.sequence(F.floor((first - shape.reach) / edge), F.floor((first + BLOCK - 1 + shape.reach) / edge)).cast("array<int>"))
+    blocks = packed(points).withColumn("ty", cover("by")).withColumn("tx", cover("bx"))
+    # dealt out before they are listed: packed, they look too small to Spark to keep more than one task
+    masks = spread_out(blocks, *TILE).groupBy(*TILE).agg(F.collect_list(F.struct("by", "bx", "bits")).alias("m")).hint("merge")
+    home = [F.floor(F.col(c) / edge).cast("int").alias(t) for c, t in (("y", "ty"), ("x", "tx"))]
+    rows = F.struct(*[F.col(c) for c in places.columns])
+    asked = places.select("image_id", *home, rows.alias("r")).groupBy(*TILE).agg(F.collect_list("r").alias("at"))
+    sizes = canvas.select("image_id", F.col("h").cast("long").alias("h"), F.col("w").cast("long").alias("w")).distinct()
+    met = salted_join(asked.join(masks, TILE, "left"), sizes, ["image_id"], by=("ty", "tx"))
+    met = met.select(*TILE, "h", "w", "at", F.col("at.y").alias("y"), F.col("at.x").alias("x"), "m.by", "m.bx", "m.bits")
+    at = met.schema["at"].dataType.simpleString()
+    judged = met.mapInArrow(_whole_around(shape.rows, shape.reach, edge), f"h bigint, w bigint, at {at}, inside array<boolean>")
+    out = judged.select("h", "w", F.explode(F.arrays_zip("at", "inside")).alias("_p"))
+    return out.select(*[F.col(f"_p.at.{c}").alias(c) for c in places.columns], "h", "w", F.col("_p.inside").alias("inside"))
+
+
 def close(points: DataFrame, shape: Element, canvas: DataFrame) -> DataFrame:
     """Dilate, then erode."""
     return erode(dilate(points, shape, canvas), shape, canvas)

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixtab.functions import strips as st
 from pixtab.functions.keys import first_of_each, pixel_id, salted_join
+from pixtab.functions.lineage import materialize
 from pixtab.operators.distance import nearest_d2
 from pixtab.operators.filters import gaussian_kernel
-from pixtab.operators.morphology import ellipse_spans, erode, square_spans
+from pixtab.operators.morphology import ellipse_spans, erode, square_spans, whole_around
 from pixtab.operators.neighborhood import special_points
 from pixtab.operators.patches import with_margin
 
@@ -34,21 +36,62 @@ def seed_heatmap(centerline: DataFrame, canvas: DataFrame, sigma: float = 3.0) -
         return F.explode(F.concat(F.array(F.col(c)), low, high))
 
     p = salted_join(special_points(centerline).drop("type"), canvas.select("image_id", "h", "w"), ["image_id"])
-    p = p.withColumn("sy", images_of("y", "h")).withColumn("sx", images_of("x", "w"))
-    rows = p.select("image_id", "h", "w", "sy", "sx", F.posexplode(weights).alias("i", "ky"))
-    rows = rows.withColumn("y", F.col("sy") + F.col("i") - r).where("y >= 0 AND y < h")
-    px = rows.select("image_id", "w", "y", "sx", "ky", F.posexplode(weights).alias("j", "kx"))
-    px = px.withColumn("x", F.col("sx") + F.col("j") - r).where("x >= 0 AND x < w")
-    heat = px.groupBy(*PIXEL).agg(F.sum(F.col("ky") * F.col("kx")).alias("v"))
+    p = p.select("image_id", "h", "w", images_of("y", "h").alias("y"), "x").withColumn("x", images_of("x", "w"))
+    tiled = st.halo_tiles(p, r)  # one shuffle of the impulses; what they give is summed in the tile
+    rows = tiled.select(*st.TILE, "h", "w", "y", "x", F.posexplode(weights).alias("i", "ky")).withColumn("y", F.col("y") + F.col("i") - r)
+    rows = rows.where((F.col("y") >= 0) & (F.col("y") < F.col("h")) & (F.floor(F.col("y") / st.EDGE) == F.col("ty")))
+    px = rows.select(*st.TILE, "w", "y", "x", "ky", F.posexplode(weights).alias("j", "kx")).withColumn("x", F.col("x") + F.col("j") - r)
+    px = px.where((F.col("x") >= 0) & (F.col("x") < F.col("w")) & (F.floor(F.col("x") / st.EDGE) == F.col("tx")))
+    heat = px.groupBy(*st.TILE, "y", "x").agg(F.sum(F.col("ky") * F.col("kx")).alias("v")).select(*PIXEL, "v")
     top = heat.groupBy("image_id").agg(F.max("v").alias("_m"))
     return salted_join(heat, top, ["image_id"]).select(*PIXEL, (F.col("v") / F.col("_m")).alias("v"))
 
 
 def suppress_border(heat: DataFrame, fov: DataFrame, canvas: DataFrame, kernel: int = 35, margin: int = 37) -> DataFrame:
     """Zero the heat outside the eroded field of view and within ``margin`` of the image border."""
-    inner = erode(fov, square_spans(kernel // 2), canvas).withColumn("_in", F.lit(True))
-    kept = heat.join(inner, PIXEL, "left").withColumn("v", F.when(F.col("_in"), F.col("v")).otherwise(F.lit(0.0)))
-    return with_margin(kept.drop("_in"), canvas, margin)
+    met = whole_around(heat.select(*PIXEL, "v"), fov, square_spans(kernel // 2), canvas)
+    off = F.col("y").between(margin, F.col("h") - margin - 1) & F.col("x").between(margin, F.col("w") - margin - 1)
+    return met.select(*PIXEL, F.when(F.col("inside") & off, F.col("v")).otherwise(F.lit(0.0)).alias("v"))
+
+
+def _peaks_of_tiles(radius: int, edge: int) -> st.TileWork:
+    around = sorted(((dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy or dx),
+                    key=lambda o: o[0] * o[0] + o[1] * o[1])
+    side, most = edge + 4 * radius, 64  # tiles whose blocks are held at once
+
+    def peaks(own: dict[str, np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, dict]:
+        n = len(own["y"])
+        tile = st.tile_of_rows(starts, n)
+        y = own["y"].astype("int64") - own["ty"].astype("int64") * edge + 2 * radius
+        x = own["x"].astype("int64") - own["tx"].astype("int64") * edge + 2 * radius
+        place = np.empty(n, "int32")  # greater values first, then smaller (y, x)
+        place[np.lexsort((-x, -y, own["v"]))] = np.arange(1, n + 1)
+        at = ((tile % most) * side + y) * side + x
+        found = [np.empty(0, "int64")]
+        for first in range(0, len(starts), most):
+            lo, hi = starts[first], starts[first + most] if first + most < len(starts) else n
+            block = np.zeros(min(most, len(starts) - first) * side * side, "int32")
+            block[at[lo:hi]] = place[lo:hi]
+            if np.any(block[at[lo:hi]] != place[lo:hi]):
+                raise ValueError("a pixel of the grid is given twice")
+            home = (y[lo:hi] >= 2 * radius) & (y[lo:hi] < edge + 2 * radius) & (x[lo:hi] >= 2 * radius) & (x[lo:hi] < edge + 2 * radius)
+            left = lo + np.flatnonzero(home)
+            for dy, dx in around:
+                left = left[block[at[left] + dy * side + dx] < place[left]]
+            found.append(left)
+        at = np.concatenate(found)
+        return at, {c: own[c][at] for c in ("y", "x", "v")}
+    return peaks
+
+
+def _dense_peaks(heat: DataFrame, canvas: DataFrame, radius: int, edge: int) -> DataFrame:
+    """Maxima ``(image_id, y, x, v)`` of their neighbourhood among all pixels of the canvas."""
+    s = st.to_strips(heat, radius, edge=edge, canvas=canvas.select("image_id", "h", "w"), fill=0).drop("h", "w")
+    ranked_value = F.transform("v", lambda v, i: F.struct(v.alias("v"), (-pixel_id(F.col("y"), F.col("x0") + i)).alias("neg")))
+    s = s.withColumn("m", ranked_value).withColumn("own", F.col("m"))
+    s = st.pool(s, "m", radius)
+    s = s.withColumn("k", F.zip_with("own", "m", lambda a, b: a == b))
+    return st.to_pixels(s, ["v", "k"], edge).where("k").drop("k")
 
 
 def select_peaks(heat: DataFrame, canvas: DataFrame, threshold: float, radius: int, top_k: int,
@@ -57,19 +100,23 @@ def select_peaks(heat: DataFrame, canvas: DataFrame, threshold: float, radius: i
 
     Equal values within ``radius`` go to the smallest (y, x). An image where nothing exceeds the
     threshold gets its centre with confidence 0.5. Pixels missing from ``heat`` are 0.
+
+    Only a pixel above the threshold can be a peak or stand against one, so only these are stored and go to their tiles, unless
+    the threshold is below the 0 of missing pixels.
     """
-    s = st.to_strips(heat, radius, edge=edge, canvas=canvas.select("image_id", "h", "w"), fill=0).drop("h", "w")
-    ranked_value = F.transform("v", lambda v, i: F.struct(v.alias("v"), (-pixel_id(F.col("y"), F.col("x0") + i)).alias("neg")))
-    s = s.withColumn("m", ranked_value).withColumn("own", F.col("m"))
-    s = st.pool(s, "m", radius)
-    s = s.withColumn("k", F.zip_with("own", "m", lambda a, b: a == b))
-    peaks = st.to_pixels(s, ["v", "k"], edge).where(F.col("k") & (F.col("v") > threshold)).drop("k")
+    above = materialize(heat.select(*PIXEL, "v").where(F.col("v") > threshold))
+    if threshold >= 0:
+        on_canvas = salted_join(above.where("image_id IS NOT NULL"), canvas.select("image_id", "h", "w"), ["image_id"])
+        on_canvas = on_canvas.where("y >= 0 AND x >= 0 AND y < h AND x < w").select(*PIXEL, "v")
+        shape = ", ".join(f"{c} {on_canvas.schema[c].dataType.simpleString()}" for c in (*PIXEL, "v"))
+        peaks = st.map_tiles(st.halo_copies(on_canvas, radius, edge), _peaks_of_tiles(radius, edge), shape)
+    else:
+        peaks = _dense_peaks(heat, canvas, radius, edge).where(F.col("v") > threshold)
     if exclude_border:
         peaks = with_margin(peaks, canvas, radius).where(F.col("v") > threshold)
     best = first_of_each(peaks.withColumn("_low", -F.col("v")), ["image_id"], ["_low", "y", "x"], top_k, "rank")
     seeds = best.select("image_id", "rank", "y", "x", F.col("v").alias("confidence"))
-    loud = heat.groupBy("image_id").agg((F.max("v") > threshold).alias("_any")).where("_any").select("image_id")
-    quiet = canvas.join(loud, "image_id", "left_anti")
+    quiet = canvas.join(above.select("image_id").distinct(), "image_id", "left_anti")
     return seeds.unionByName(quiet.select("image_id", F.lit(1).alias("rank"), F.floor(F.col("h") / 2).cast("int").alias("y"),
                                           F.floor(F.col("w") / 2).cast("int").alias("x"), F.lit(0.5).alias("confidence")))
 
