@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks.registry import query
+from pixtab.functions.keys import spread_out
 from pixtab.functions.lineage import materialize
 from pixtab.functions.scan import rolling_mean
 from pixtab.operators import curriculum, returns, steplog
@@ -81,7 +82,7 @@ def starts(spark, sf):
 
 def fov_all(spark, sf):
     """Field of view of every image: the columns within 48 of the centre."""
-    rows = canvas(spark, sf).selectExpr("image_id", "h", "explode(sequence(48, 144)) AS x")
+    rows = spread_out(canvas(spark, sf), "image_id").selectExpr("image_id", "h", "explode(sequence(48, 144)) AS x")
     return rows.selectExpr("image_id", "x", "explode(sequence(0, h - 1)) AS y")
 
 

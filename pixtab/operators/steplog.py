@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pixtab.functions.keys import salted_join
 from pixtab.functions.offsets import disk, spread
 from pixtab.functions.scan import neighbour, running
-from pixtab.functions.strips import EDGE, TILE, halo_tiles
+from pixtab.functions.strips import EDGE, TILE, halo_tiles, with_membership
 from pixtab.operators.distance import visited_d2
 
 STOP = 8
@@ -59,11 +59,9 @@ def with_validity(steps: DataFrame, canvas: DataFrame, half: int, fov: DataFrame
     out = salted_join(steps, canvas.select("image_id", "h", "w"), ["image_id"], how="left", by=("step",))
     ok = F.col("y").between(half, F.col("h") - half - 1) & F.col("x").between(half, F.col("w") - half - 1)
     if fov is not None:
-        # masks are dense: keep only visited pixels (a broadcast when those are few) before the shuffle
-        seen = fov.select(*PIXEL).join(steps.select(*PIXEL).distinct(), PIXEL, "left_semi")
-        seen = seen.distinct().withColumn("_in", F.lit(True))
-        out = out.join(seen, PIXEL, "left")
-        ok = ok & F.col("_in").isNotNull()
+        # masks are dense: they are packed into blocks before the shuffle
+        out = with_membership(out, fov, "_in")
+        ok = ok & F.col("_in")
     return out.withColumn("is_valid", F.coalesce(ok, F.lit(False))).drop("h", "w", "_in")
 
 
