@@ -2,7 +2,7 @@ import corpus_pipeline
 from helpers import awkward, nothing, prose, rows_of
 
 import __spark_entry__ as entry
-from pixtab.llm import lines, packing, pii, quality, queries, simhash
+from pixtab.llm import lines, packing, pii, quality, queries, shingles, simhash
 
 WITH = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -43,3 +43,11 @@ def test_queries_are_registered():
     own = [n for n in entry.queries() if n.startswith("op")]
     assert {n.split("_")[0] for n in own} == {f"op{i}" for i in range(1, 14)} and "pipeline" in entry.queries()
     assert set(queries.ORACLES) <= set(queries.QUERIES) and packing.SIZE == 4096
+
+
+def test_near_dedup_has_the_links_of_the_simhash_operator(spark):
+    texts = ["a b c " * 60 + "x1 x2 x3 x4 x5", "a b c " * 60 + "y1 y2 y3 y4 y5", prose(1, 80), prose(1, 80).upper()]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert shingles.jaccard(shingles.shingles(texts[0].encode()), shingles.shingles(texts[1].encode())) < shingles.SIMILAR
+    assert rows_of(simhash.one_of_each(docs), "doc_id") == rows_of(docs.where("doc_id IN (0, 2)"), "doc_id")
+    assert rows_of(corpus_pipeline.near_dedup(spark, docs, ""), "doc_id") == rows_of(docs.where("doc_id IN (0, 2)"), "doc_id")
