@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixtab.functions.lineage import materialize
-from pixtab.functions.offsets import disk, spread
 from pixtab.functions.scan import running
+from pixtab.operators.morphology import dilate, disk_spans
 
 SIDE = 192
 
@@ -138,11 +138,11 @@ def points_pred(spark, sf):
 
 
 def mask_gt(spark, sf):
-    return spread(points_gt(spark, sf), disk(2)).distinct()
+    return dilate(points_gt(spark, sf), disk_spans(2))
 
 
 def mask_pred(spark, sf):
-    return spread(points_pred(spark, sf), disk(2)).distinct()
+    return dilate(points_pred(spark, sf), disk_spans(2))
 
 
 def curve_canvas(spark, sf):

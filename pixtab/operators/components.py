@@ -11,13 +11,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixtab.functions.keys import id_x, id_y, pixel_id, salted_join, spread_out
+from pixtab.functions.keys import id_x, id_y, pixel_id, salted_join
 from pixtab.functions.lineage import materialize
-from pixtab.functions.strips import EDGE
+from pixtab.functions.strips import EDGE, TileWork, map_tiles, tile_of_rows
 
 _FORWARD8 = [(0, 1), (1, -1), (1, 0), (1, 1)]
 _FORWARD4 = [(0, 1), (1, 0)]
@@ -32,18 +31,28 @@ class Labelled:
     pieces: DataFrame
 
 
-def _label_tile(pdf: pd.DataFrame, forward: Sequence[tuple[int, int]]) -> pd.DataFrame:
-    pdf = pdf.sort_values(["y", "x"])
-    y, x = pdf["y"].to_numpy("int64"), pdf["x"].to_numpy("int64")
-    code = (y << 32) + x
-    a, b = [], []
-    for dy, dx in forward:
-        at = np.searchsorted(code, code + (dy << 32) + dx)
-        hit = np.flatnonzero(code[np.minimum(at, len(code) - 1)] == code + (dy << 32) + dx)
-        a.append(hit)
-        b.append(at[hit])
-    root = _roots(len(code), np.concatenate(a), np.concatenate(b))
-    return pd.DataFrame({"image_id": pdf["image_id"].to_numpy(), "y": y, "x": x, "piece": code[root]})
+def _places(y: np.ndarray, x: np.ndarray, own: dict, tile: np.ndarray, edge: int) -> np.ndarray:
+    """A number per pixel that orders by (tile, y, x); neighbours in a tile differ by the same number everywhere, pixels of two tiles never touch."""
+    wide = edge + 2
+    return (tile * wide + y - own["ty"].astype("int64") * edge + 1) * wide + x - own["tx"].astype("int64") * edge + 1
+
+
+def _label_tiles(forward: Sequence[tuple[int, int]], edge: int) -> TileWork:
+    def label(own: dict[str, np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, dict]:
+        y, x = own["y"].astype("int64"), own["x"].astype("int64")
+        at = _places(y, x, own, tile_of_rows(starts, len(y)), edge)
+        order = np.argsort(at, kind="stable")
+        at, a, b = at[order], [], []
+        for dy, dx in forward:
+            goal = at + dy * (edge + 2) + dx
+            to = np.searchsorted(at, goal)
+            hit = np.flatnonzero(at[np.minimum(to, len(at) - 1)] == goal)
+            a.append(hit)
+            b.append(to[hit])
+        y, x = y[order], x[order]
+        root = _roots(len(at), np.concatenate(a), np.concatenate(b))
+        return order, {"y": y, "x": x, "piece": ((y << 32) + x)[root]}
+    return label
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -61,27 +70,34 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         parent = new
 
 
-def _link_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Label one tile by explicit links ``to`` (pixel ids, null when there is none)."""
-    pdf = pdf.sort_values(["y", "x"])
-    code = (pdf["y"].to_numpy("int64") << 32) + pdf["x"].to_numpy("int64")
-    has = pdf["to"].notna().to_numpy()
-    to = pdf["to"].fillna(-1).astype("int64").to_numpy()
-    at = np.minimum(np.searchsorted(code, to), len(code) - 1)
-    inside = np.flatnonzero(has & (code[at] == to))
-    return pdf.assign(piece=code[_roots(len(code), inside, at[inside])])
+def _link_tiles(edge: int) -> TileWork:
+    """Labels by explicit links ``to`` (pixel ids, -1 when there is none)."""
+    def label(own: dict[str, np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, dict]:
+        y, x, to = (own[c].astype("int64") for c in ("y", "x", "to"))
+        tile = tile_of_rows(starts, len(y))
+        at = _places(y, x, own, tile, edge)
+        order = np.argsort(at, kind="stable")
+        goal = _places(to >> 32, to & 0xFFFFFFFF, own, tile, edge)
+        inside = (to >= 0) & ((to >> 32) // edge == own["ty"]) & ((to & 0xFFFFFFFF) // edge == own["tx"])
+        at, goal, inside = at[order], goal[order], inside[order]
+        place = np.minimum(np.searchsorted(at, goal), len(at) - 1)
+        hit = np.flatnonzero(inside & (at[place] == goal))
+        y, x = y[order], x[order]
+        return order, {"y": y, "x": x, "to": to[order], "piece": ((y << 32) + x)[_roots(len(at), hit, place[hit])]}
+    return label
 
 
 def _tiled(px: DataFrame, edge: int) -> DataFrame:
     out = px.withColumn("ty", F.floor(F.col("y") / edge).cast("int")).withColumn("tx", F.floor(F.col("x") / edge).cast("int"))
-    return spread_out(out, "image_id", "ty", "tx")
+    return out
 
 
 def label_links(links: DataFrame, edge: int = EDGE) -> Labelled:
     """Components of pixels that name at most one other pixel each: ``(image_id, y, x, to)``."""
     key = links.schema["image_id"].dataType.simpleString()
-    px = materialize(_tiled(links.select(*PIXEL, "to"), edge).groupBy("image_id", "ty", "tx").applyInPandas(
-        lambda pdf: _link_tile(pdf)[["image_id", "y", "x", "to", "piece"]], f"image_id {key}, y int, x int, to bigint, piece bigint"))
+    px = map_tiles(_tiled(links.select(*PIXEL, F.coalesce("to", F.lit(-1)).alias("to")), edge), _link_tiles(edge),
+                   f"image_id {key}, y int, x int, to bigint, piece bigint")
+    px = materialize(px.withColumn("to", F.when(F.col("to") >= 0, F.col("to"))))
     ends = px.select("image_id", pixel_id().alias("to"), F.col("piece").alias("b"))
     over = (px.where("to IS NOT NULL").where(
         (F.floor(id_y(F.col("to")) / edge) != F.floor(F.col("y") / edge)) | (F.floor(id_x(F.col("to")) / edge) != F.floor(F.col("x") / edge)))
@@ -129,8 +145,7 @@ def label_components(points: DataFrame, diagonal: bool = True, edge: int = EDGE)
     """Label an arbitrary point set; 8-connected when ``diagonal``, else 4-connected."""
     forward = _FORWARD8 if diagonal else _FORWARD4
     key = points.schema["image_id"].dataType.simpleString()
-    px = materialize(_tiled(points.select(*PIXEL), edge).groupBy("image_id", "ty", "tx").applyInPandas(
-        lambda pdf: _label_tile(pdf, forward), f"image_id {key}, y int, x int, piece bigint"))
+    px = materialize(map_tiles(_tiled(points.select(*PIXEL), edge), _label_tiles(forward, edge), f"image_id {key}, y int, x int, piece bigint"))
     rim = px.where(F.pmod("y", F.lit(edge)).isin(0, edge - 1) | F.pmod("x", F.lit(edge)).isin(0, edge - 1))
     reach = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in forward])
     over = rim.select("image_id", "y", "x", "piece", F.explode(reach).alias("o")).select(

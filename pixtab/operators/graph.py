@@ -7,16 +7,13 @@ by pointer doubling, in about log2(borders crossed) joins.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixtab.functions.keys import id_x, id_y, pixel_id, ranked, salted_join, spread_out
+from pixtab.functions.keys import id_x, id_y, pixel_id, ranked, salted_join
 from pixtab.functions.lineage import materialize
-from pixtab.functions.strips import EDGE, TILE
+from pixtab.functions.strips import EDGE, TileWork, map_tiles, tile_of_rows
 from pixtab.operators.components import min_labels
 from pixtab.operators.neighborhood import special_points
 from pixtab.operators.thinning import adjacency, thin
@@ -35,23 +32,26 @@ def _gap(a: Column, b: Column) -> Column:
     return F.when(straight, F.lit(1.0)).otherwise(F.sqrt(F.lit(2.0)))
 
 
-def _contract_tile(edge: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Follows all states of a tile at once, by pointer jumping over its block; closed rings are dropped."""
-    def contract(pdf: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = int(pdf["ty"].iloc[0]) * edge, int(pdf["tx"].iloc[0]) * edge
-        a, b, na, nb, end, last = (pdf[c].to_numpy("int64").copy() for c in ("a", "b", "na", "nb", "end", "last"))
-        d, e = np.ones(len(pdf), "int64"), pdf["e"].to_numpy("float64").copy()
+def _contract_tiles(edge: int) -> TileWork:
+    """Follows all states of the tiles at once, by pointer jumping; closed rings are dropped."""
+    def contract(own: dict[str, np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, dict]:
+        a, b, na, nb, end, last = (own[c].astype("int64") for c in ("a", "b", "na", "nb", "end", "last"))
+        n, e = len(a), own["e"].astype("float64")
+        d, tile = np.ones(n, "int64"), tile_of_rows(starts, n)
+        y0, x0 = own["ty"].astype("int64") * edge, own["tx"].astype("int64") * edge
 
         def places(before: np.ndarray, at: np.ndarray) -> np.ndarray:
-            """Number of the state (before -> at): the pixel's place in the block and the side it is entered from."""
+            """Number of the state (before -> at): the pixel's place in its tile and the side it is entered from."""
             y, x = at >> 32, at & 0xFFFFFFFF
             side = ((before >> 32) - y + 1) * 3 + (before & 0xFFFFFFFF) - x + 1
-            return np.where((y // edge * edge == y0) & (x // edge * edge == x0), ((y - y0) * edge + x - x0) * 9 + side, -1)
-        state = np.full(edge * edge * 9, -1, "int64")
-        state[places(a, b)] = np.arange(len(pdf))
-        ahead = np.where(na >= 0, places(na, nb), -1)
-        ahead = np.where(ahead >= 0, state[ahead], -1)
-        for _ in range(len(pdf).bit_length() + 1):
+            inside = (y // edge * edge == y0) & (x // edge * edge == x0)
+            return np.where(inside, ((tile * edge + y - y0) * edge + x - x0) * 9 + side, -1)
+        state = places(a, b)
+        order = np.argsort(state, kind="stable")
+        known, goal = state[order], np.where(na >= 0, places(na, nb), -1)
+        at = np.maximum(np.searchsorted(known, goal, side="right") - 1, 0)
+        ahead = np.where((goal >= 0) & (known[at] == goal), order[at], -1)
+        for _ in range(n.bit_length() + 1):
             i = np.flatnonzero(ahead >= 0)
             if not i.size:
                 break
@@ -59,9 +59,9 @@ def _contract_tile(edge: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
             d[i] += d[j]
             e[i] += e[j]
             end[i], last[i], na[i], nb[i], ahead[i] = end[j], last[j], na[j], nb[j], ahead[j]
-        out = pd.DataFrame({"a": a, "b": b, "d": d, "e": e, "end": end, "last": last, "na": na, "nb": nb})[ahead < 0]
-        out.insert(0, "image_id", pdf["image_id"].iloc[0])
-        return out
+        rows = np.flatnonzero(ahead < 0)
+        made = {"a": a, "b": b, "d": d, "e": e, "end": end, "last": last, "na": na, "nb": nb}
+        return rows, {c: v[rows] for c, v in made.items()}
     return contract
 
 
@@ -74,8 +74,8 @@ def contracted(states: DataFrame, edge: int = EDGE) -> tuple[DataFrame, DataFram
     key = states.schema["image_id"].dataType.simpleString()
     tiled = states.select("*", F.floor(id_y(F.col("b")) / edge).cast("int").alias("ty"), F.floor(id_x(F.col("b")) / edge).cast("int").alias("tx"))
     filled = tiled.na.fill(-1, ["end", "last", "na", "nb"])  # as missing numbers, 64-bit ids would not stay exact
-    local = spread_out(filled, *TILE).groupBy(*TILE).applyInPandas(
-        _contract_tile(edge), f"image_id {key}, a bigint, b bigint, d bigint, e double, end bigint, last bigint, na bigint, nb bigint")
+    local = map_tiles(filled, _contract_tiles(edge),
+                      f"image_id {key}, a bigint, b bigint, d bigint, e double, end bigint, last bigint, na bigint, nb bigint")
     local = materialize(local.select("image_id", "a", "b", F.col("d").cast("int").alias("d"), "e", *[
         F.when(F.col(c) >= 0, F.col(c)).alias(c) for c in ("end", "last", "na", "nb")]))
     reached = local.where("end IS NULL").select("image_id", F.col("na").alias("a"), F.col("nb").alias("b")).distinct()

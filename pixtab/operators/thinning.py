@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pixtab.functions.keys import id_x, id_y, pixel_id
 from pixtab.functions.lineage import materialize
 from pixtab.functions.offsets import NEIGHBOURS8
-from pixtab.functions.strips import EDGE, TILE, halo_tiles, tile_votes
+from pixtab.functions.strips import EDGE, TILE, TileWork, halo_copies, map_tiles, tile_votes
 from pixtab.operators.components import remove_small
 from pixtab.operators.morphology import dilate, ellipse_spans
 
@@ -137,31 +137,33 @@ def adjacency(points: DataFrame) -> DataFrame:
     return around.select("image_id", "pid", F.array_sort(F.filter("q", lambda v: v != F.col("pid"))).alias("nbrs"))
 
 
-def _walk_tile(max_steps: int, edge: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _walk_tiles(max_steps: int, edge: int) -> TileWork:
     around = [(dy << 32) + dx for dy, dx in NEIGHBOURS8]
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf["y"].to_numpy("int64"), pdf["x"].to_numpy("int64")
-        code = (y << 32) + x
-        there = set(code.tolist())
-        home = (y // edge == pdf["ty"].iloc[0]) & (x // edge == pdf["tx"].iloc[0])
-        rows = []
-        for start in code[home].tolist():
-            if sum(start + o in there for o in around) != 1:
-                continue
-            path, seen, more = [start], {start}, True
-            while more:
-                fresh = [q for o in around if (q := path[-1] + o) in there and q not in seen]
-                more = len(fresh) == 1
-                if len(path) == max_steps:
-                    break
-                if more:
-                    path += fresh
-                    seen.add(fresh[0])
-            rows.append((start, path, not more))
-        out = pd.DataFrame(rows, columns=["start", "path", "stopped"])
-        out.insert(0, "image_id", pdf["image_id"].iloc[0])
-        return out
+    def walk(own: dict[str, np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, dict]:
+        y, x = own["y"].astype("int64"), own["x"].astype("int64")
+        codes, home = (y << 32) + x, (y // edge == own["ty"]) & (x // edge == own["tx"])
+        tiles, begun, paths, stopped = [], [], [], []
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(y)], strict=True):
+            here = codes[lo:hi][home[lo:hi]].tolist()
+            there = set(codes[lo:hi].tolist()) if here else ()
+            for start in here:
+                if sum(start + o in there for o in around) != 1:
+                    continue
+                path, seen, more = [start], {start}, True
+                while more:
+                    fresh = [q for o in around if (q := path[-1] + o) in there and q not in seen]
+                    more = len(fresh) == 1
+                    if len(path) == max_steps:
+                        break
+                    if more:
+                        path += fresh
+                        seen.add(fresh[0])
+                tiles.append(lo)
+                begun.append(start)
+                paths.append(path)
+                stopped.append(not more)
+        return np.array(tiles, "int64"), {"start": begun, "path": paths, "stopped": stopped}
     return walk
 
 
@@ -173,9 +175,8 @@ def walk_branches(points: DataFrame, max_steps: int, edge: int = EDGE) -> DataFr
     shuffle of the pixels, whatever the length, and no task holds more than a tile.
     """
     key = points.schema["image_id"].dataType.simpleString()
-    tiled = halo_tiles(points.select(*PIXEL).distinct(), max_steps, edge)
-    return tiled.groupBy(*TILE).applyInPandas(_walk_tile(max_steps, edge),
-                                              f"image_id {key}, start bigint, path array<bigint>, stopped boolean")
+    tiled = halo_copies(points.select(*PIXEL).distinct(), max_steps, edge)
+    return map_tiles(tiled, _walk_tiles(max_steps, edge), f"image_id {key}, start bigint, path array<bigint>, stopped boolean")
 
 
 def branch_lengths(points: DataFrame, max_steps: int = 100) -> DataFrame:
