@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -257,20 +256,22 @@ def convolve(strips: DataFrame, passes: Mapping[str, tuple[Sequence[float], Sequ
     """
     key = strips.schema["image_id"].dataType.simpleString()
 
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("y")
-        y0, x0, h, w = (int(pdf[c].iloc[0]) for c in ("y", "x0", "h", "w"))
-        block = np.stack(pdf[value].to_numpy())
-        rows: dict[int, np.ndarray] = {}
-        out = pdf[[*TILE, "y", "x0"]].copy()
+    def tile(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("y")
+        y0, x0, h, w = (rows[c][0].as_py() for c in ("y", "x0", "h", "w"))
+        block = rows[value].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, -1)
+        ends = pa.array(np.arange(rows.num_rows + 1, dtype="int32") * block.shape[1], pa.int32())
+        made: dict[int, np.ndarray] = {}
+        out = {c: rows[c].cast(pa.int32()) if c != "image_id" else rows[c] for c in (*TILE, "y", "x0")}
         if keep:
-            out[value] = pdf[value]
+            out[value] = pa.ListArray.from_arrays(ends, pa.array(block.ravel()))
         for name, (along_x, along_y) in passes.items():
-            if id(along_x) not in rows:
-                rows[id(along_x)] = _slide(block, along_x, x0, w, mirror)
-            out[name] = list(_slide(rows[id(along_x)].T, along_y, y0, h, mirror).T)
-        return out
+            if id(along_x) not in made:
+                made[id(along_x)] = _slide(block, along_x, x0, w, mirror)
+            done = _slide(made[id(along_x)].T, along_y, y0, h, mirror).T
+            out[name] = pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(done).ravel()))
+        return pa.table(out)
 
     schema = f"image_id {key}, ty int, tx int, y int, x0 int, " + ", ".join(
         f"`{n}` array<double>" for n in [*([value] if keep else []), *passes])
-    return strips.select(*TILE, "y", "x0", value, "h", "w").groupBy(*TILE).applyInPandas(tile, schema)
+    return strips.select(*TILE, "y", "x0", value, "h", "w").groupBy(*TILE).applyInArrow(tile, schema)

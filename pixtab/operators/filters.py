@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,6 +157,30 @@ def soft_skeleton(grid: DataFrame, iterations: int = 10, values: Sequence[str] =
     return st.to_pixels(s, values, edge)
 
 
+def _equalised(clip: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per region ``(image_id, ry, rx, v, n, area)``, listed counts of 8-bit values: its table of 256 equalised values."""
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = np.arange(256)
+        for batch in batches:
+            rows, v, n = batch.num_rows, batch.column("v"), batch.column("n")
+            v, n, of = v.flatten().to_numpy(), n.flatten().to_numpy(), np.repeat(np.arange(rows), pc.list_value_length(v).to_numpy())
+            if v.size and (v.min() < 0 or v.max() > 255):
+                raise ValueError("an 8-bit grid is needed")
+            counts = np.zeros((rows, 256), "int64")
+            counts[of, v] = n
+            area = batch.column("area").to_numpy()[:, None]
+            limit = np.maximum(np.floor(clip * area / 256).astype("int64"), 1)
+            excess = np.maximum(counts - limit, 0).sum(axis=1, keepdims=True)
+            rest = excess % 256
+            stride = np.maximum(256 // np.maximum(rest, 1), 1)
+            even = np.minimum(counts, limit) + excess // 256 + ((level % stride == 0) & (level // stride < rest))
+            lut = np.minimum(np.rint(np.cumsum(even, axis=1) * (255.0 / area)), 255).astype("int32")
+            ends = pa.array(np.arange(rows + 1, dtype="int32") * 256, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("image_id", "ry", "rx")), pa.ListArray.from_arrays(ends, pa.array(lut.ravel()))],
+                                             names=["image_id", "ry", "rx", "lut"])
+    return tables
+
+
 def clahe(grid: DataFrame, clip: float = 2.5, tiles: int = 8) -> DataFrame:
     """Contrast-limited equalisation of 8-bit grids on ``tiles`` x ``tiles`` regions.
 
@@ -174,23 +201,10 @@ def clahe(grid: DataFrame, clip: float = 2.5, tiles: int = 8) -> DataFrame:
     hist = (parts.groupBy("image_id", F.floor(F.col("_py") / F.col("th")).cast("int").alias("ry"),
                           F.floor(F.col("_px") / F.col("tw")).cast("int").alias("rx"), "v")
             .agg(F.count(F.lit(1)).cast("int").alias("n"), F.first(F.col("th") * F.col("tw")).alias("area")))
-    full = hist.groupBy(*region).agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("m"), F.first("area").alias("area"))
-    limit = F.greatest(F.floor(clip * F.col("area") / 256).cast("int"), F.lit(1))
-    gap = lambda upto, have: F.array_repeat(F.lit(0), upto - F.size(have))
-    filled = F.aggregate("m", F.array().cast("array<int>"), lambda acc, s: F.concat(acc, gap(s["v"], acc), F.array(s["n"])))
-    full = full.withColumn("m", filled)
-    counts = F.concat("m", gap(F.lit(256), F.col("m")))
-    full = full.withColumn("c", counts).withColumn("limit", limit)
-    full = full.withColumn("excess", F.aggregate("c", F.lit(0), lambda a, b: a + F.greatest(b - F.col("limit"), F.lit(0))))
-    rest = F.col("excess") % 256
-    stride = F.greatest(F.floor(256 / F.greatest(rest, F.lit(1))).cast("int"), F.lit(1))
-    full = full.select(*region, "area", "limit", "excess", rest.alias("rest"), stride.alias("stride"), F.posexplode("c").alias("v", "n"))
-    bonus = F.when((F.col("v") % F.col("stride") == 0) & (F.floor(F.col("v") / F.col("stride")) < F.col("rest")), 1).otherwise(0)
-    even = F.least("n", "limit") + F.floor(F.col("excess") / 256).cast("int") + bonus
-    upto = Window.partitionBy(*region).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    lut = full.withColumn("e", even).withColumn("s", F.sum("e").over(upto))
-    lut = lut.withColumn("l", F.least(F.rint(F.col("s") * (255.0 / F.col("area"))), F.lit(255)).cast("int"))
-    lut = lut.groupBy(*region).agg(F.transform(F.sort_array(F.collect_list(F.struct("v", "l"))), lambda s: s["l"]).alias("lut"))
+    full = hist.groupBy(*region).agg(F.collect_list("v").alias("v"), F.collect_list("n").alias("n"), F.first("area").alias("area"),
+                                     F.bool_or(F.col("v").isNull()).alias("gap")).where("NOT gap").drop("gap")
+    key = grid.schema["image_id"].dataType.simpleString()
+    lut = full.mapInArrow(_equalised(clip), f"image_id {key}, ry int, rx int, lut array<int>")
 
     def corners(c: str) -> Column:
         """Interpolation cells a region serves, as their low (0) or high (1) side."""

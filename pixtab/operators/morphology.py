@@ -1,8 +1,8 @@
 """Binary morphology on sparse point sets.
 
 A structuring element is an array of row spans ``struct(dy, lo, hi)``, a constant or computed per image
-from its size. Dilation spreads points; erosion compares each point's horizontal run with the
-span of every row, so a radius-40 ellipse costs 81 rows per point instead of 5,000.
+from its size. Dilation spreads points; erosion shrinks each horizontal run by the span of every row,
+so a radius-40 ellipse costs 81 rows per run, and 81 votes per point instead of 5,000.
 """
 
 from __future__ import annotations
@@ -111,25 +111,26 @@ def erode(points: DataFrame, shape: Element, canvas: DataFrame | None = None) ->
     if shape.reach is not None:
         sized, keys = halo_tiles(sized, shape.reach).dropDuplicates([*TILE, "y", "x"]), TILE
     row = Window.partitionBy(*keys, "y")
-    run = sized.withColumn("_g", F.col("x") - F.row_number().over(row.orderBy("x")))
-    span = Window.partitionBy(*keys, "y", "_g")
-    run = run.withColumn("_a", F.min("x").over(span)).withColumn("_b", F.max("x").over(span)).drop("_g")
+    sizes = ["h", "w"] if canvas is not None else []
+    carried = [c for c in sized.columns if c not in (*keys, "y", "x")]  # what spans may use; the same for all pixels of an image
+    run = sized.withColumn("_g", F.col("x") - F.row_number().over(row.orderBy("x"))).groupBy(*keys, "y", "_g").agg(
+        F.min("x").alias("_a"), F.max("x").alias("_b"), *[F.first(c).alias(c) for c in carried])
     run = run.withColumn("_s", shape.spans)
-    run = run.withColumn("_first", F.element_at("_s", 1)["dy"]).withColumn("_last", F.element_at("_s", -1)["dy"])
-    extra = ["h"] if canvas is not None else []
-    run = run.withColumn("_e", F.explode("_s"))
-    lo, hi = F.col("x") + F.col("_e.lo"), F.col("x") + F.col("_e.hi")
+    run = run.select(*keys, "y", "_a", "_b", *sizes, F.element_at("_s", 1)["dy"].alias("_first"),
+                     F.element_at("_s", -1)["dy"].alias("_last"), F.explode("_s").alias("_e"))
+    # of a run, the places whose span of this row lies in the run: an interval again
+    lo, hi = F.greatest("_a", F.col("_a") - F.col("_e.lo")), F.least("_b", F.col("_b") - F.col("_e.hi"))
     if canvas is not None:
-        lo, hi = F.greatest(lo, F.lit(0)), F.least(hi, F.col("w") - 1)
-    ok = run.where((F.col("_a") <= lo) & (F.col("_b") >= hi))
-    votes = _home(ok.withColumn("y", F.col("y") - F.col("_e.dy")), keys)
-    got = votes.groupBy(*keys, "y", "x").agg(F.count(F.lit(1)).alias("_n"), F.first("_first").alias("_first"),
-                                            F.first("_last").alias("_last"), *[F.first(c).alias(c) for c in extra])
-    need = F.col("_last") - F.col("_first") + 1
+        lo, hi = F.when(F.col("_a") <= 0, F.col("_a")).otherwise(lo), F.when(F.col("_b") >= F.col("w") - 1, F.col("_b")).otherwise(hi)
+    y, need = F.col("y") - F.col("_e.dy"), F.col("_last") - F.col("_first") + 1
     if canvas is not None:
-        need = F.least(F.col("_last"), F.col("h") - 1 - F.col("y")) - F.greatest(F.col("_first"), -F.col("y")) + 1
-        got = got.where("y >= 0 AND y < h")
-    return got.where(F.col("_n") == need).select(*PIXEL)
+        need = F.least(F.col("_last"), F.col("h") - 1 - y) - F.greatest(F.col("_first"), -y) + 1
+    votes = run.select(*keys, y.alias("y"), need.alias("_need"), lo.alias("_lo"), hi.alias("_hi"), *sizes).where("_lo <= _hi")
+    if canvas is not None:
+        votes = votes.where("y >= 0 AND y < h")
+    votes = _home(votes.select(*keys, "y", "_need", F.explode(F.sequence("_lo", "_hi")).alias("x")), keys)
+    got = votes.groupBy(*keys, "y", "x").agg(F.count(F.lit(1)).alias("_n"), F.first("_need").alias("_need"))
+    return got.where("_n = _need").select(*PIXEL)
 
 
 def _whole_around(rows: Sequence[tuple[int, int, int]], reach: int, edge: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixtab.functions import strips
-from pixtab.operators import components, distance, morphology, patches, seeds, steplog
+from pixtab.operators import components, distance, filters, morphology, patches, seeds, steplog
 
 
 def plan(df):
@@ -88,3 +88,18 @@ def test_tiles_come_whole_and_many_at_once(spark, points):
     assert "FlatMapGroupsInPandas" not in plan(components.label_components(px, edge=4).pixels)
     found = components.labels_of(components.label_components(px, edge=4)).groupBy("image_id").agg(F.count_distinct("label").alias("n"))
     assert found.where("n = 1").count() == 300
+
+
+def test_vesselness_steps_work_on_runs_regions_and_arrays(spark):
+    side, px = 19, [(y, x) for y in range(19) for x in range(19) if (y * 7 + x * 3) % 11 and (y, x) != (9, 9)]
+    mask = spark.createDataFrame([(0, y, x) for y, x in px], "image_id int, y int, x int")
+    canvas = spark.createDataFrame([(0, side, side)], "image_id int, h int, w int")
+    sized = morphology.erode(mask, morphology.ellipse_spans_of(F.rint(F.col("h") / 6).cast("int")), canvas)
+    physical = plan(sized).split("== Physical Plan ==")[1]
+    assert physical.count("Window [") == 1 and "min(x" in physical  # runs are aggregated, no window for each pixel's run
+    assert {tuple(r) for r in sized.collect()} == {tuple(r) for r in morphology.erode(mask, morphology.ellipse_spans(3), canvas).collect()}
+    near = [(dy, x) for dy, lo, hi in morphology.ellipse_spans(3).rows for x in range(lo, hi + 1)]
+    want = {(0, y, x) for y, x in px if all((y + a, x + b) in px or not (0 <= y + a < side and 0 <= x + b < side) for a, b in near)}
+    assert {tuple(r) for r in sized.collect()} == want and want
+    assert "Pandas" not in plan(filters.gaussian(image(spark), 1.0))
+    assert "Window" not in plan(filters.clahe(image(spark).withColumn("v", F.col("v") % 256)))
