@@ -388,3 +388,65 @@ def test_full_buckets_of_the_last_level_are_searched(spark):
     nodes = spark.createDataFrame([(1 << k,) for k in range(6)], "fp long")
     found = hamming.links(nodes, 3, lambda free, radius: [free & (0xFFFF << 40)], bucket=2, last=48)
     assert {r["node"] for r in min_roots(found).collect()} == {1 << k for k in range(6)}
+
+
+def near_pairs(n=1600):
+    """Lines and edited copies of them, from a few edits to too many, all over the line or at its beginning; behind them lines of other letters."""
+    r = random.Random(5)
+    out = []
+    for i in range(n):
+        x = "".join(r.choice("etaoin srhl") for _ in range(r.randint(70, 400)))
+        y, much = list(x), r.randint(0, int(0.3 * len(x)))
+        for _ in range(much):
+            at = r.randrange(len(y) + 1) if i % 2 else min(len(y), r.randrange(20))
+            kind = r.randrange(3)
+            if kind == 0:
+                y.insert(at, r.choice("xyz q"))
+            elif at < len(y):
+                y[at:at + 1] = [] if kind == 1 else [r.choice("etao n")]
+        out += [x, "".join(y) if i % 4 else "".join(r.choice("etaoin srhl") for _ in range(len(x)))]
+    return out
+
+
+def test_bound_of_distances_never_drops_a_similar_pair():
+    own = near_pairs()
+    at = np.arange(0, len(own), 2)
+    true = np.array([lines.similar(own[i], own[i + 1]) for i in at])
+    for a, b in ((at, at + 1), (at + 1, at)):
+        out = lines.unlike(lines.Letters(own), a, b)
+        assert true.sum() > 400 and not (out & true).any()
+        assert out[~true].sum() > 0.7 * len(at) / 4  # most of the lines of other letters
+    low, high, n = np.zeros(3, int), np.array([70, 64, 0]), np.arange(3)
+    got = lines.least_distances(lines.Letters(["a" * 64, "ab" * 32, "x" * 64, "b" * 5 + "a" * 65, "ab" * 32, "x"]), n, np.zeros(3, int), n + 3, low, high)
+    assert got.tolist() == [0, 0, 64]
+    assert not lines.unlike(lines.Letters([]), np.empty(0, int), np.empty(0, int)).size
+
+
+def test_candidates_bring_no_text_with_each_pair(spark, monkeypatch):
+    own = near_pairs(300)
+    texts = spark.createDataFrame([(i * 7919 - 99999, x) for i, x in enumerate(own)], "h bigint, words string")
+    some = [(i, j) for i in range(0, 600, 2) for j in (i + 1, (i + 2) % 600, (i + 41) % 600)]
+    pairs = spark.createDataFrame([(min(p) * 7919 - 99999, max(p) * 7919 - 99999) for p in some], "a bigint, b bigint")
+    want = sorted((min(p) * 7919 - 99999, max(p) * 7919 - 99999) for p in some if lines.similar(own[min(p)], own[max(p)]))
+    for share in (lines.SHARE, 9000):  # many shares, too
+        monkeypatch.setattr(lines, "SHARE", share)
+        got = lines.true_pairs(pairs, texts)
+        assert sorted(tuple(r) for r in got.collect()) == want and want
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # texts meet cells, not pairs
+    assert lines.true_pairs(pairs.limit(0), texts.limit(0)).count() == 0
+
+
+def test_all_pairs_of_a_bucket_come_once():
+    r = np.random.default_rng(3)
+    f = r.integers(0, 2**62, (6, 2))[r.integers(0, 6, 400)]
+    for _ in range(8):
+        f[np.arange(400), r.integers(0, 2, 400)] ^= 1 << r.integers(0, 62, 400)
+    f.view(np.uint8).reshape(400, 16)[:, 2] = 7
+    v, root = f.view(np.uint8).reshape(400, 16), r.integers(0, 300, 400)
+    own = {"h": np.arange(400), "root": root, "fa": f[:, 0].copy(), "fb": f[:, 1].copy(), "last": np.full(400, 2), "second": np.full(400, -1)}
+    got = [p for a, b in agree.meet_others(own, 26, agree.anyway) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if root[i] != root[j] and (np.unpackbits(v[i] ^ v[j])).sum() <= 26
+            and not (v[i] == v[j])[:2].any() and (v[i] == v[j])[3:].any()}
+    assert len(got) == len(set(got)) and {p for p in got if not (v[p[0]] == v[p[1]])[:2].any()} == want and want
+    done = np.cumsum([5, 0, 9, 1, 1, 1, 30])
+    assert list(agree._shares(done, 10)) == [(0, 2), (2, 4), (4, 6), (6, 7)]
