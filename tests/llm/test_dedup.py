@@ -450,3 +450,61 @@ def test_all_pairs_of_a_bucket_come_once():
     assert len(got) == len(set(got)) and {p for p in got if not (v[p[0]] == v[p[1]])[:2].any()} == want and want
     done = np.cumsum([5, 0, 9, 1, 1, 1, 30])
     assert list(agree._shares(done, 10)) == [(0, 2), (2, 4), (4, 6), (6, 7)]
+
+
+def shuffled_lines(n, size=14, seed=21):
+    """Lines of the same words in other orders: their SimHashes are near, but hardly any two are similar. Some have a similar one."""
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdefghijklmnoprstu") for _ in range(r.randint(28, 34))) for _ in range(size)]
+    out = []
+    for _ in range(n):
+        own = r.sample(words, size)
+        out.append(" ".join(own))
+        if r.random() < 0.1:
+            own[r.randrange(size)] = "other"
+            out.append(" ".join(own))
+    return list(dict.fromkeys(out))
+
+
+def test_pairs_of_unlike_lines_are_not_stored(spark):
+    own = shuffled_lines(700)
+    prints = [np.array(p, np.int64) for p in lines.prints([x.encode() for x in own])]
+    f = np.array(prints).view(np.uint64)
+    near = sum(int((np.bitwise_count(f[i + 1:] ^ f[i]).sum(axis=1) <= lines.RADIUS).sum()) for i in range(len(own)))
+    assert near > 100_000
+    docs = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+
+    def tables():
+        return {os.path.join(d, x): os.path.getsize(os.path.join(d, x)) for d, _, names in os.walk(top) if "/table-" in d for x in names if x.endswith(".parquet")}
+    before = tables()
+    left = lines.dedup_lines(docs).where("text <> ''").count()
+    assert 600 < left < len(own)
+    assert sum(v for k, v in tables().items() if k not in before) < 8 * near
+
+
+def test_cells_of_like_lines_lose_no_pair(spark, monkeypatch):
+    """Whole cells, cells dealt out by a block and by two, and pairs at the ends of classes of length."""
+    own = shuffled_lines(60, 20) + shuffled_lines(40, 12, 22) + shuffled_lines(30, 16, 23)
+    r = random.Random(24)
+    for n in (100, 125, 250, 1000):  # a fifth shorter, the most that is similar
+        base = "".join(r.choice("abcdefg ") for _ in range(n)).replace("  ", "ab").strip()
+        own += [base, base[:len(base) - len(base) // 5]]
+    own = list(dict.fromkeys(" ".join(x.split()) for x in own))
+    prints = [np.array(p, np.int64).view(np.uint8).tolist() for p in lines.prints([x.encode() for x in own])]
+    want = sorted({(lines.line_hash(a.encode()), lines.line_hash(b.encode())) if lines.line_hash(a.encode()) < lines.line_hash(b.encode()) else
+                   (lines.line_hash(b.encode()), lines.line_hash(a.encode()))
+                   for i, a in enumerate(own) for j, b in enumerate(own[:i])
+                   if print_linked(prints[i], prints[j], lines.RADIUS) and lines.similar(a, b)})
+    assert len(want) > 8
+    docs = spark.createDataFrame([(x,) for x in own], "body string")
+    rows = [(lines.line_hash(x.encode()), *p, len(x)) for x, p in zip(own, lines.prints([x.encode() for x in own]), strict=True)]
+    nodes = spark.createDataFrame([(*x, x[0]) for x in rows], "h long, fa long, fb long, letters int, root long")
+    for rows_held, letters_held, pairs in ((1 << 20, 1 << 26, 1 << 17), (20, 1 << 26, 7), (1 << 20, 3000, 50), (4, 40, 1)):
+        monkeypatch.setattr(lines, "CELL_ROWS", rows_held)
+        monkeypatch.setattr(lines, "CELL_LETTERS", letters_held)
+        monkeypatch.setattr(lines, "PAIRS", pairs)
+        assert sorted((x["a"], x["b"]) for x in lines.other_true_pairs(docs, "body", nodes).collect()) == want
+    one = nodes.withColumn("root", lines.F.lit(5).cast("long"))
+    assert lines.other_true_pairs(docs, "body", one).count() == 0
+    assert lines.other_true_pairs(docs, "body", nodes.limit(0)).count() == 0
