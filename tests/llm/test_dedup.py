@@ -508,3 +508,66 @@ def test_cells_of_like_lines_lose_no_pair(spark, monkeypatch):
     one = nodes.withColumn("root", lines.F.lit(5).cast("long"))
     assert lines.other_true_pairs(docs, "body", one).count() == 0
     assert lines.other_true_pairs(docs, "body", nodes.limit(0)).count() == 0
+
+
+def syllables(n, letters, seed=31):
+    """Lines of few syllables, which share most of their short grams, and a copy of each with edits."""
+    r = random.Random(seed)
+    parts = ["de", "la", "que ", "os", "ción", "mente ", "ra", "el ", "as", "ie", "ta", "do", "ez", "ar ", "co", "ll", "ñ", "mi "]
+    out = []
+    for i in range(n):
+        x = "".join(r.choice(parts) for _ in range(letters // 3 + r.randrange(letters // 30)))
+        y = list(x)
+        for _ in range(round(len(x) * (0.05, 0.15, 0.2, 0.22)[i % 4])):
+            at = r.randrange(len(y))
+            y[at:at + 1] = ([], [y[at], "a"], ["e"])[r.randrange(3)]
+        out += [x, "".join(y)]
+    return out
+
+
+def test_lost_grams_never_drop_a_similar_pair():
+    for own in (near_pairs(), syllables(100, 300), syllables(12, 6000)):
+        at = np.arange(0, len(own), 2)
+        true = np.array([lines.similar(own[i], own[i + 1]) for i in at])
+        assert true.sum() > 0.4 * at.size
+        for a, b in ((at, at + 1), (at + 1, at)):
+            for kinds in (1, 2):
+                for held in (own, [x[:3] for x in own], [x[:1] for x in own]):
+                    all_in_one = np.concatenate([a, a]), np.concatenate([b, np.full(a.size, b[0])])  # batches of many lines, and of one
+                    out = lines.too_many_lost(lines.Letters(held), *all_in_one, kinds)
+                    ok = np.array([lines.similar(held[i], held[j]) for i, j in zip(*all_in_one, strict=True)])
+                    assert not (out & ok).any()
+    assert not lines.too_many_lost(lines.Letters([]), np.empty(0, int), np.empty(0, int), 1).size
+
+
+def test_lost_grams_decide_most_unlike_pairs():
+    own = lines.Letters(syllables(120, 400)[::2])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(120), np.arange(120)))
+    a, b = a[a != b], b[a != b]
+    one, both = (lines.too_many_lost(own, a, b, kinds) for kinds in (1, 2))
+    assert one.mean() > 0.8 and both.mean() > 0.95 and (both | ~one).mean() > 0.99
+    # A batch is cut where tables or pairs are too many; that changes nothing.
+    for name, value in (("WALK", 50), ("TABLES", 1 << 14), ("LOOK", 3)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(lines, name, value)
+            assert (lines.too_many_lost(own, a, b, 2) == both).all()
+
+
+def test_guests_of_a_cell_are_not_compared_with_each_other(monkeypatch):
+    r = np.random.default_rng(5)
+    f = r.integers(0, 2**62, (6, 2))[r.integers(0, 6, 300)]
+    for _ in range(8):
+        f[np.arange(300), r.integers(0, 2, 300)] ^= 1 << r.integers(0, 62, 300)
+    v, root, guest = f.view(np.uint8).reshape(300, 16), r.integers(-40, 40, 300), r.random(300) < 0.8
+    own = {"h": np.arange(300), "root": root, "guest": guest, "fa": f[:, 0].copy(), "fb": f[:, 1].copy(), "last": np.full(300, -1), "second": np.full(300, -1)}
+    compared, shares = [], agree._shares
+
+    def counted(done, size):
+        compared.append(int(done[-1]) if done.size else 0)
+        return shares(done, size)
+    monkeypatch.setattr(agree, "_shares", counted)
+    got = [(min(p), max(p)) for x, y in agree.near_in_cell(own, 26, agree.anyway) for p in zip(x.tolist(), y.tolist(), strict=True)]
+    apart = [(i, j, v[i] == v[j]) for i in range(300) for j in range(i + 1, 300) if root[i] != root[j] and not (guest[i] and guest[j])]
+    want = {(i, j) for i, j, same in apart if same.sum() >= 2 and np.unpackbits(v[i] ^ v[j]).sum() <= 26}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    assert sum(compared) == sum(int(same.sum()) * (int(same.sum()) - 1) // 2 for _, _, same in apart)
