@@ -571,3 +571,23 @@ def test_guests_of_a_cell_are_not_compared_with_each_other(monkeypatch):
     want = {(i, j) for i, j, same in apart if same.sum() >= 2 and np.unpackbits(v[i] ^ v[j]).sum() <= 26}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
     assert sum(compared) == sum(int(same.sum()) * (int(same.sum()) - 1) // 2 for _, _, same in apart)
+
+
+def test_lines_of_many_documents_are_marked_together(monkeypatch):
+    texts = [f"{prose}\nonly four words here\n{prose} and more {i}\n\na b" if i % 3 else None for i, prose in enumerate(shuffled_lines(90))]
+    docs = [(t and t.encode(), i, f"id{i}") for i, t in enumerate(texts)]
+    calls, prints = [], lines.prints
+    monkeypatch.setattr(lines, "prints", lambda own: calls.append(len(own)) or prints(own))
+    for block in (lines.BLOCK, 700, 1):
+        monkeypatch.setattr(lines, "BLOCK", block)
+        calls.clear()
+        known: set[int] = set()
+        got = list(lines.line_prints(iter(docs), known))
+        assert [r[:4] for r in got] == [(i, f"id{i}", n, lines.line_hash(b" ".join(w))) for t, i, _ in docs
+                                        for n, w in enumerate(lines.normal_lines(t or b"")) if len(w) >= lines.EXACT]
+        marks = {r[3]: r[4:] for r in got if r[4] is not None}
+        own = list({b" ".join(w) for t, *_ in docs for w in lines.normal_lines(t or b"") if len(w) >= lines.WORDS})
+        assert marks == {lines.line_hash(x): (*p, *n) for x, p, n in zip(own, prints(own), lines.letters(own), strict=True)} and known == set(marks)
+        assert sum(r[4] is not None for r in got) == len(marks)
+        assert len(calls) == 1 if block > 1 << 15 else len(calls) > 10
+    assert not list(lines.line_prints(iter([]), set())) and not list(lines.line_prints(iter([(None, 1), (b"", 2)]), set()))
