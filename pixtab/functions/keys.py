@@ -41,12 +41,13 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     """Join per-key statistics to many rows per key.
 
     A hot key is cut into ``salts`` shares by a hash of ``by``, by default at least one for 16 partitions; the
-    statistics side (one row per key) is repeated once per share. Null keys match each other. Spark still broadcasts the small side when its size allows.
+    statistics side (one row per key) is repeated once per share. Null keys match each other. Spark still broadcasts the small side when its size allows:
+    shares are a table of their own, as the size check would not count rows that an ``explode`` repeats.
     """
     salts = max(salts, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16) if salts == SALTS else salts
     share = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
     own = [F.col(c).alias(f"_on{on.index(c)}") if c in on else F.col(c) for c in small.columns]
-    copies = small.select(*own, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_copy"))
+    copies = small.select(*own).crossJoin(big.sparkSession.range(0, salts, 1, 1).select(F.col("id").cast("int").alias("_copy")))
     same = F.col("_salt") == F.col("_copy")
     for i, c in enumerate(on):
         same = same & F.col(c).eqNullSafe(F.col(f"_on{i}"))

@@ -107,9 +107,13 @@ def packed(points: DataFrame) -> DataFrame:
 
 
 def with_membership(px: DataFrame, mask: DataFrame, name: str) -> DataFrame:
-    """``px`` with the boolean ``name``: whether the row's pixel is in ``mask``, which is met in packed blocks."""
+    """``px`` with the boolean ``name``: whether the row's pixel is in ``mask``, which is met in packed blocks.
+
+    A mask is often made of one row per image. Spark's size check sees those rows and not the pixels made of them, so it would take
+    the blocks of any number of images for small and gather them at the driver: they are merged, never broadcast.
+    """
     at = [F.floor(F.col(c) / BLOCK).cast("int").alias(n) for c, n in (("y", "by"), ("x", "bx"))]
-    met = px.select("*", *at).join(packed(mask), ["image_id", "by", "bx"], "left")
+    met = px.select("*", *at).join(packed(mask).hint("merge"), ["image_id", "by", "bx"], "left")
     return met.select(*px.columns, F.coalesce(F.expr(f"(shiftright(bits, {_AT_BIT}) & 1) = 1"), F.lit(False)).alias(name))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixtab.functions import strips
+from pixtab.functions import keys, strips
 from pixtab.operators import components, distance, filters, morphology, patches, seeds, steplog
 
 
@@ -51,6 +51,32 @@ def test_masks_are_packed_before_the_shuffle(spark, points):
     assert ok.select("is_valid").where("is_valid IS NULL").count() == 0
 
 
+def ran(df):
+    """The physical plan as adaptive execution has changed it by the end."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_masks_made_of_few_rows_are_not_broadcast(spark):
+    """Twenty rows of canvas look small to Spark, whatever is made of them."""
+    rows = keys.spread_out(spark.range(20).withColumnRenamed("id", "image_id"), "image_id")
+    mask = rows.selectExpr("image_id", "explode(sequence(0, 63)) AS y").selectExpr("image_id", "y", "explode(sequence(8, 39)) AS x")
+    px = spark.range(4000).selectExpr("id % 25 AS image_id", "cast(id % 64 as int) AS y", "cast(id % 50 as int) AS x")
+    out = strips.with_membership(px, mask, "_in")
+    assert "Broadcast" not in ran(out)
+    assert all(r._in == (r.image_id < 20 and 8 <= r.x < 40) for r in out.collect()) and out.count() == 4000
+
+
+def test_repeated_rows_count_for_the_size_check(spark):
+    """16 copies of 40,000 rows are over Spark's limit of 10 MB; those of ten rows are not."""
+    big = spark.range(50_000).selectExpr("id AS k", "cast(id as int) AS step")
+    small = spark.range(40_000).selectExpr("id AS k", "id * 2 AS v").groupBy("k").agg(F.max("v").alias("v"))
+    out = keys.salted_join(big, small, ["k"], how="left", by=("step",))
+    assert "BroadcastHashJoin" not in ran(out)
+    assert out.count() == 50_000 and out.where("v = 2 * k").count() == 40_000 and out.where("v IS NULL").count() == 10_000
+    assert "BroadcastHashJoin" in ran(keys.salted_join(big, small.where("k < 10"), ["k"], by=("step",)))
+
+
 @pytest.mark.parametrize("element", [lambda: morphology.square_spans(2), lambda: morphology.ellipse_spans(5)])
 def test_eroded_mask_at_places_is_that_of_erode(spark, points, element):
     shape = element()
