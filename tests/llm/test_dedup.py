@@ -591,3 +591,23 @@ def test_lines_of_many_documents_are_marked_together(monkeypatch):
         assert sum(r[4] is not None for r in got) == len(marks)
         assert len(calls) == 1 if block > 1 << 15 else len(calls) > 10
     assert not list(lines.line_prints(iter([]), set())) and not list(lines.line_prints(iter([(None, 1), (b"", 2)]), set()))
+
+
+@pytest.mark.parametrize("hosts, most, copies", [(1000, 1400, 4), (2000, 500, 15), (0, 900, 1), (3000, 600, 16), (1000, 30, 256)])
+def test_heavy_cells_are_dealt_out_with_few_copies(spark, hosts, most, copies):
+    """Of a cell of 4,000 rows beside a light one, by shares or, if it is far too heavy, by blocks: every pair that agrees in two blocks still meets, and once."""
+    r = np.random.default_rng(8)
+    f = r.integers(0, 2**62, (40, 2))[np.arange(4000) % 40]
+    for _ in range(6):
+        f[np.arange(4000), r.integers(0, 2, 4000)] ^= 1 << r.integers(0, 62, 4000)
+    rows = [(7, -1, -1, bool(i >= hosts), False, i, *map(int, p), i) for i, p in enumerate(f)] + [(9, -1, -1, i > 3, False, i, *map(int, f[i]), i) for i in range(9)]
+    cells = spark.createDataFrame(rows, "at long, last int, second int, guest boolean, apart boolean, h long, fa long, fb long, root long")
+    dealt = agree.deal_out(cells, agree.F.lit(1), most).toPandas()
+    assert len(dealt) - 9 <= 4000 * copies and (most < 100 or dealt.groupby("at").size().max() <= most)
+    if most == 30:
+        assert (dealt["last"] >= 0).any()
+        return
+    assert sorted(dealt["h"][dealt["at"] == 9]) == list(range(9)) and dealt.groupby("at")[["apart", "last", "second"]].nunique().max().max() == 1
+    got, want = ([(at, min(p), max(p)) for at, own in df.groupby("at") for c in [{k: v.to_numpy() for k, v in own.items()}]
+                  for x, y in agree.near_in_cell(c, 20, agree.anyway) for p in zip(c["h"][x].tolist(), c["h"][y].tolist(), strict=True)] for df in (dealt, cells.toPandas()))
+    assert sorted(p[1:] for p in got) == sorted(p[1:] for p in want) and (len(want) > 1000 or not hosts)
